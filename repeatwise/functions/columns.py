@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ def delta_percent(cur: Column, prev: Column) -> Column:
     return F.when(prev != 0, (cur - prev) / F.abs(prev) * F.lit(100.0))
 
 
+def money(x: float) -> Column:
+    """Literal that compares with amounts as a decimal, so the scan can use it."""
+    return F.lit(Decimal(str(x)))
+
+
 def amount(x: Column) -> Column:
     return x.cast("double")
 
@@ -82,7 +88,7 @@ def is_returning() -> Column:
 
 def qualifies(rule: LabelRule) -> Column:
     """Order that can make later orders of its user `returning`."""
-    cond = one_of("order_status", rule.statuses) & (F.col("gmv") >= F.lit(rule.min_amount))
+    cond = one_of("order_status", rule.statuses) & (F.col("gmv") >= money(rule.min_amount))
     if rule.channels:
         cond = cond & one_of("channel_type", rule.channels)
     return cond

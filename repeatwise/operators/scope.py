@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, one_of
+from ..functions.columns import all_of, money, one_of
 from ..schema import Scope
 
 
@@ -29,9 +29,9 @@ def scope_condition(s: Scope, dates: bool = True, channels: bool = True,
         conds.append(one_of("order_status", s.statuses))
     if s.after_sale:
         conds.append(one_of("after_sale_status", s.after_sale))
-    conds.append(F.col("gmv") >= F.lit(s.min_amount))
+    conds.append(F.col("gmv") >= money(s.min_amount))
     if s.max_amount is not None:
-        conds.append(F.col("gmv") <= F.lit(s.max_amount))
+        conds.append(F.col("gmv") <= money(s.max_amount))
     return all_of(conds)
 
 
@@ -73,14 +73,14 @@ def scope_pairs(pairs: DataFrame, s: Scope, align: bool = False) -> DataFrame:
         conds.append(one_of("from_influencer", s.influencers))
     conds += _sku_conditions("from_sku", s)
     if s.min_amount > 0:
-        conds.append(F.col("from_gmv") >= F.lit(s.min_amount))
+        conds.append(F.col("from_gmv") >= money(s.min_amount))
     if align:
         if s.categories:
             conds.append(one_of("from_category", s.categories))
         if s.statuses:
             conds.append(one_of("from_status", s.statuses))
         if s.max_amount is not None:
-            conds.append(F.col("from_gmv") <= F.lit(s.max_amount))
+            conds.append(F.col("from_gmv") <= money(s.max_amount))
     return pairs.where(all_of(conds))
 
 

@@ -2,7 +2,8 @@
 
 Sequence operators order the rows of each user, so a user's rows meet in one task.
 A placeholder id can own a large part of all rows. Such users are found by an exact
-count and handled by plans that cut their rows into ranges.
+count and handled by plans that cut their rows into ranges. Reports need no such
+care: they combine each user's rows before joining on the user.
 
 A user is hot when it owns more than `share` of all rows (and at least `floor`
 rows). Fewer than 1/share users can be hot, whatever the data, so the list is safe
@@ -31,18 +32,3 @@ def split(df: DataFrame, hot: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary users and rows of hot users."""
     is_hot = F.col("user_id").isin(*hot)
     return df.where(~is_hot), df.where(is_hot)
-
-
-def restrict_to_users(df: DataFrame, users: DataFrame, hot: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of `df` whose user is in `users` (one column, `user_id`).
-
-    Ordinary users meet in a shuffled semi join. Rows of hot users stay where they
-    are: their part of `users` has at most len(hot) rows and is broadcast.
-    """
-    if not hot:
-        return df.join(users, "user_id", "left_semi")
-    cold_rows, hot_rows = split(df, hot)
-    cold_users, few_users = split(users, hot)
-    return cold_rows.join(cold_users, "user_id", "left_semi").unionByName(
-        hot_rows.join(F.broadcast(few_users.distinct()), "user_id", "left_semi")
-    )
