@@ -70,7 +70,8 @@ def report(name: str, f: Callable[[Tables], DataFrame]) -> None:
 @query
 def s1_landing_stack(spark, sf):
     stacked = landing.load_landing(spark, sf, "ation")
-    return stacked.groupBy(F.col("_file").alias("file")).agg(
+    name = F.element_at(F.split("_file", "/"), -1)
+    return stacked.groupBy(name.alias("file")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("n_name").alias("n_names"),
         F.count("conv_id").alias("n_convs"))
 
@@ -142,7 +143,7 @@ def s8_csv_export(spark, sf):
     folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     rows = channel.channel_summary(tables(spark, sf).orders, YEAR, "influencer_name")
     store.export_csv(rows, folder)
-    back = landing.load_landing(spark, folder, "part-")
+    back = landing.load_landing(spark, shared_folder(spark), folder.rsplit("/", 1)[-1])
     return back.select(
         "influencer_name", F.col("orders").cast("long").alias("orders"),
         F.col("buyers").cast("long").alias("buyers"), F.col("gmv").cast("double").alias("gmv"),

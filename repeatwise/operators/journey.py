@@ -24,6 +24,7 @@ NEXT_COLUMNS = (
     "pay_time", "order_ym", "order_date", "influencer_name", "sku", "gmv",
     "order_status", "category", "channel_type",
 )
+ADDED = ("purchase_rank", "customer_type_lifetime", "customer_type")
 FIRST_COLUMNS = {
     "pay_time": "first_qualify_time",
     "influencer_name": "first_qualify_influencer",
@@ -45,18 +46,22 @@ def journey(orders: DataFrame, rule: LabelRule, hot: tuple[str, ...] = ()) -> Da
     return _ordinary(cold, rule).unionByName(_hot(few, rule))
 
 
+def without_journey(orders: DataFrame) -> DataFrame:
+    """Orders as they were before `journey`."""
+    return orders.drop(*ADDED, *FIRST_COLUMNS.values(), *(f"next_{c}" for c in NEXT_COLUMNS))
+
+
 def label(orders: DataFrame, rule: LabelRule, hot: tuple[str, ...] = ()) -> DataFrame:
     """Orders with `customer_type` under a rule; call again for other parameters."""
-    kept = orders.drop("customer_type")
+    kept = without_journey(orders)
     return journey(kept, rule, hot).select(*kept.columns, "customer_type")
 
 
-def labelled_orders(journeys: DataFrame) -> DataFrame:
-    return journeys.drop(*(f"next_{c}" for c in NEXT_COLUMNS))
-
-
 def pairs(journeys: DataFrame) -> DataFrame:
-    """One row per two consecutive orders of a user, labelled by the first."""
+    """One row per two consecutive orders of a user, labelled by the first.
+
+    A projection: the first order already carries the attributes of the next one.
+    """
     to = lambda c: F.col(f"next_{c}")
     return journeys.where(to("pay_time").isNotNull()).select(
         "user_id", "customer_type", "customer_type_lifetime",

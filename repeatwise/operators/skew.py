@@ -5,9 +5,10 @@ A placeholder id can own a large part of all rows. Such users are found by an ex
 count and handled by plans that cut their rows into ranges. Reports need no such
 care: they combine each user's rows before joining on the user.
 
-A user is hot when it owns more than `share` of all rows (and at least `floor`
+A user is hot when it owns more than `share` of all rows (and more than `floor`
 rows). Fewer than 1/share users can be hot, whatever the data, so the list is safe
-to hold on the driver and to broadcast.
+to hold on the driver and to broadcast. At a trillion rows the default leaves at
+most ten million rows of one user to a task.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 0.001
+SHARE = 0.00001
 FLOOR = 1_000_000
+# Up to this many ids go into the plan as literals, which a scan can use.
+LITERALS = 1000
 
 
 def hot_users(orders: DataFrame, share: float = SHARE, floor: int = FLOOR) -> tuple[str, ...]:
@@ -30,5 +33,8 @@ def hot_users(orders: DataFrame, share: float = SHARE, floor: int = FLOOR) -> tu
 
 def split(df: DataFrame, hot: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary users and rows of hot users."""
-    is_hot = F.col("user_id").isin(*hot)
-    return df.where(~is_hot), df.where(is_hot)
+    if len(hot) <= LITERALS:
+        is_hot = F.col("user_id").isin(*hot)
+        return df.where(~is_hot), df.where(is_hot)
+    few = F.broadcast(df.sparkSession.createDataFrame([(u,) for u in hot], "user_id string"))
+    return df.join(few, "user_id", "left_anti"), df.join(few, "user_id", "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_crowds, clean_members, clean_orders, clean_samples
-from ..operators.journey import journey, labelled_orders, pairs
+from ..operators.journey import journey, pairs, without_journey
 from ..operators.skew import hot_users
 from ..schema import FILE_KEYWORDS, LabelRule, Tables
 from ..sources.landing import load_landing
@@ -18,15 +18,12 @@ def assemble(orders: DataFrame, rule: LabelRule = LabelRule(), hot: tuple[str, .
              **optional: DataFrame | None) -> Tables:
     """Bundle of labelled orders, their pairs and whatever else is there."""
     journeys = journey(orders, rule, hot)
-    return Tables(orders=labelled_orders(journeys), pairs=pairs(journeys),
-                  hot_users=hot, **optional)
+    return Tables(orders=journeys, pairs=pairs(journeys), hot_users=hot, **optional)
 
 
 def relabel(tables: Tables, rule: LabelRule) -> Tables:
     """The same bundle under another rule; pairs follow their orders."""
-    base = tables.orders.drop(
-        "purchase_rank", "customer_type", "customer_type_lifetime", "first_qualify_time",
-        "first_qualify_influencer", "first_qualify_sku", "first_qualify_gmv")
+    base = without_journey(tables.orders)
     again = assemble(base, rule, tables.hot_users)
     return replace(tables, orders=again.orders, pairs=again.pairs)
 
@@ -36,7 +33,8 @@ def build(spark: SparkSession, landing: str, out: str, rule: LabelRule = LabelRu
     """Clean, label and store everything a landing zone holds.
 
     Cleaned orders are written once and read back, so de-duplication is not repeated
-    for the user count, the orders and the pairs.
+    for the user count and the labelled orders. The latter hold each order's successor,
+    from which pairs are read without another shuffle.
     """
     raw = {name: load_landing(spark, landing, word, required=name == "orders")
            for name, word in keywords.items()}

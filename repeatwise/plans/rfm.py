@@ -134,7 +134,8 @@ def rfm_table(users: DataFrame, dim: str, buckets, day: dt.date | None = None) -
         F.sum("is_repurchase").alias("repurchasers"),
         F.sum("_exact_gmv").alias("amount"))
     zero = F.lit(0)
-    rows = frame.join(found, "bucket", "left").select(
+    # At most one row per bucket comes out of the aggregate.
+    rows = frame.join(F.broadcast(found), "bucket", "left").select(
         "pos", "bucket", "date_range",
         F.coalesce("base", zero).alias("base"),
         F.coalesce("repurchasers", zero).alias("repurchasers"),
@@ -159,7 +160,7 @@ def rfm_cross(users: DataFrame, r_buckets=R_BUCKETS, f_buckets=F_BUCKETS) -> Dat
         [(r[0], f[0]) for r in r_buckets for f in f_buckets], "r_bucket string, f_bucket string")
     found = users.groupBy("r_bucket", "f_bucket").agg(
         F.count(F.lit(1)).alias("base"), F.sum("is_repurchase").alias("repurchasers"))
-    return cells.join(found, ["r_bucket", "f_bucket"], "left").select(
+    return cells.join(F.broadcast(found), ["r_bucket", "f_bucket"], "left").select(
         "r_bucket", "f_bucket",
         F.coalesce("base", F.lit(0)).alias("base"),
         F.coalesce("repurchasers", F.lit(0)).alias("repurchasers"),

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.journey import pairs
 from ..schema import Tables
 
 # Partition column of each stored table; months keep date filters cheap.
@@ -22,7 +23,10 @@ SCHEMAS = {
               "order_date date, order_ym string, purchase_rank bigint, "
               "first_qualify_time timestamp_ntz, first_qualify_influencer string, "
               "first_qualify_sku string, first_qualify_gmv decimal(18,2), "
-              "customer_type_lifetime string, customer_type string",
+              "customer_type_lifetime string, customer_type string, "
+              "next_pay_time timestamp_ntz, next_order_ym string, next_order_date date, "
+              "next_influencer_name string, next_sku string, next_gmv decimal(18,2), "
+              "next_order_status string, next_category string, next_channel_type string",
     "pairs": "user_id string, customer_type string, customer_type_lifetime string, "
              + ", ".join(
                  f"{side}_ym string, {side}_date date, {side}_influencer string, "
@@ -43,29 +47,33 @@ SCHEMAS = {
 def save(tables: Tables, path: str) -> None:
     """Write every table that is there as Parquet, plus catalogue and extent.
 
-    The rebalance hint lets Spark even out file sizes per month: large months are
-    split over several files, small ones share a task.
+    Stored orders carry their successor, so pairs are projected from the stored
+    orders rather than computed a second time.
     """
     spark = tables.orders.sparkSession
-    for name in SCHEMAS:
+    for name in ("orders", "samples", "members", "crowds"):
         df = getattr(tables, name)
-        if df is None:
-            continue
-        month = PARTITION.get(name)
-        columns = [c for c in _columns_of(name) if c in df.columns]
-        writer = df.select(*columns)
-        if month:
-            writer = writer.hint("rebalance", month).write.partitionBy(month)
-        else:
-            writer = writer.hint("rebalance").write
-        writer.mode("overwrite").parquet(f"{path}/{name}")
+        if df is not None:
+            _write(df, name, path, rebalance=True)
+    orders = load_table(spark, path, "orders")
+    _write(pairs(orders), "pairs", path)
     hot = [(u,) for u in tables.hot_users]
     spark.createDataFrame(hot, "user_id string").write.mode("overwrite").parquet(f"{path}/hot_users")
-    orders = load_table(spark, path, "orders")
     catalogue(orders).write.mode("overwrite").parquet(f"{path}/catalogue")
     extent(orders).write.mode("overwrite").json(f"{path}/extent")
 
 
+def _write(df: DataFrame, name: str, path: str, rebalance: bool = False) -> None:
+    """The rebalance hint lets Spark even out file sizes per month: large months are
+    split over several files, small ones share a task."""
+    month = PARTITION.get(name)
+    df = df.select(*[c for c in _columns_of(name) if c in df.columns])
+    if rebalance:
+        df = df.hint("rebalance", month) if month else df.hint("rebalance")
+    writer = df.write.partitionBy(month) if month else df.write
+    writer.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def _columns_of(name: str) -> list[str]:
     return [part.split()[0] for part in SCHEMAS[name].split(", ")]
 
@@ -80,8 +88,12 @@ def load_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
 
 
 def load(spark: SparkSession, path: str) -> Tables:
-    """Stored tables as a bundle; tables never written are None."""
-    found = {name: load_table(spark, path, name) for name in SCHEMAS}
+    """Stored tables as a bundle; tables never written are None.
+
+    Pairs are read off the stored orders, so filters on them prune months too.
+    """
+    found = {name: load_table(spark, path, name) for name in SCHEMAS if name != "pairs"}
+    found["pairs"] = pairs(found["orders"])
     hot = tuple(r.user_id for r in spark.read.schema("user_id string")
                 .parquet(f"{path}/hot_users").collect())
     return Tables(hot_users=hot, **found)
