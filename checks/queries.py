@@ -13,7 +13,7 @@ from repeatwise.functions.columns import amount, parse_time, qualifies
 from repeatwise.operators import clean, scope as sc
 from repeatwise.operators.coupons import coupons
 from repeatwise.operators.journey import journey, label
-from repeatwise.operators.people import as_double
+from repeatwise.operators.people import as_double, distinct_users, of_users
 from repeatwise.operators.skew import hot_users
 from repeatwise.plans import (
     channel, crowds, discount, flow, kpi, members, product, repurchase, rfm, samples,
@@ -348,9 +348,10 @@ report("f5_pair_scope", lambda t: sc.scope_pairs(
 report("f6_sku_regex", lambda t: product.search(
     sc.apply_scope(t.orders, YEAR), "brand#(1|2)[0-3]$").groupBy("sku").agg(
         F.count(F.lit(1)).alias("orders")))
-report("f7_user_membership", lambda t: sc.apply_scope(t.orders, YEAR).groupBy("user_id", "order_ym").agg(
-    F.count(F.lit(1)).alias("n"), F.sum("gmv").alias("g")).join(
-        t.members.select("user_id"), "user_id", "left_semi").groupBy("order_ym").agg(
+report("f7_user_membership", lambda t: of_users(
+    sc.apply_scope(t.orders, YEAR).groupBy("user_id", "order_ym").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gmv").alias("g")),
+    distinct_users(t.members)).groupBy("order_ym").agg(
             F.sum("n").alias("orders"), amount(F.sum("g")).alias("gmv")))
 
 # --- headline, channel, trend, product ---------------------------------------

@@ -28,6 +28,12 @@ def per_user(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def merge_users(users: DataFrame, *keys: str) -> DataFrame:
+    """Coarser `per_user` rows from finer ones."""
+    return users.groupBy(*keys, "user_id").agg(*[
+        F.sum(c).alias(c) for c in ("_orders", "_gmv", "_new_orders", "_new_gmv")])
+
+
 def measures(users: DataFrame, *keys: str) -> DataFrame:
     """Measures per group from `per_user` rows; without keys one row for all."""
     zero = F.lit(0)
@@ -51,6 +57,24 @@ def summarise(df: DataFrame, *keys: str) -> DataFrame:
     return measures(per_user(df, *keys), *keys)
 
 
+def distinct_users(df: DataFrame) -> DataFrame:
+    """One row per user.
+
+    The null test is what a join on the user would add by itself; stated here, the
+    set and a count of it have the same plan and share one exchange.
+    """
+    return df.where(F.col("user_id").isNotNull()).select("user_id").distinct()
+
+
+def of_users(combined: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows of `combined`, an aggregate per user and key, whose user is in `users`.
+
+    `users` has one row per user. A semi join would be moved below the aggregate and
+    bring all rows of a large user to one task; an inner join stays above it.
+    """
+    return combined.join(users, "user_id")
+
+
 def summary_columns() -> dict[str, Column]:
     """Derived ratios on top of `measures`."""
     c = F.col

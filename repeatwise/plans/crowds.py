@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, one_of, per, percent, rounded
+from ..operators.people import distinct_users, of_users
 from ..operators.scope import apply_scope
 from ..schema import Scope, Tables
 
@@ -24,7 +25,7 @@ def _per_user(orders: DataFrame, scope: Scope, *keys: str) -> DataFrame:
 
 def crowd_kpi(t: Tables, scope: Scope, names: tuple[str, ...] = ()) -> DataFrame:
     """All selected audiences together; a user of several counts once."""
-    users = _selected(t, names).select("user_id").distinct()
+    users = distinct_users(_selected(t, names))
     out = users.join(_per_user(t.orders, scope), "user_id", "left").agg(
         F.count(F.lit(1)).alias("users"), F.count("_orders").alias("buyers"),
         amount(F.coalesce(F.sum("_gmv"), F.lit(0))).alias("gmv"))
@@ -51,8 +52,8 @@ def crowd_compare(t: Tables, scope: Scope, names: tuple[str, ...] = ()) -> DataF
 
 
 def _bought(t: Tables, scope: Scope, names: tuple[str, ...], key: str) -> DataFrame:
-    users = _selected(t, names).select("user_id").distinct()
-    rows = _per_user(t.orders, scope, key).join(users, "user_id", "left_semi")
+    users = distinct_users(_selected(t, names))
+    rows = of_users(_per_user(t.orders, scope, key), users)
     return rows.groupBy(key).agg(
         F.sum("_orders").alias("orders"), F.count(F.lit(1)).alias("buyers"),
         F.sum("_gmv").alias("_total"))

@@ -5,42 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import amount, is_new, percent, rounded
-from ..operators.people import measures, summarise
+from ..functions.columns import amount, percent, rounded
+from ..operators.people import measures, merge_users, per_user, summarise
 from ..operators.scope import apply_scope
 from ..schema import Scope
 
-TOTALS = ("gmv", "buyers")
-
-
 def search(orders: DataFrame, keyword: str) -> DataFrame:
     """Skus matching a case-insensitive regular expression."""
     return orders.where(F.col("sku").rlike(f"(?i){keyword}")) if keyword else orders
 
 
-def _with_store_total(df: DataFrame) -> tuple[DataFrame, Column]:
-    """Measures per sku, and amount and distinct buyers of all skus together.
+def _with_store_total(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """The used measures per sku, and those of all skus together.
 
-    Buyers of several skus count once in the store, so both grains are formed from
-    the same scan: users per sku and users overall.
+    Buyers of several skus count once in the store. Both come from the same rows per
+    sku and user, and as both read the same measures they share that exchange.
     """
-    users = df.groupingSets([["sku", "user_id"], ["user_id"]], "sku", "user_id").agg(
-        F.grouping("sku").alias("_store"),
-        F.count(F.lit(1)).alias("_orders"),
-        F.sum("gmv").alias("_gmv"),
-        F.count_if(is_new()).alias("_new_orders"),
-        F.sum(F.when(is_new(), F.col("gmv"))).alias("_new_gmv"),
-    )
-    groups = measures(users, "_store", "sku")
-    store = groups.agg(F.max(F.when(F.col("_store") == 1, F.struct(
-        *[amount(F.col(c)).alias(c) for c in TOTALS])))).scalar()
-    return groups.where(F.col("_store") == 0).drop("_store"), store
+    users = per_user(df, "sku")
+    store = measures(merge_users(users)).select(F.struct(*used)).scalar()
+    return measures(users, "sku"), store
 
 
 def product_rank(orders: DataFrame, scope: Scope, metric: str = "gmv", keyword: str = "",
                  top: int = 50) -> DataFrame:
     """Leading skus by amount or buyers, with their share of the store."""
-    groups, store = _with_store_total(search(apply_scope(orders, scope), keyword))
+    groups, store = _with_store_total(search(apply_scope(orders, scope), keyword), (metric,))
     best = groups.select("sku", amount(F.col(metric)).alias("total"))
     best = best.orderBy(F.desc("total"), "sku").limit(top)
     return best.withColumn("store_share", rounded(percent(F.col("total"), store.getField(metric)), 2))
@@ -65,7 +54,9 @@ def product_table(orders: DataFrame, scope: Scope, keyword: str = "") -> DataFra
     Here a buyer with both kinds of orders counts among the new and among the
     returning ones, unlike everywhere else.
     """
-    groups, store = _with_store_total(search(apply_scope(orders, scope), keyword))
+    groups, store = _with_store_total(
+        search(apply_scope(orders, scope), keyword),
+        ("gmv", "new_gmv", "buyers", "new_buyers", "any_returning_buyers"))
     c = F.col
     whole = lambda x: rounded(x, 0).cast("long")
     share = lambda n, d: rounded(percent(n, d), 2)

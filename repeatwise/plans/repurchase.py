@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import is_new, is_returning, one_of, percent, rounded
+from ..operators.people import distinct_users, of_users
 from ..operators.scope import apply_scope, scope_pairs
 from ..schema import Scope, Tables
 
@@ -21,10 +22,6 @@ BY = {
 }
 
 
-def _distinct_users(df: DataFrame) -> DataFrame:
-    return df.select("user_id").distinct()
-
-
 def repurchase_cycle(t: Tables, scope: Scope, by: str = "influencer", min_count: int = 5,
                      min_gap_days: int = 0, align_scope: bool = False) -> DataFrame:
     """Average days between consecutive orders per pair of values.
@@ -33,14 +30,13 @@ def repurchase_cycle(t: Tables, scope: Scope, by: str = "influencer", min_count:
     `min_count` are left out.
     """
     _, from_col, to_col = BY[by]
-    users = _distinct_users(apply_scope(t.orders, scope).where(is_returning()))
+    users = distinct_users(apply_scope(t.orders, scope).where(is_returning()))
     moves = (
         scope_pairs(t.pairs, scope, align_scope).where(F.col("days_between") >= min_gap_days)
         .groupBy("user_id", from_col, to_col)
         .agg(F.sum("days_between").alias("_days"), F.count(F.lit(1)).alias("_n"))
-        .join(users, "user_id", "left_semi")
     )
-    cycle = moves.groupBy(from_col, to_col).agg(
+    cycle = of_users(moves, users).groupBy(from_col, to_col).agg(
         F.sum("_days").alias("_days"), F.sum("_n").alias("n_moves"))
     return cycle.where(F.col("n_moves") >= min_count).select(
         from_col, to_col,
@@ -84,8 +80,8 @@ def repurchase_rate(t: Tables, scope: Scope, by: str = "influencer", first: tupl
                     channel: str | None = None, entry: str = "label", min_gap_days: int = 0,
                     align_scope: bool = False) -> DataFrame:
     """Users entering in scope, those of them who bought again, and the rate."""
-    users = _distinct_users(_entry(t, scope, by, first, channel, entry))
-    again = _distinct_users(
+    users = distinct_users(_entry(t, scope, by, first, channel, entry))
+    again = distinct_users(
         _repeats(t, scope, by, first, channel, entry, min_gap_days, align_scope))
     both = users.join(again.withColumn("_again", F.lit(1)), "user_id", "left")
     out = both.agg(F.count(F.lit(1)).alias("entry_users"), F.count("_again").alias("repeat_users"))
@@ -98,14 +94,13 @@ def repurchase_destinations(t: Tables, scope: Scope, by: str = "influencer",
                             align_scope: bool = False) -> DataFrame:
     """Where the next order went: moves, users and their share of entry users."""
     to_col = BY[by][2]
-    users = _distinct_users(_entry(t, scope, by, first, channel, entry))
+    users = distinct_users(_entry(t, scope, by, first, channel, entry))
     per_user = (
         _repeats(t, scope, by, first, channel, entry, min_gap_days, align_scope)
         .groupBy("user_id", to_col).agg(F.count(F.lit(1)).alias("_n"))
-        .join(users, "user_id", "left_semi")
     )
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
-    out = per_user.groupBy(to_col).agg(
+    out = of_users(per_user, users).groupBy(to_col).agg(
         F.sum("_n").alias("n_moves"), F.count(F.lit(1)).alias("repeat_users"))
     return out.withColumn("rate", rounded(percent(F.col("repeat_users"), total), 2)).orderBy(
         F.desc("n_moves"), to_col)
@@ -118,16 +113,15 @@ def repurchase_by_channel(t: Tables, scope: Scope, first: tuple[str, ...] = (),
     Rows of a channel type have no influencer; its users are counted once there,
     however many of its influencers they went to.
     """
-    users = _distinct_users(_entry(t, scope, "influencer", first, channel, entry))
+    users = distinct_users(_entry(t, scope, "influencer", first, channel, entry))
     rows = _repeats(t, scope, "influencer", first, channel, entry, 0, False)
     grains = ["to_channel_type", "to_influencer", "user_id"]
     per_user = (
         rows.groupingSets([grains, ["to_channel_type", "user_id"]], *grains)
         .agg(F.grouping("to_influencer").alias("_whole"), F.count(F.lit(1)).alias("_n"))
-        .join(users, "user_id", "left_semi")
     )
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
-    out = per_user.groupBy("_whole", "to_channel_type", "to_influencer").agg(
+    out = of_users(per_user, users).groupBy("_whole", "to_channel_type", "to_influencer").agg(
         F.sum("_n").alias("n_moves"), F.count(F.lit(1)).alias("repeat_users"))
     return out.select(
         F.when(F.col("_whole") == 1, "channel").otherwise("influencer").alias("level"),
@@ -143,7 +137,7 @@ def repurchase_monthly(t: Tables, scope: Scope, by: str = "influencer",
     A user entering in several months counts in each of them.
     """
     users = _entry(t, scope, by, first, channel, entry).select("user_id", "order_ym").distinct()
-    again = _distinct_users(_repeats(t, scope, by, first, channel, entry, 0, False))
+    again = distinct_users(_repeats(t, scope, by, first, channel, entry, 0, False))
     months = (
         users.join(again.withColumn("_again", F.lit(1)), "user_id", "left")
         .groupBy("order_ym")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, amount, midnight, one_of, per, percent, qualifies, rounded
+from ..operators.people import distinct_users, of_users
 from ..operators.scope import apply_scope, scope_condition
 from ..schema import DateRange, LabelRule, Scope, Tables
 
@@ -142,10 +143,10 @@ def sample_cohort(t: Tables, scope: Scope, rule: LabelRule, s: SampleScope = Sam
 def sample_products(t: Tables, scope: Scope, s: SampleScope = SampleScope(),
                     preview: int | None = None) -> DataFrame:
     """What sample buyers bought in scope, per sku."""
-    buyers = sample_filter(t.need("samples"), s).select("user_id").distinct()
+    buyers = distinct_users(sample_filter(t.need("samples"), s))
     per_user = apply_scope(t.orders, scope).groupBy("sku", "user_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("gmv").alias("_gmv"))
-    out = per_user.join(buyers, "user_id", "left_semi").groupBy("sku").agg(
+    out = of_users(per_user, buyers).groupBy("sku").agg(
         F.sum("_n").alias("repeat_orders"), F.count(F.lit(1)).alias("repeat_users"),
         rounded(F.sum("_gmv"), 0).alias("repeat_gmv"))
     if preview:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, is_returning, one_of, percent, rounded
+from ..operators.people import distinct_users, of_users
 from ..operators.scope import apply_scope, scope_condition
 from ..schema import Scope
 
@@ -68,7 +69,7 @@ def trace_kpi(orders: DataFrame, scope: Scope, target: Target = Target()) -> Dat
 
 def _returning_users(orders: DataFrame, scope: Scope, target: Target) -> DataFrame:
     rows = apply_scope(orders, scope).where(target.condition() & is_returning())
-    return rows.select("user_id").distinct()
+    return distinct_users(rows)
 
 
 def _history(orders: DataFrame, scope: Scope, target: Target, keys: tuple[str, ...],
@@ -81,11 +82,8 @@ def _history(orders: DataFrame, scope: Scope, target: Target, keys: tuple[str, .
     past = orders.where(_before(scope))
     if extra is not None:
         past = past.where(extra)
-    groups = (
-        past.select(*keys, "user_id").distinct()
-        .join(users, "user_id", "left_semi")
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
-    )
+    groups = of_users(past.select(*keys, "user_id").distinct(), users)
+    groups = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
     return groups.withColumn("share", rounded(percent(F.col("n_users"), total), 1))
 

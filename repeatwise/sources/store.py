@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,16 +53,24 @@ def save(tables: Tables, path: str) -> None:
     orders rather than computed a second time.
     """
     spark = tables.orders.sparkSession
-    for name in ("orders", "samples", "members", "crowds"):
-        df = getattr(tables, name)
-        if df is not None:
-            _write(df, name, path, rebalance=True)
+    together(*[
+        lambda df=df, name=name: _write(df, name, path, rebalance=True)
+        for name in ("orders", "samples", "members", "crowds")
+        if (df := getattr(tables, name)) is not None])
     orders = load_table(spark, path, "orders")
-    _write(pairs(orders), "pairs", path)
-    hot = [(u,) for u in tables.hot_users]
-    spark.createDataFrame(hot, "user_id string").write.mode("overwrite").parquet(f"{path}/hot_users")
-    catalogue(orders).write.mode("overwrite").parquet(f"{path}/catalogue")
-    extent(orders).write.mode("overwrite").json(f"{path}/extent")
+    hot = spark.createDataFrame([(u,) for u in tables.hot_users], "user_id string")
+    together(
+        lambda: _write(pairs(orders), "pairs", path),
+        lambda: catalogue(orders).write.mode("overwrite").parquet(f"{path}/catalogue"),
+        lambda: extent(orders).write.mode("overwrite").json(f"{path}/extent"),
+        lambda: hot.write.mode("overwrite").parquet(f"{path}/hot_users"))
+
+
+def together(*jobs) -> None:
+    """Start independent Spark jobs at once, so small ones fill gaps of large ones."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
 
 
 def _write(df: DataFrame, name: str, path: str, rebalance: bool = False) -> None:
