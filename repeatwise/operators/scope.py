@@ -52,9 +52,11 @@ def apply_two_scopes(orders: DataFrame, s: Scope) -> DataFrame:
 
     Adds `span` (current / previous); a row inside both ranges appears twice.
     """
-    current, previous = scope_condition(s), scope_condition(s.year_ago())
-    spans = F.array_compact(F.array(
-        F.when(current, F.lit("current")), F.when(previous, F.lit("previous"))))
+    current, year_ago = scope_condition(s), s.year_ago()
+    previous = scope_condition(year_ago) if year_ago else F.lit(False)
+    both, one, other = (F.array(*map(F.lit, names)) for names in (
+        ("current", "previous"), ("current",), ("previous",)))
+    spans = F.when(current & previous, both).when(current, one).otherwise(other)
     return orders.where(current | previous).withColumn("span", F.explode(spans))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import all_of, amount, midnight, one_of, per, percent, qualifies, rounded
 from ..operators.people import distinct_users, of_users
 from ..operators.scope import apply_scope, scope_condition
+from ..operators.skew import split
 from ..schema import DateRange, LabelRule, Scope, Tables
 
 PERIODS = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
@@ -62,11 +63,20 @@ def _users(orders: DataFrame, scope: Scope, rule: LabelRule) -> DataFrame:
         F.count_if(known).alias("_known"))
 
 
-def _after_sample(orders: DataFrame, buyers: DataFrame, scope: Scope) -> DataFrame:
-    """Orders in scope per user, counting only those after the first sample."""
-    later = apply_scope(orders, scope).join(buyers, "user_id").where(
-        F.col("pay_time") > F.col("sample_time"))
-    return later.groupBy("user_id").agg(
+def _after_sample(t: Tables, buyers: DataFrame, scope: Scope) -> DataFrame:
+    """Orders in scope per user, counting only those after the first sample.
+
+    The comparison needs single orders, so hot users' orders stay in place and meet
+    their few sample rows by broadcast.
+    """
+    orders = apply_scope(t.orders, scope)
+    if t.hot_users:
+        (cold, hot), (cold_buyers, hot_buyers) = split(orders, t.hot_users), split(buyers, t.hot_users)
+        rows = cold.join(cold_buyers, "user_id").unionByName(
+            hot.join(F.broadcast(hot_buyers), "user_id"))
+    else:
+        rows = orders.join(buyers, "user_id")
+    return rows.where(F.col("pay_time") > F.col("sample_time")).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_orders"), F.sum("gmv").alias("_gmv"))
 
 
@@ -80,7 +90,7 @@ def sample_buyers(t: Tables, scope: Scope, rule: LabelRule, s: SampleScope = Sam
     users = _users(t.orders, scope, rule)
     if after_sample:
         users = users.drop("_orders", "_gmv").join(
-            _after_sample(t.orders, buyers.select("user_id", "sample_time"), scope),
+            _after_sample(t, buyers.select("user_id", "sample_time"), scope),
             "user_id", "left")
     zero = F.lit(0)
     return buyers.join(users, "user_id", "left").select(

@@ -34,15 +34,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by the cluster.
+    """Folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a session that names none (a local one) gets a folder of its own.
+    A local session without that setting gets a folder of its own; a cluster without
+    it is an error, as a folder of one machine would not do.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="repeatwise-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="repeatwise-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
