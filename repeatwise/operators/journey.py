@@ -138,9 +138,10 @@ def _ordinary(orders: DataFrame, rule: LabelRule) -> DataFrame:
 def _hot(orders: DataFrame, rule: LabelRule) -> DataFrame:
     """The same columns for users too large for one task.
 
-    Rows are range-partitioned on (user, order key), so a user is spread over as
-    many equally filled chunks as it needs, ties included. The chunk number is
-    stored, as recomputing it may cut elsewhere. What crosses chunk borders comes
+    Rows are range-partitioned on (user, order key) into as many equally filled
+    chunks as the session has shuffle partitions; a user is spread over as many of
+    them as it needs, ties included. The chunk number is stored, as recomputing it
+    may cut elsewhere. What crosses chunk borders comes
     from one summary row per (user, chunk): fewer than chunks + hot users in all,
     hence the broadcasts.
     """

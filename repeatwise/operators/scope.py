@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, money, one_of
-from ..schema import Scope
+from ..schema import DateRange, Scope
+
+
+# Tables are stored by month; the month conditions below follow from the days and let
+# the scan skip the other months.
+
+def in_days(side: str, dates: DateRange) -> Column:
+    """Days of a range, both ends included, by `<side>_date` and `<side>_ym`."""
+    first, last = dates
+    return F.col(f"{side}_date").between(F.lit(first), F.lit(last)) & F.col(f"{side}_ym").between(
+        f"{first:%Y-%m}", f"{last:%Y-%m}")
+
+
+def until_month(day: dt.date) -> Column:
+    """Months up to that of a day."""
+    return F.col("order_ym") <= f"{day:%Y-%m}"
 
 
 def scope_condition(s: Scope, dates: bool = True, channels: bool = True,
@@ -14,10 +31,7 @@ def scope_condition(s: Scope, dates: bool = True, channels: bool = True,
     """Predicate of a scope on orders; parts can be left out for single reports."""
     conds = []
     if dates and s.dates:
-        first, last = s.dates
-        conds.append(F.col("order_date").between(F.lit(first), F.lit(last)))
-        # Lets the scan skip months of a table partitioned by order_ym.
-        conds.append(F.col("order_ym").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
+        conds.append(in_days("order", s.dates))
     if s.categories:
         conds.append(one_of("category", s.categories))
     if channels and s.channels:
@@ -68,7 +82,7 @@ def scope_pairs(pairs: DataFrame, s: Scope, align: bool = False) -> DataFrame:
     """
     conds = []
     if s.dates:
-        conds.append(F.col("from_date").between(F.lit(s.dates[0]), F.lit(s.dates[1])))
+        conds.append(in_days("from", s.dates))
     if s.channels:
         conds.append(one_of("from_channel_type", s.channels))
     if s.influencers:

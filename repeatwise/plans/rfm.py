@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import (
     amount, first_match, midnight, money, one_of, percent, rounded, whole_days,
 )
-from ..operators.scope import scope_condition
+from ..operators.scope import scope_condition, until_month
 from ..schema import LabelRule, Scope
 
 # Buckets as (label, low, high); high None is open.
@@ -90,7 +90,7 @@ def rfm_users(orders: DataFrame, scope: Scope, rule: LabelRule,
     base = (
         scope_condition(scope, dates=False, channels=False, influencers=False, statuses=False)
         & one_of("order_status", rule.statuses) & (F.col("gmv") >= money(rule.min_amount))
-        & (F.col("pay_time") <= cut)
+        & (F.col("pay_time") <= cut) & until_month(cutoff(scope))
     )
     if base_channels:
         base = base & one_of("channel_type", base_channels)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, amount, midnight, one_of, per, percent, qualifies, rounded
 from ..operators.people import distinct_users, of_users
-from ..operators.scope import apply_scope, scope_condition
+from ..operators.scope import apply_scope, in_days, scope_condition, until_month
 from ..operators.skew import split
 from ..schema import DateRange, LabelRule, Scope, Tables
 
@@ -29,7 +29,7 @@ class SampleScope:
 def sample_filter(samples: DataFrame, s: SampleScope) -> DataFrame:
     conds = []
     if s.dates:
-        conds.append(F.col("pay_time").cast("date").between(F.lit(s.dates[0]), F.lit(s.dates[1])))
+        conds.append(in_days("order", s.dates))
     for column, values in (("order_status", s.statuses), ("sample_type", s.types), ("sku", s.skus)):
         if values:
             conds.append(one_of(column, values))
@@ -56,7 +56,8 @@ def _users(orders: DataFrame, scope: Scope, rule: LabelRule) -> DataFrame:
     known = F.lit(False)
     if scope.dates:
         any_channel = LabelRule(rule.min_amount, statuses=rule.statuses)
-        known = qualifies(any_channel) & (F.col("pay_time") < midnight(scope.dates[0]))
+        start = scope.dates[0]
+        known = qualifies(any_channel) & (F.col("pay_time") < midnight(start)) & until_month(start)
     return orders.where(now | then | known).groupBy("user_id").agg(
         F.count_if(now).alias("_orders"), F.sum(F.when(now, F.col("gmv"))).alias("_gmv"),
         F.count_if(then).alias("_orders_prev"), F.sum(F.when(then, F.col("gmv"))).alias("_gmv_prev"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, is_returning, one_of, percent, rounded
 from ..operators.people import distinct_users, of_users
-from ..operators.scope import apply_scope, scope_condition
+from ..operators.scope import apply_scope, scope_condition, until_month
 from ..schema import Scope
 
 
@@ -47,7 +47,8 @@ def target_skus(orders: DataFrame, scope: Scope, categories: tuple[str, ...] = (
 
 
 def _before(scope: Scope) -> Column:
-    return F.col("order_date") < F.lit(scope.dates[0])
+    start = scope.dates[0]
+    return (F.col("order_date") < F.lit(start)) & until_month(start)
 
 
 def trace_kpi(orders: DataFrame, scope: Scope, target: Target = Target()) -> DataFrame:

@@ -136,5 +136,7 @@ def extent(orders: DataFrame) -> DataFrame:
 
 
 def export_csv(report: DataFrame, path: str) -> None:
-    """Report as a folder of CSV files with header."""
-    report.write.mode("overwrite").option("header", True).csv(path)
+    """Report as a folder of CSV files with header, texts as they are."""
+    report.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)

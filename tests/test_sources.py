@@ -7,6 +7,7 @@ import pathlib
 import pytest
 
 from repeatwise.plans.build import build
+from repeatwise.operators.scope import scope_pairs
 from repeatwise.plans import channel, members
 from repeatwise.schema import FILE_KEYWORDS, LabelRule, SOURCE_COLUMNS, Scope, SourceMissing
 from repeatwise.sources import landing, store
@@ -105,6 +106,8 @@ def test_date_scope_prunes_months(spark, built):
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_ym" in plan
     assert "GreaterThanOrEqual(gmv,0.00)" in plan
+    pairs = scope_pairs(t.pairs, scope)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_ym" in pairs
 
 
 def test_catalogue_and_extent(built):
@@ -118,6 +121,16 @@ def test_catalogue_and_extent(built):
                                 "total_rows": 3, "total_users": 2}
 
 
+def test_quotes_commas_blanks_and_byte_order_mark_survive(spark, tmp_path):
+    texts = ['say "hi", twice', " padded ", "back\\slash", '"']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    store.export_csv(df.coalesce(1), str(tmp_path / "orders"))
+    raw = landing.load_landing(spark, str(tmp_path), "orders")
+    assert [r.x for r in raw.orderBy("i").collect()] == texts
+    (tmp_path / "marked.csv").write_text("x,y\n1,2", encoding="utf-8-sig")
+    assert landing.load_landing(spark, str(tmp_path), "marked").select("x", "y").first() == ("1", "2")
+
+
 def test_csv_export_has_a_header(spark, built, tmp_path):
     t, _ = built
     store.export_csv(channel.channel_summary(t.orders, Scope()), str(tmp_path / "x"))
