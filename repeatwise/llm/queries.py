@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repeatwise.llm import langid, lines, neardup, packing, quality
+from repeatwise.llm import (
+    binpack, bpe, caps, html, langid, lines, neardup, packing, quality, shards,
+)
 from repeatwise.llm.work import documents, held_out
+from repeatwise.session import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RATIO, MIN_PAGES = 0.1, 5
+SHARDS, TOLERANCE = 24, 0.02
+
+
+def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn(
+        "text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    return shards.histogram_shards(docs, SHARDS, tolerance=TOLERANCE, carry=["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +51,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   n_lines="n_lines", n_dropped="n_dropped")
 
 
+def op6_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the packed matrices, and returns a digest of each row as read back."""
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    binpack.write_packed(binpack.packed_rows(documents(spark, sf_dir), BYTE_BPE), path)
+    rows = spark.read.parquet(path)
+    return rows.select(
+        "block", "row", "n_tokens", "n_segments", "cu_seqlens", "doc_ids", "pieces", "starts",
+        F.sha2("ids", 256).alias("ids_sha256"), F.crc32("positions").alias("positions_crc32"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extracted(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.round_trip(docs, BYTE_BPE).select(
+        "doc_id", "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
+
+
+def op9_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.linked_vectors(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")) \
+        .drop("embedding")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.quality_rules(docs).select(
