@@ -78,7 +78,7 @@ lined AS (
 totals AS (SELECT source, count(*) AS n_pages FROM lined GROUP BY source),
 often AS (
   SELECT l.source, l.line FROM (
-    SELECT source, unnest(list_distinct(list_filter(list_transform(ls, x -> trim(x, ' ')), x -> x <> ''))) AS line
+    SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line
     FROM lined) l
   JOIN totals t ON t.source IS NOT DISTINCT FROM l.source
   GROUP BY l.source, l.line, t.n_pages
@@ -86,6 +86,6 @@ often AS (
 per_source AS (SELECT source, list(line) AS gone FROM often GROUP BY source),
 cleaned AS (
   SELECT d.doc_id, d.source, d.ls,
-         list_filter(d.ls, x -> trim(x, ' ') = '' OR NOT list_contains(coalesce(o.gone, []), trim(x, ' '))) AS rest
+         list_filter(d.ls, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(o.gone, []), trim(x, ' '))) AS rest
   FROM lined d LEFT JOIN per_source o ON o.source IS NOT DISTINCT FROM d.source)
 """

@@ -9,17 +9,20 @@ Trees: at each node of each of `trees` independent trees, a hash of the node's p
 some of the signature's positions, `1 / branching` of them on average, and a record goes to
 one child for each selected position, named by its token there. Records that are similar
 select the same children together; others part after one or two tokens. Nodes with at most
-`leaf` records are compared exhaustively. Larger nodes are branched again, up to `depth`.
+`leaf` records end, and so do dense nodes, whose records agree in `DENSE` of positions with
+one of them on average; other nodes are branched again, up to `depth`.
 
-What is left after that is nodes of many records that share a token at every level, such as
-thousands of near copies. Every record of a node, large or small, is first compared with the
-node's smallest record only. Links found this way join nearly all of a dense group, and
-afterwards only pairs across different components of a node are compared, in blocks. So no
-group is expanded into all of its pairs, yet none of its links is lost to a cap.
+Small nodes are compared exhaustively. First every record is compared with the smallest
+record of its nodes only, which joins most copies. Then pairs of a node that are still in
+different components and whose sketches (a byte for each token) agree in `SKETCH_SHARE` of
+positions, over four standard deviations below what the threshold leads one to expect, are
+gathered and confirmed on full sets, computed again from the texts of these records.
 
-Pairs whose signatures agree in under `SKETCH_SHARE` of positions are left out: over four
-standard deviations below what the threshold leads one to expect. All others are confirmed on full
-sets, computed again from the texts of the records concerned.
+Dense nodes hold many similar texts that differ, such as thousands of near copies. Their
+full sets meet in blocks of bounded size, and the exact sizes of all intersections of two
+blocks come from a product of their incidence matrices. Only a spanning forest of the links
+between different components leaves the task, at most a row for each record; the pairs of a
+group are never written out, none is left out by a cap, and no task holds a group.
 
 Results: every row gets the size of its set, the smallest id of its component, and whether
 that is itself. Texts without words, or null, have an empty set and link with nothing. A row
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,11 @@ from repeatwise.llm.work import fresh, ship, stored
 SHINGLE = 5
 SIGNATURE = 64
 SKETCH_SHARE = 0.66
-#: Rows of one side of a comparison of blocks.
-BLOCK = 256
+DENSE = 0.4
+#: Records, and bytes of their sets, on one side of a comparison of blocks.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Shingles that one product of incidence matrices takes.
+COLUMNS = 4096
 _MASK = (1 << 64) - 1
 
 
@@ -107,8 +114,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.binary())], ["r", "items"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), SIGNATURE)
+def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), SIGNATURE)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(r, sig) to (r, sketch): the low byte of each token."""
+    for batch in batches:
+        low = _matrix(batch.column(1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([x.tobytes() for x in low], pa.binary())], ["r", "sketch"])
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, sig, sig of the node's centre) to (path, share)."""
+    for batch in batches:
+        if batch.num_rows:
+            same = (_matrix(batch.column(1)) == _matrix(batch.column(2))).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same)], ["path", "share"])
 
 
 def _branch(share: float):
@@ -132,31 +155,79 @@ def _branch(share: float):
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the pairs (a, b) whose signatures agree enough."""
+    """(a, b, sketch_a, sketch_b) to the pairs (a, b) whose sketches agree enough."""
     for batch in batches:
         if batch.num_rows:
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(1)
-            keep = pa.array(same >= SKETCH_SHARE * SIGNATURE)
+            same = (_matrix(batch.column(2), "u1") == _matrix(batch.column(3), "u1")).mean(1)
+            keep = pa.array(same >= SKETCH_SHARE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components of two blocks of a node; (ids, components, signatures) of both."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(records, components, sketches) of small nodes to their pairs across components."""
     for batch in batches:
-        for left, lc, ls, right, rc, rs, same in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.array(left, np.int64), np.array(right, np.int64)
-            x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, SIGNATURE) for s in (ls, rs))
-            different = np.array(lc)[:, None] != np.array(rc)[None, :]
-            if same:
-                different &= a[:, None] < b[None, :]
-            i, j = np.nonzero(different)
-            for at in range(0, len(i), 8192):
-                p, q = i[at:at + 8192], j[at:at + 8192]
-                keep = (x[p] == y[q]).sum(1) >= SKETCH_SHARE * SIGNATURE
-                p, q = a[p[keep]], b[q[keep]]
+        for ids, labels, sketches in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
+            x = np.frombuffer(b"".join(sketches), "u1").reshape(-1, SIGNATURE)
+            i, j = np.nonzero((labels[:, None] != labels) & (ids[:, None] < ids))
+            keep = (x[i] == x[j]).mean(1) >= SKETCH_SHARE
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[i[keep]]), pa.array(ids[j[keep]])], ["a", "b"])
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        items = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, items), max(len(common) - 1, 0))
+        known = common[at] == items if len(common) else np.zeros(len(items), bool)
+        order = np.argsort(at[known], kind="stable")
+        sides.append((row[known][order], at[known][order], len(sets)))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for row, at, n in sides:
+            a, b = np.searchsorted(at, [start, start + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(common) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
+
+
+def _dense(threshold: int):
+    """Function for mapInArrow: (records, components, sets) of two blocks to linking pairs."""
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, labels, items, ids2, labels2, items2 = (c[row].as_py() for c in batch.columns)
+                if len({*labels, *labels2}) == 1:
+                    continue
+                left, right = ([np.frombuffer(x, np.uint64) for x in s] for s in (items, items2))
+                both = intersections(left, right)
+                sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
+                i, j = np.nonzero((100 * both >= threshold * (sizes - both))
+                                  & (np.array(labels)[:, None] != np.array(labels2)))
+                # A spanning forest over components says as much as all these links.
+                root = {x: x for x in (*labels, *labels2)}
+                found = []
+                for p, q in zip(i.tolist(), j.tolist()):
+                    x, y = labels[p], labels2[q]
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    while root[y] != y:
+                        root[y] = y = root[root[y]]
+                    if x != y:
+                        root[x] = y
+                        found.append((ids[p], ids2[q]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                    [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return linked
 
 
 def _confirm(threshold: int):
@@ -175,81 +246,98 @@ def _confirm(threshold: int):
     return confirmed
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of records that are linked, by their full sets.
+def _full_sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(r, items) of the records `wanted` (r); `texts` (r, text) holds the text of each record."""
+    # Other texts are left out before shingles are computed.
+    sets = texts.join(wanted, "r", "left_semi").select("r", "text").mapInArrow(_sets, "r long, items binary")
+    return stored(sets.groupBy("r").agg(F.max("items").alias("items")), "sets")
 
-    `texts` (r, text) holds the text of each record.
-    """
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of records that are linked, by their full sets."""
     pairs = stored(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("r")).union(pairs.select(F.col("b").alias("r"))).distinct()
-    # Records that no pair names are left out before their shingles are computed.
-    sets = texts.join(wanted, "r", "left_semi").select("r", "text").mapInArrow(_sets, "r long, items binary")
-    sets = stored(sets.groupBy("r").agg(F.max("items").alias("items")), "sets")
+    sets = _full_sets(wanted, texts)
     right = sets.select(F.col("r").alias("b"), F.col("items").alias("items_b"))
     left = sets.select(F.col("r").alias("a"), F.col("items").alias("items_a"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "items_a", "items_b")
     return stored(both.mapInArrow(_confirm(threshold), "a long, b long"), "links")
 
 
-def _grown(records: DataFrame, trees: int, branching: float, leaf: int, depth: int) -> DataFrame:
-    """(path, r, n) of the nodes with 2 to `leaf` records, and of larger ones at the last level."""
+def _grown(records: DataFrame, trees: int, branching: float, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(path, r, n) of the nodes with 2 to `leaf` records, and of those that end with more."""
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, F.lit("tree"))))
     open_ = records.select("r", roots.alias("path"), "sig")
-    done = []
+    small, large = [], []
     for level in range(1, depth + 1):
         rows = stored(open_.mapInArrow(_branch(1 / branching), "r long, path long"), f"level{level}")
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         # Paths with a single record, nearly all of them, end here.
         nodes = stored(rows.join(sizes, "path").select("path", "r", "n"), f"nodes{level}")
-        large = nodes.where(F.col("n") > leaf)
-        if level == depth or large.isEmpty():
-            done.append(nodes)
+        small.append(nodes.where(F.col("n") <= leaf))
+        more = nodes.where(F.col("n") > leaf)
+        if level == depth:
+            large.append(more)
+        if level == depth or more.isEmpty():
             break
-        done.append(nodes.where(F.col("n") <= leaf))
-        open_ = large.join(records.select("r", "sig"), "r").select("r", "path", "sig")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
-
-
-def _to_smallest(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """For each record the smallest record of its nodes that its signature agrees with, as (a, b)."""
+        signed = stored(more.join(records.select("r", "sig"), "r"), f"open{level}")
+        centre = signed.groupBy("path").agg(F.min_by("sig", F.xxhash64("r")).alias("centre"))
+        dense = stored(signed.join(centre, "path").select("path", "sig", "centre")
+                       .mapInArrow(_agreement, "path long, share double").groupBy("path")
+                       .agg(F.avg("share").alias("share")).where(F.col("share") >= DENSE).select("path"), "dense")
+        large.append(more.join(dense, "path", "left_semi"))
+        open_ = signed.join(dense, "path", "left_anti").select("r", "path", "sig")
+    return tuple(stored(reduce(DataFrame.union, x), name) if x else x
+                 for x, name in ((small, "small"), (large or [more], "large")))
+
+
+def _to_smallest(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """For each record the smallest record of its nodes that its sketch agrees with, as (a, b)."""
     least = nodes.groupBy("path").agg(F.min("r").alias("a"))
     pairs = nodes.join(least, "path").where("a < r").select("a", F.col("r").alias("b")).distinct()
-    sig = records.select("r", "sig")
-    signed = pairs.join(sig.select(F.col("r").alias("b"), F.col("sig").alias("sig_b")), "b") \
-        .join(sig.select(F.col("r").alias("a"), F.col("sig").alias("sig_a")), "a") \
-        .select("a", "b", "sig_a", "sig_b")
+    with_b = pairs.join(sketches.select(F.col("r").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    signed = with_b.join(sketches.select(F.col("r").alias("a"), F.col("sketch").alias("sketch_a")), "a") \
+        .select("a", "b", "sketch_a", "sketch_b")
     return signed.mapInArrow(_agree, "a long, b long").groupBy("b").agg(F.min("a").alias("a")) \
         .select("a", "b")
 
 
-def _across(nodes: DataFrame, labels: DataFrame, records: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of each node whose records are in different components."""
-    rows = nodes.select("path", "r", "n").join(
-        labels.select(F.col("node").alias("r"), "component"), "r", "left") \
+def _apart(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(path, r, n, c) of the nodes that hold more than one component c."""
+    rows = nodes.join(labels.select(F.col("node").alias("r"), "component"), "r", "left") \
         .select("path", "r", "n", F.coalesce("component", "r").alias("c"))
-    # Nodes that lie in one component as a whole have nothing left to compare.
     spread = rows.groupBy("path").agg(F.min("c").alias("c0"), F.max("c").alias("c1")) \
         .where("c0 <> c1").select("path")
-    rows = rows.join(spread, "path").join(records.select("r", "sig"), "r")
-    blocks = rows.withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")) \
-        .withColumn("own", F.pmod(F.xxhash64("r"), F.col("k")).cast("int"))
-    block = blocks.groupBy("path", "k", "own").agg(
-        F.collect_list(F.struct("r", "c", "sig")).alias("rows"))
+    return rows.join(spread, "path")
+
+
+def _across_small(nodes: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) across components of small nodes."""
+    rows = _apart(nodes, labels).join(sketches, "r").groupBy("path").agg(
+        F.collect_list(F.struct("r", "c", "sketch")).alias("x"))
+    return rows.select("x.r", "x.c", "x.sketch").mapInArrow(_small, "a long, b long")
+
+
+def _across_large(nodes: DataFrame, labels: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join all components of large nodes that have links between them."""
+    rows = _apart(nodes, labels)
+    rows = stored(rows.join(_full_sets(rows.select("r").distinct(), texts), "r"), "large-sets")
+    k = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES)).cast("int")
+    counts = rows.groupBy("path").agg(k.alias("k"))
+    block = rows.join(counts, "path") \
+        .withColumn("own", F.pmod(F.xxhash64("r"), F.col("k")).cast("int")) \
+        .groupBy("path", "k", "own").agg(F.collect_list(F.struct("r", "c", "items")).alias("x"))
     # A block meets the blocks from its own on; a node of one block meets itself.
-    left = block.select("path", "own", F.explode(F.sequence(F.col("own"), F.col("k") - 1)).alias("other"),
-                        F.col("rows").alias("x"))
-    right = block.select("path", F.col("own").alias("other"), F.col("rows").alias("y"))
-    met = left.join(right, ["path", "other"]).select(
-        F.col("x.r"), F.col("x.c"), F.col("x.sig"), F.col("y.r").alias("r2"),
-        F.col("y.c").alias("c2"), F.col("y.sig").alias("sig2"), (F.col("own") == F.col("other")).alias("same"))
-    return met.mapInArrow(_within, "a long, b long")
+    left = block.select("path", F.explode(F.sequence(F.col("own"), F.col("k") - 1)).alias("own"), "x")
+    right = block.select("path", "own", F.col("x").alias("y"))
+    met = left.join(right, ["path", "own"]).select(
+        F.col("x.r"), F.col("x.c"), F.col("x.items"), F.col("y.r").alias("r2"), F.col("y.c").alias("c2"),
+        F.col("y.items").alias("items2"))
+    return stored(met.mapInArrow(_dense(threshold), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                    threshold: int = 85, trees: int = 16, branching: float = 0.75,
+                    threshold: int = 85, trees: int = 12, branching: float = 0.7,
                     leaf: int = 32, depth: int = 8, n_shingles: str = "n_shingles",
                     component: str = "component_id", kept: str = "kept") -> DataFrame:
     """`docs` with the columns `n_shingles`, `component` and `kept`, replacing such.
@@ -264,10 +352,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     records = stored(mapped.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key")
                      .agg(F.min("id").alias("r"), F.max("sig").alias("sig")), "records")
     texts = slim.where("id IS NOT NULL").withColumnRenamed("id", "r")
-    nodes = stored(_grown(records, trees, branching, leaf, depth), "nodes")
-    links = _verified(_to_smallest(nodes, records), texts, threshold)
-    more = _verified(_across(nodes, components(links), records), texts, threshold)
-    labels = components(links.union(more))
+    sketches = stored(records.select("r", "sig").mapInArrow(_sketch, "r long, sketch binary"), "sketches")
+    small, large = _grown(records, trees, branching, leaf, depth)
+    first = _verified(_to_smallest(small.union(large), sketches), texts, threshold)
+    labels = components(first)
+    second = _verified(_across_small(small, labels, sketches), texts, threshold)
+    third = _across_large(large, components(first.union(second)), texts, threshold)
+    labels = components(first.union(second).union(third))
 
     of_set = records.join(labels, F.col("r") == F.col("node"), "left") \
         .select(F.col("key"), F.coalesce("component", "r").alias("c"))

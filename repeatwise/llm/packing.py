@@ -8,7 +8,8 @@ as a sequence has tokens, is all that the plan is made from:
    sequence exactly are enumerated, and how often to use each is fitted to the histogram by
    non-negative least squares, where longer pieces weigh more, as they are harder to place.
 2. Counts are rounded down, and lowered where patterns together ask for more pieces of a
-   length than there are.
+   length than there are. Rests of at least one of the shares `ROUND_UP` are rounded up; the
+   share that leads to the fewest sequences is taken.
 3. Pieces that are left are packed best-fit-decreasing, by length and count: equal pieces go
    into equal sequences in one step, so the work depends on the lengths, not on the rows.
 
@@ -36,6 +37,7 @@ from repeatwise.llm.tokens import encoder
 from repeatwise.llm.work import ship, stored
 
 CAPACITY, END = 1024, 2
+ROUND_UP = (0.01, 0.25, 0.5, 0.75, 1.01)
 END_IDS = np.array([END], "<u4").tobytes()
 
 
@@ -78,22 +80,26 @@ def fit(found: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarr
     return x
 
 
-def rounded(found: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Whole repeat counts that never use more pieces than there are, largest counts first."""
-    left, out = histogram.copy(), []
-    for extra in (0, 1):
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1e-3:
+def rounded(found: np.ndarray, x: np.ndarray, histogram: np.ndarray,
+            up: float) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts that never use more pieces than there are, largest counts first.
+
+    Counts are rounded down, then patterns with a rest of at least `up` are used once more.
+    The pieces used are taken out of `histogram`.
+    """
+    whole = np.floor(x + 1e-6)
+    out: Counter = Counter()
+    for wanted in (whole, (x - whole >= up) * 1):
+        for i in np.argsort(-wanted, kind="stable"):
+            if wanted[i] < 1:
                 break
             need = Counter(int(v) for v in found[i] if v)
-            n = min(int(left[v]) // k for v, k in need.items())
-            n = min(n, int(x[i])) if not extra else n
+            n = min(int(wanted[i]), *(int(histogram[v]) // k for v, k in need.items()))
             if n:
-                out.append((tuple(sorted(need.elements(), reverse=True)), n))
+                out[tuple(sorted(need.elements(), reverse=True))] += n
                 for v, k in need.items():
-                    left[v] -= n * k
-    histogram[:] = left
-    return out
+                    histogram[v] -= n * k
+    return list(out.items())
 
 
 def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -134,8 +140,12 @@ class Plan:
         whole = [((capacity,), int(histogram[capacity]))] if histogram[capacity] else []
         lengths = np.flatnonzero(left)
         found = patterns(lengths, capacity)
-        chosen = rounded(found, fit(found, left), left)
-        self.patterns = whole + chosen + best_fit(left, capacity)
+        x, plans = fit(found, left), []
+        for up in ROUND_UP:
+            rest = left.copy()
+            chosen = rounded(found, x, rest, up)
+            plans.append(chosen + best_fit(rest, capacity))
+        self.patterns = whole + min(plans, key=lambda plan: sum(n for _, n in plan))
         self.n_sequences = sum(n for _, n in self.patterns)
         ranges: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         taken, first = Counter(), 0

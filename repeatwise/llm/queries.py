@@ -97,5 +97,42 @@ FROM cleaned
 """
 
 
+#: CRC-32 bit by bit for the table of bytes, then a fold over each text's bytes.
+OP1 = f"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+docs AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, lower(hex(encode(coalesce(text, '')))) AS h,
+         coalesce(('0x' || left(md5(text), 15))::BIGINT, -1) AS key
+  FROM documents),
+summed AS (
+  SELECT doc_id, size, key, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(
+      range(0, (size - 8)::BIGINT), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a & 255, x) + 1)::INT])), 4294967295) AS text_crc32
+  FROM docs, crc),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY key, doc_id) - size AS b0,
+         sum(size) OVER (ORDER BY key) - sum(size) OVER (PARTITION BY key) AS g0,
+         sum(size) OVER (ORDER BY key) AS g1, sum(size) OVER () AS total
+  FROM summed),
+targets AS (SELECT k, max(total) * k / {SHARDS}.0 AS t, {TOLERANCE} * max(total) / {SHARDS} AS loose
+            FROM placed, range(1, {SHARDS}) r(k) GROUP BY k),
+splits AS (
+  SELECT k, CASE WHEN least(t - g0, g1 - t) <= loose THEN CASE WHEN t - g0 <= g1 - t THEN g0 ELSE g1 END
+                 WHEN t - b0 <= b0 + size - t THEN b0 ELSE b0 + size END AS cut
+  FROM targets JOIN placed ON b0 <= t AND t < b0 + size),
+sharded AS (
+  SELECT doc_id, size, text_crc32, key, (SELECT count(*) FROM splits WHERE cut <= b0)::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot,
+       CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5}
+    return {"op1_histogram_shards": OP1, "op5_line_dedup": OP5}
