@@ -119,22 +119,26 @@ def _ordinary(orders: DataFrame, rule: LabelRule) -> DataFrame:
         "_first": F.first(F.when(q, _first_struct()), ignorenulls=True).over(whole),
     })
     out = _unpack_first(out, rule)
-    # Whole-day age in [min_days, window] means a qualifying time in
-    # (t - (window + 1) days, t - min_days]. The sort above serves this frame too.
     if rule.window < rule.min_days:
-        recent = F.lit(False)
-    else:
-        recent = F.expr(
-            "max(_qualifies) OVER (PARTITION BY user_id ORDER BY pay_time RANGE BETWEEN "
-            f"INTERVAL '{rule.window} 23:59:59.999999' DAY TO SECOND PRECEDING AND "
-            f"INTERVAL '{rule.min_days} 00:00:00' DAY TO SECOND PRECEDING)")
+        return out.withColumn("customer_type", F.lit(NEW))
+    # The latest qualifying time at least min_days old has the smallest age that counts.
+    # This frame only grows, so each row is taken in once; the sort above serves it too.
+    recent = F.expr(
+        "max(_qualified) OVER (PARTITION BY user_id ORDER BY pay_time RANGE BETWEEN "
+        f"UNBOUNDED PRECEDING AND INTERVAL '{rule.min_days} 00:00:00' DAY TO SECOND PRECEDING)")
     return (
-        out.withColumn("_qualifies", q)
-        .withColumn("customer_type", _customer_type(F.coalesce(recent, F.lit(False))))
-        .drop("_qualifies")
+        out.withColumn("_qualified", F.when(q, F.col("pay_time")))
+        .withColumn("_recent", recent)
+        .withColumn("customer_type", _customer_type(_within(F.col("_recent"), rule)))
+        .drop("_qualified", "_recent")
     )
 
 
+def _within(earlier: Column, rule: LabelRule) -> Column:
+    """Whether a time is at most `window` whole days before the order."""
+    return F.coalesce(F.col("pay_time") - earlier < _days(rule.window + 1), F.lit(False))
+
+
 def _hot(orders: DataFrame, rule: LabelRule) -> DataFrame:
     """The same columns for users too large for one task.
 
@@ -186,8 +190,9 @@ def _hot(orders: DataFrame, rule: LabelRule) -> DataFrame:
 def _label_by_day(orders: DataFrame, rule: LabelRule) -> DataFrame:
     """Rolling label from one row per (user, day): no more rows per user than days.
 
-    Days strictly inside the window decide by their mere existence; on its first and
-    last day the time of day counts, for which the extremes of that day suffice.
+    Of the days that are more than `min_days` back the latest qualifying time decides; on
+    the day exactly `min_days` back the time of day counts, so its earliest one does. Both
+    come from frames that only grow or hold a single day.
     """
     if rule.window < rule.min_days:
         return orders.withColumn("customer_type", F.lit(NEW))
@@ -195,25 +200,16 @@ def _label_by_day(orders: DataFrame, rule: LabelRule) -> DataFrame:
     days = orders.groupBy("user_id", F.col("pay_time").cast("date").alias("_day")).agg(
         F.min(q).alias("_early"), F.max(q).alias("_late"))
     line = W.partitionBy("user_id").orderBy(F.col("_daynum"))
-    near, far = rule.min_days, rule.window
-    marks = (
-        days.withColumn("_daynum", F.unix_date("_day"))
-        .select(
-            "user_id", "_day",
-            (F.count("_early").over(line.rangeBetween(-far, -near - 1)) > 0).alias("_inside")
-            if far > near else F.lit(False).alias("_inside"),
-            F.min("_early").over(line.rangeBetween(-near, -near)).alias("_near"),
-            F.max("_late").over(line.rangeBetween(-far - 1, -far - 1)).alias("_far"),
-        )
-    )
-    returning = (
-        F.col("_inside")
-        | F.coalesce(F.col("_near") + _days(near) <= F.col("pay_time"), F.lit(False))
-        | F.coalesce(F.col("_far") + _days(far + 1) > F.col("pay_time"), F.lit(False))
-    )
+    near = rule.min_days
+    marks = days.withColumn("_daynum", F.unix_date("_day")).select(
+        "user_id", "_day",
+        F.max("_late").over(line.rangeBetween(W.unboundedPreceding, -near - 1)).alias("_recent"),
+        F.min("_early").over(line.rangeBetween(-near, -near)).alias("_near"))
+    returning = _within(F.col("_recent"), rule) | F.coalesce(
+        F.col("_near") + _days(near) <= F.col("pay_time"), F.lit(False))
     return (
         orders.withColumn("_day", F.col("pay_time").cast("date"))
         .join(marks, ["user_id", "_day"])
         .withColumn("customer_type", _customer_type(returning))
-        .drop("_day", "_inside", "_near", "_far")
+        .drop("_day", "_recent", "_near")
     )

@@ -8,7 +8,8 @@ care: they combine each user's rows before joining on the user.
 A user is hot when it owns more than `share` of all rows (and more than `floor`
 rows). Fewer than 1/share users can be hot, whatever the data, so the list is safe
 to hold on the driver and to broadcast. At a trillion rows the default leaves at
-most ten million rows of one user to a task.
+most ten million rows of one user to a task; the windows there take in each row once, so
+their cost is that of the sort, which can spill.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,21 @@ def test_same_day_pairs_count_as_zero_days(make_orders):
     orders = make_orders([{"user_id": "u", "pay_time": START}, {"user_id": "u", "pay_time": START}])
     assert [r.days_between for r in jn.pairs(jn.journey(orders, RULE)).collect()] == [0]
     assert jn.journey(orders, RULE).agg(F.max("purchase_rank")).first()[0] == 2
+
+
+def test_one_user_with_very_many_orders(spark):
+    """The label's frame takes each row in once: minutes if it were summed up again for each."""
+    orders = spark.range(200_000).selectExpr(
+        "'u' AS user_id", "cast(id AS string) AS sub_order_id", "'s' AS sku", "'i' AS influencer_name",
+        "'done' AS order_status", "'none' AS after_sale_status", "cast(id % 7 AS decimal(18,2)) AS gmv",
+        "cast(id % 7 AS decimal(18,2)) AS payable_amount", "'c' AS category", "'self' AS channel_type",
+        "'' AS platform_discount",
+        "timestampadd(HOUR, cast(id AS int), timestamp_ntz'1990-01-01 00:00:00') AS pay_time") \
+        .selectExpr("*", "pay_time AS order_submit_time", "cast(pay_time AS date) AS order_date",
+                    "date_format(pay_time, 'yyyy-MM') AS order_ym")
+    rule = LabelRule(6, 1, 9999, (), ("done",))
+    start = time.perf_counter()
+    counts = dict(map(tuple, jn.label(orders, rule).groupBy("customer_type").count().collect()))
+    assert time.perf_counter() - start < 60
+    # The first qualifying order is the seventh; a day later all are returning.
+    assert counts == {"new": 6 + 24, "returning": 200_000 - 30}
