@@ -11,8 +11,9 @@ hosts are one host. A null text stays null and an empty one empty, and both coun
 Only built-in functions run. Lines are counted per (host, 128-bit hash) with partial sums
 before the shuffle, so a host or a line with a third of all pages sends one row from each
 task. A host has at most (lines of an average page) / ratio lines over the ratio, so its
-list is small; it meets the pages in a join on host, which Spark broadcasts only if the
-lists of all hosts are small and whose skewed side it splits otherwise.
+list is small. The lists are written and measured: up to `BROADCAST_BYTES` for all hosts
+together they are broadcast, and the pages aren't shuffled at all; beyond that both meet in a
+join on host, whose skewed side Spark splits. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repeatwise.llm.work import fresh
+from repeatwise.llm.work import fresh, stored
+
+#: Bytes of boilerplate hashes that are broadcast.
+BROADCAST_BYTES = 32 << 20
+HASH_BYTES = 16
 
 
 def _hash(line: Column) -> Column:
@@ -56,17 +61,20 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     """
     found = boilerplate(pages, text, host, ratio, min_pages)
     own, lines, before, after = (fresh(pages, x) for x in ("_host", "_boilerplate", "_before", "_after"))
-    found = found.select(F.col("host").alias(own), F.col("lines").alias(lines))
+    found = stored(found.select(F.col("host").alias(own), F.col("lines").alias(lines)), "boilerplate")
+    size = found.agg(F.sum(F.size(lines) * HASH_BYTES + F.coalesce(F.octet_length(own), F.lit(0)))).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     joined = pages.join(found, pages[host].eqNullSafe(found[own]), "left") \
         .withColumn(before, F.split(F.col(text), "\n", -1)) \
         .withColumn(after, F.when(F.col(lines).isNull(), F.col(before)).otherwise(F.filter(
             before, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(lines), _hash(x)))))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     more = {}
     if n_lines:
-        more[n_lines] = F.when(F.col(before).isNull(), 0).otherwise(size(before)).cast("long")
+        more[n_lines] = count(before)
     if n_dropped:
-        more[n_dropped] = F.when(F.col(before).isNull(), 0).otherwise(size(before) - size(after)).cast("long")
+        more[n_dropped] = count(before) - count(after)
     kept = [F.array_join(after, "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
     return joined.select(*kept, *(v.alias(k) for k, v in more.items()))
 
