@@ -85,18 +85,25 @@ LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedpr
 CTES["raw"] = f"""
   SELECT {LINE},
     CASE WHEN l_linenumber = 7 AND l_orderkey % 10 = 0 THEN NULL
-      WHEN l_orderkey % 11 = 0 THEN '  ' || o_custkey || ' ' ELSE o_custkey::VARCHAR END AS user_id,
+      WHEN l_orderkey % 11 = 0 THEN '  ' || o_custkey || ' '
+      WHEN l_orderkey % 11 = 1 THEN chr(9) || o_custkey || chr(12288) || chr(160) || chr(10)
+      ELSE o_custkey::VARCHAR END AS user_id,
     CASE WHEN l_orderkey % 13 = 0 THEN CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN 'None' END
       ELSE l_orderkey || '-' || l_linenumber END AS sub_order_id,
     CASE WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN 'nan'
-      WHEN l_linenumber = 3 AND l_orderkey % 7 = 0 THEN '  ' ELSE ' ' || p_brand END AS sku,
+      WHEN l_linenumber = 3 AND l_orderkey % 7 = 0 THEN '  '
+      WHEN l_linenumber = 3 AND l_orderkey % 7 = 1 THEN chr(9) || chr(8195) ELSE ' ' || p_brand END AS sku,
     CASE WHEN l_linenumber = 4 AND l_orderkey % 3 = 0 THEN NULL ELSE s_name END AS influencer_name,
     CASE WHEN l_orderkey % 17 = 0 THEN '' ELSE o_orderstatus END AS order_status,
     CASE l_linenumber WHEN 1 THEN '-' WHEN 2 THEN 'None' WHEN 3 THEN 'nan' WHEN 4 THEN '' ELSE l_returnflag END AS after_sale_status,
     CASE l_orderkey % 19 WHEN 0 THEN '12d' WHEN 1 THEN '1,000' WHEN 2 THEN ' 123.45 ' WHEN 3 THEN '1.5e3'
+      WHEN 4 THEN chr(160) || l_extendedprice::DECIMAL(18,2)::VARCHAR || chr(9)
       ELSE l_extendedprice::DECIMAL(18,2)::VARCHAR END AS payable_amount,
     CASE l_orderkey % 23 WHEN 0 THEN 'bad' WHEN 1 THEN NULL
       WHEN 2 THEN strftime(o_orderdate + to_hours(l_linenumber * 3), '%Y/%-m/%-d %-H:%M')
+      WHEN 3 THEN strftime(o_orderdate + to_hours(l_linenumber * 3), '%Y%m%d %H:%M:%S')
+      WHEN 4 THEN strftime(o_orderdate + to_hours(l_linenumber * 3), '%Y.%-m.%-d')
+      WHEN 5 THEN strftime(o_orderdate + to_hours(l_linenumber * 3), '%Y-%m-%d  %-I:%M:%S %p')
       ELSE strftime(o_orderdate + to_hours(l_linenumber * 3), '%Y-%m-%d %H:%M:%S') END AS pay_time,
     strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_submit_time,
     CASE WHEN l_linenumber = 5 THEN 'nan' ELSE p_type END AS category,
@@ -105,21 +112,27 @@ CTES["raw"] = f"""
   FROM {JOINED}"""
 CTES["timed"] = """
   SELECT * REPLACE (coalesce(try_strptime(pay_time, '%Y-%m-%d %H:%M:%S'),
-      try_strptime(pay_time, '%Y/%m/%d %H:%M')) AS pay_time,
+      try_strptime(pay_time, '%Y/%m/%d %H:%M'), try_strptime(pay_time, '%Y%m%d %H:%M:%S'),
+      try_strptime(pay_time, '%Y.%m.%d'), try_strptime(pay_time, '%Y-%m-%d  %I:%M:%S %p')) AS pay_time,
     strptime(order_submit_time, '%Y-%m-%d %H:%M:%S') AS order_submit_time)
   FROM raw"""
 
 
+def strip(x):
+    """By character classes, where the engine lists the characters."""
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def _text(column, tokens, default):
     listed = ", ".join(f"'{t}'" for t in tokens)
-    return (f"CASE WHEN {column} IS NULL OR trim({column}) IN ({listed}) THEN '{default}' "
-            f"ELSE trim({column}) END AS {column}")
+    return (f"CASE WHEN {column} IS NULL OR {strip(column)} IN ({listed}) THEN '{default}' "
+            f"ELSE {strip(column)} END AS {column}")
 
 
-MONEY = """CASE WHEN regexp_full_match(trim(payable_amount), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
-  THEN CAST(trim(payable_amount) AS DECIMAL(18,2)) ELSE 0::DECIMAL(18,2) END"""
+MONEY = f"""CASE WHEN regexp_full_match({strip('payable_amount')}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+  THEN CAST({strip('payable_amount')} AS DECIMAL(18,2)) ELSE 0::DECIMAL(18,2) END"""
 CTES["norm"] = f"""
-  SELECT {LINE}, trim(user_id) AS user_id, {_text('sub_order_id', ('nan', 'None'), '')},
+  SELECT {LINE}, {strip('user_id')} AS user_id, {_text('sub_order_id', ('nan', 'None'), '')},
     {_text('sku', ('nan', ''), 'unknown')}, {_text('influencer_name', ('nan', ''), 'shelf')},
     {_text('order_status', ('nan', ''), 'unknown')},
     {_text('after_sale_status', ('nan', '', '-', 'None'), 'none')},
@@ -135,7 +148,7 @@ CTES["cleaned"] = f"""
     CASE WHEN sub_order_id = '' THEN sku END, CASE WHEN sub_order_id = '' THEN influencer_name END
     ORDER BY {LINE}) = 1"""
 CTES["rawsamples"] = f"""
-  SELECT {LINE}, trim(user_id) AS user_id, {_text('sub_order_id', ('nan', 'None'), '')},
+  SELECT {LINE}, {strip('user_id')} AS user_id, {_text('sub_order_id', ('nan', 'None'), '')},
     {_text('category', ('nan', '', 'None', '-'), 'unknown')},
     {_text('sku', ('nan', '', 'None', '-'), 'unknown')},
     {_text('after_sale_status', ('nan', '', 'None', '-'), 'unknown')},

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..schema import LabelRule, MONEY, NEW, RETURNING
 
+# The characters Unicode counts as white space, and the separators next to them.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Fixed value: what a plain decimal or scientific number looks like.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -58,24 +61,47 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return out
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def clean_text(column: str, tokens: tuple[str, ...], default: str) -> Column:
-    """Trimmed text; null and every missing-value token become the default."""
-    text = F.trim(F.col(column))
+    """Stripped text; null and every missing-value token become the default."""
+    text = strip(F.col(column))
     return F.when(text.isNull() | text.isin(*tokens), F.lit(default)).otherwise(text)
 
 
 def parse_time(column: str) -> Column:
-    """Timestamp without zone from dashed or slashed text, null if unreadable."""
-    text = F.translate(F.trim(F.col(column)), "/", "-")
+    """Timestamp without zone from text, null if unreadable.
+
+    Dates may be dashed, slashed, dotted or eight digits in a row; the time of day may be
+    missing, or on the twelve-hour clock with AM or PM. An offset is not applied: times are
+    wall-clock times of the shop.
+    """
+    text = F.regexp_replace(strip(F.col(column)), f"[{SPACES}]+", " ")
+    text = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[ T])", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3")
+    half = F.upper(F.regexp_extract(text, r"(?i)\d ?([AP]M)$", 1))
+    value = F.regexp_replace(text, r"(?i) ?[AP]M$", "").try_cast("timestamp_ntz")
+    hour = F.hour(value)
+    noon = F.make_dt_interval(hours=F.when((half == "PM") & (hour < 12), 12)
+                              .when((half == "AM") & (hour == 12), -12).otherwise(0))
     # A bare number is not a date here, though a cast would read it as a year.
-    return F.when(text.contains("-"), text.try_cast("timestamp_ntz"))
+    return F.when(text.contains("-") & ((half == "") | hour.between(1, 12)), value + noon)
+
+
+def to_money(number: Column) -> Column:
+    """Amount of a text that is a number; one that an amount can't hold is an error."""
+    return F.when(number.isNotNull(), F.coalesce(
+        number.try_cast(MONEY),
+        F.raise_error(F.concat(F.lit("amount out of range: "), number)).cast(MONEY)))
 
 
 def parse_money(column: str) -> Column:
-    """Amount from text, zero if it is not a plain number."""
-    text = F.trim(F.col(column))
-    value = F.when(text.rlike(NUMBER), text.try_cast(MONEY))
-    return F.coalesce(value, F.lit(0).cast(MONEY))
+    """Amount from text in whole cents, rounded half up; zero if it is not a plain number."""
+    text = strip(F.col(column))
+    return F.coalesce(to_money(F.when(text.rlike(NUMBER), text)), F.lit(0).cast(MONEY))
 
 
 def is_new() -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_text, parse_money, parse_time
+from ..functions.columns import clean_text, parse_money, parse_time, strip
 from ..schema import (
     CROWD_COLUMNS, CROWD_TEXT, ID_TOKENS, MEMBER_COLUMNS, MONEY, ORDER_COLUMNS,
     ORDER_TEXT, SAMPLE_COLUMNS, SAMPLE_TEXT, SOURCE_COLUMNS,
@@ -58,17 +60,16 @@ def _first_order(df: DataFrame) -> list[str]:
 def _pay_time(df: DataFrame, rowwise: bool) -> DataFrame:
     """Parse both times and fall back to the submit time.
 
-    Row by row if `rowwise`; otherwise only when no row at all has a pay time. That
-    test reads a single column and stops at the first hit.
+    Row by row if `rowwise`; otherwise only when no row at all has a pay time. Only then
+    a test runs, which reads a single column and stops at the first hit.
     """
     nothing = F.lit(None).cast("timestamp_ntz")
     pay = parse_time("pay_time") if "pay_time" in df.columns else nothing
     submit = parse_time("order_submit_time") if "order_submit_time" in df.columns else nothing
-    if "pay_time" not in df.columns:
-        chosen = submit
+    if rowwise or "pay_time" not in df.columns:
+        chosen = F.coalesce(pay, submit)
     else:
-        some = df.where(pay.isNotNull()).exists()
-        chosen = F.when(some, F.coalesce(pay, submit) if rowwise else pay).otherwise(submit)
+        chosen = F.when(df.where(pay.isNotNull()).exists(), pay).otherwise(submit)
     return df.withColumns({"pay_time": chosen, "order_submit_time": submit})
 
 
@@ -90,7 +91,7 @@ def _money(df: DataFrame) -> DataFrame:
 def normalise_orders(raw: DataFrame, rowwise_time: bool = False) -> DataFrame:
     """Everything `clean_orders` does short of de-duplication."""
     df = _pay_time(rename_and_keep(raw, ORDER_COLUMNS), rowwise_time)
-    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", F.trim("user_id"))
+    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", strip(F.col("user_id")))
     df = _dates(fill_text(_money(df), ORDER_TEXT))
     return fill_text(df, {"sub_order_id": (("nan", "None"), "")})
 
@@ -104,7 +105,7 @@ def clean_orders(raw: DataFrame, rowwise_time: bool = False) -> DataFrame:
 def clean_samples(raw: DataFrame) -> DataFrame:
     """Samples; unlike orders a missing pay time is filled row by row."""
     df = _pay_time(rename_and_keep(raw, SAMPLE_COLUMNS), rowwise=True)
-    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", F.trim("user_id"))
+    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", strip(F.col("user_id")))
     df = _dates(fill_text(_money(df), SAMPLE_TEXT))
     df = fill_text(df, {"sub_order_id": (("nan", "None"), "")})
     keys = _id_or_fallback(("user_id", "pay_time", "sku", "sample_type"))
@@ -112,8 +113,12 @@ def clean_samples(raw: DataFrame) -> DataFrame:
 
 
 def _with_user(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows with a user; without the column there is none, and the table is empty."""
     df = rename_and_keep(raw, columns)
-    user = F.trim("user_id")
+    if "user_id" not in df.columns:
+        warnings.warn("no user column was delivered: the table is empty", stacklevel=3)
+        df = df.withColumn("user_id", F.lit(None).cast("string"))
+    user = strip(F.col("user_id"))
     return df.withColumn("user_id", user).where(user.isNotNull() & ~user.isin(*ID_TOKENS))
 
 

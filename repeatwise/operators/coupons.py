@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import strip, to_money
 from ..schema import MONEY
 
 # Fixed value: a name, a dash and a number that may have thousands commas.
@@ -17,13 +18,13 @@ COUPON = r"^(.+)-([\d,]+(?:\.\d+)?)$"
 
 def coupon_array() -> Column:
     """Readable pieces as array<struct<coupon, amount>>, in text order."""
-    pieces = F.transform(F.split("platform_discount", ";"), lambda p: F.trim(p))
+    pieces = F.transform(F.split("platform_discount", ";"), strip)
     parsed = F.transform(
         F.filter(pieces, lambda p: p.rlike(COUPON)),
         lambda p: F.struct(
-            F.trim(F.regexp_extract(p, COUPON, 1)).alias("coupon"),
-            F.replace(F.regexp_extract(p, COUPON, 2), F.lit(","), F.lit(""))
-            .try_cast(MONEY).alias("amount")))
+            strip(F.regexp_extract(p, COUPON, 1)).alias("coupon"),
+            to_money(F.nullif(F.replace(F.regexp_extract(p, COUPON, 2), F.lit(","), F.lit("")), F.lit("")))
+            .alias("amount")))
     return F.filter(parsed, lambda c: c["amount"].isNotNull())
 
 

@@ -126,13 +126,14 @@ def raw_orders(spark: SparkSession, path: str) -> DataFrame:
     lit = F.lit
     columns = {
         "user_id": F.when((line == 7) & (key % 10 == 0), lit(None))
-        .when(key % 11 == 0, F.concat(lit("  "), user, lit(" "))).otherwise(user),
+        .when(key % 11 == 0, F.concat(lit("  "), user, lit(" ")))
+        .when(key % 11 == 1, F.concat(lit("\t"), user, lit("\u3000\xa0\n"))).otherwise(user),
         "sub_order_id": F.when(
             key % 13 == 0,
             F.when(line % 4 == 0, lit("")).when(line % 4 == 1, lit("nan"))
             .when(line % 4 == 2, lit("None"))).otherwise(sub_id),
         "sku": F.when((line == 2) & (key % 5 == 0), lit("nan"))
-        .when((line == 3) & (key % 7 == 0), lit("  "))
+        .when((line == 3) & (key % 7 == 0), lit("  ")).when((line == 3) & (key % 7 == 1), lit("\t\u2003"))
         .otherwise(F.concat(lit(" "), F.col("p_brand"))),
         "influencer_name": F.when((line == 4) & (key % 3 == 0), lit(None))
         .otherwise(F.col("s_name")),
@@ -141,9 +142,12 @@ def raw_orders(spark: SparkSession, path: str) -> DataFrame:
         .when(line == 3, lit("nan")).when(line == 4, lit("")).otherwise(F.col("l_returnflag")),
         "payable_amount": F.when(key % 19 == 0, lit("12d")).when(key % 19 == 1, lit("1,000"))
         .when(key % 19 == 2, lit(" 123.45 ")).when(key % 19 == 3, lit("1.5e3"))
-        .otherwise(number),
+        .when(key % 19 == 4, F.concat(lit("\xa0"), number, lit("\t"))).otherwise(number),
         "pay_time": F.when(key % 23 == 0, lit("bad")).when(key % 23 == 1, lit(None))
         .when(key % 23 == 2, F.date_format(time, "yyyy/M/d H:mm"))
+        .when(key % 23 == 3, F.date_format(time, "yyyyMMdd HH:mm:ss"))
+        .when(key % 23 == 4, F.date_format(time, "yyyy.M.d"))
+        .when(key % 23 == 5, F.date_format(time, "yyyy-MM-dd  h:mm:ss a"))
         .otherwise(F.date_format(time, "yyyy-MM-dd HH:mm:ss")),
         "order_submit_time": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
         "category": F.when(line == 5, lit("nan")).otherwise(F.col("p_type")),

@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 
+from repeatwise.functions.columns import parse_money, parse_time
 from repeatwise.operators import clean
+from repeatwise.operators.clean import clean_crowds, clean_members
 from repeatwise.schema import ORDER_COLUMNS, SAMPLE_COLUMNS, SOURCE_COLUMNS
 
 
@@ -126,3 +128,45 @@ def test_only_allowed_columns_survive(spark):
     headers = [SOURCE_COLUMNS["user_id"], "phone", SOURCE_COLUMNS["sku"]]
     raw = spark.createDataFrame([("u", "1", "s")], ", ".join(f"`{h}` string" for h in headers))
     assert clean.rename_and_keep(raw, ORDER_COLUMNS).columns == ["user_id", "sku"]
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("2024-01-02 03:04:05", "2024-01-02 03:04:05"), ("2024/1/2 3:04", "2024-01-02 03:04:00"),
+    ("20240102", "2024-01-02 00:00:00"), ("20240102 03:04:05", "2024-01-02 03:04:05"),
+    ("2024.1.2", "2024-01-02 00:00:00"), ("2024-01-02 3:04:05 PM", "2024-01-02 15:04:05"),
+    ("2024-01-02 12:04:05 am", "2024-01-02 00:04:05"), ("2024-01-02 12:30 PM", "2024-01-02 12:30:00"),
+    ("2024-01-02   03:04:05", "2024-01-02 03:04:05"), ("\t2024-01-02　", "2024-01-02 00:00:00"),
+    ("2024-01-02 15:04 PM", None), ("2024-01-02 03:04:05.250", "2024-01-02 03:04:05.25"),
+    ("2024", None), ("20241302", None), ("bad", None), ("", None), (None, None),
+])
+def test_time_formats(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(parse_time("t").cast("string")).first()[0] == expected
+
+
+@pytest.mark.parametrize("text, expected", [
+    (" 7\t", "7.00"), (" 12.5　", "12.50"), ("1e3", "1000.00"), ("12.345", "12.35"),
+    ("9999999999999999.99", "9999999999999999.99"), ("12d", "0.00"), ("", "0.00"), (None, "0.00"),
+])
+def test_amounts(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "a string")
+    assert str(df.select(parse_money("a")).first()[0]) == expected
+
+
+@pytest.mark.parametrize("text", ["1e17", "123456789012345678"])
+def test_amounts_out_of_range_are_an_error(spark, text):
+    with pytest.raises(Exception, match="amount out of range"):
+        spark.createDataFrame([(text,)], "a string").select(parse_money("a")).collect()
+
+
+def test_white_space_of_all_kinds_is_stripped(spark):
+    df = spark.createDataFrame([("\t7　",), ("7 \n",), ("7",), ("  ",)], "user_id string")
+    assert [r.user_id for r in clean_members(df).collect()] == ["7"]
+
+
+def test_members_and_crowds_without_users_are_empty(spark):
+    df = spark.createDataFrame([("x", "2024-01-01")], "crowd_name string, join_time string")
+    with pytest.warns(UserWarning, match="no user column"):
+        assert clean_members(df).count() == 0
+    with pytest.warns(UserWarning, match="no user column"):
+        assert clean_crowds(df).count() == 0
