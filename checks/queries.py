@@ -105,7 +105,7 @@ def s4_rename_and_keep(spark, sf):
 
 def _stored(spark, sf) -> str:
     path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    store.save(tables(spark, sf), path)
+    store.save(tables(spark, sf), path, with_pairs=True)
     return path
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.clean import clean_crowds, clean_members, clean_orders, clean_samples
 from ..operators.journey import journey, pairs, without_journey
 from ..operators.skew import hot_users
-from ..schema import FILE_KEYWORDS, LabelRule, Tables
-from ..sources.landing import load_landing
-from ..sources.store import load, save
+from ..schema import FILE_KEYWORDS, LabelRule, SourceMissing, Tables
+from ..session import shared_folder
+from ..sources.landing import load_zone
+from ..sources.store import load, remove, save
 
 
 def assemble(orders: DataFrame, rule: LabelRule = LabelRule(), hot: tuple[str, ...] = (),
@@ -23,25 +24,31 @@ def assemble(orders: DataFrame, rule: LabelRule = LabelRule(), hot: tuple[str, .
 
 def relabel(tables: Tables, rule: LabelRule) -> Tables:
     """The same bundle under another rule; pairs follow their orders."""
+    shared_folder(tables.orders.sparkSession)  # large users need it: no later surprise
     base = without_journey(tables.orders)
     again = assemble(base, rule, tables.hot_users)
     return replace(tables, orders=again.orders, pairs=again.pairs)
 
 
 def build(spark: SparkSession, landing: str, out: str, rule: LabelRule = LabelRule(),
-          keywords: dict[str, str] = FILE_KEYWORDS) -> Tables:
+          keywords: dict[str, str] = FILE_KEYWORDS, with_pairs: bool = False) -> Tables:
     """Clean, label and store everything a landing zone holds.
 
     Cleaned orders are written once and read back, so de-duplication is not repeated
-    for the user count and the labelled orders. The latter hold each order's successor,
-    from which pairs are read without another shuffle.
+    for the user count and the labelled orders; that copy is removed in the end. The
+    stored orders hold each order's successor, from which pairs are read without another
+    shuffle. Whatever the data, `spark.checkpoint.dir` must be there on a cluster, as
+    users too large for one task need it.
     """
-    raw = {name: load_landing(spark, landing, word, required=name == "orders")
-           for name, word in keywords.items()}
+    shared_folder(spark)
+    raw = load_zone(spark, landing, keywords)
+    if raw["orders"] is None:
+        raise SourceMissing(keywords["orders"])
     staged = f"{out}/_cleaned_orders"
     clean_orders(raw["orders"]).write.mode("overwrite").parquet(staged)
     orders = spark.read.parquet(staged)
     cleaners = {"samples": clean_samples, "members": clean_members, "crowds": clean_crowds}
     optional = {name: f(raw[name]) for name, f in cleaners.items() if raw.get(name) is not None}
-    save(assemble(orders, rule, hot_users(orders), **optional), out)
+    save(assemble(orders, rule, hot_users(orders), **optional), out, with_pairs)
+    remove(spark, staged)
     return load(spark, out)

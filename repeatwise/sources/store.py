@@ -46,11 +46,11 @@ SCHEMAS = {
 }
 
 
-def save(tables: Tables, path: str) -> None:
+def save(tables: Tables, path: str, with_pairs: bool = False) -> None:
     """Write every table that is there as Parquet, plus catalogue and extent.
 
-    Stored orders carry their successor, so pairs are projected from the stored
-    orders rather than computed a second time.
+    Stored orders carry their successor, and `load` reads pairs off them. A copy of
+    the pairs is written on request only, for readers other than this package.
     """
     spark = tables.orders.sparkSession
     together(*[
@@ -60,12 +60,18 @@ def save(tables: Tables, path: str) -> None:
     orders = load_table(spark, path, "orders")
     hot = spark.createDataFrame([(u,) for u in tables.hot_users], "user_id string")
     together(
-        lambda: _write(pairs(orders), "pairs", path),
+        *([lambda: _write(pairs(orders), "pairs", path)] if with_pairs else []),
         lambda: catalogue(orders).write.mode("overwrite").parquet(f"{path}/catalogue"),
         lambda: extent(orders).write.mode("overwrite").json(f"{path}/extent"),
         lambda: hot.write.mode("overwrite").parquet(f"{path}/hot_users"))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def together(*jobs) -> None:
     """Start independent Spark jobs at once, so small ones fill gaps of large ones."""
     with ThreadPoolExecutor(len(jobs)) as pool:

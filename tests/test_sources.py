@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import pathlib
 
 import pytest
@@ -25,7 +26,7 @@ def test_files_are_stacked_by_name_as_text(spark, tmp_path):
     _csv(tmp_path / "b orders.csv", ["y", "z"], ["5", "6"])
     _csv(tmp_path / "~$a orders.csv", ["x", "y"], ["lock", "lock"])
     _csv(tmp_path / "other.csv", ["x"], ["9"])
-    (tmp_path / "orders.txt").write_text("x\n1")
+    (tmp_path / "notes.txt").write_text("x\n1")
     raw = landing.load_landing(spark, str(tmp_path), "orders")
     assert {f.dataType.typeName() for f in raw.select("x", "y", "z").schema} == {"string"}
     rows = raw.orderBy("_file", "_pos").select("x", "y", "z").collect()
@@ -40,10 +41,42 @@ def test_a_folder_is_read_as_one_unit(spark, tmp_path):
     assert landing.load_landing(spark, str(tmp_path), "orders").count() == 3
 
 
-def test_a_deviating_header_inside_a_folder_is_an_error(spark, tmp_path):
+def test_headers_inside_a_folder_may_differ(spark, tmp_path):
     _csv(tmp_path / "orders" / "part-0.csv", ["x", "y"], ["1", "2"])
-    _csv(tmp_path / "orders" / "part-1.csv", ["y", "x"], ["1", "2"])
-    with pytest.raises(Exception, match="header"):
+    _csv(tmp_path / "orders" / "deep" / "part-1.csv", ["y", "x"], ["3", "4"])
+    raw = landing.load_landing(spark, str(tmp_path), "orders")
+    assert sorted(map(tuple, raw.select("x", "y").collect())) == [("1", "2"), ("4", "3")]
+
+
+def test_files_that_cannot_be_read_are_an_error(spark, tmp_path):
+    _csv(tmp_path / "orders_a.csv", ["x"], ["1"])
+    (tmp_path / "orders_b.xlsx").write_bytes(b"PK")
+    with pytest.raises(landing.UnreadableSource, match="orders_b.xlsx"):
+        landing.load_landing(spark, str(tmp_path), "orders")
+
+
+def test_awkward_deliveries(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "orders_a.csv").write_text('\ufeffx,y\n1,"two\nlines ""quoted"""\n', encoding="utf-8")
+    with gzip.open(tmp_path / "orders_b.csv.gz", "wt") as f:
+        f.write("y,x\n3,2\n")
+    _csv(tmp_path / "orders_e[1] {x}.csv", ["x", "y"], ["4", "5"])
+    (tmp_path / "orders_empty.csv").write_text("")
+    spark.createDataFrame([(6, "7")], "x int, y string").write.parquet(str(tmp_path / "orders_f" / "sub"))
+    _csv(tmp_path / "orders_f" / "g.csv", ["x", "y"], ["8", "9"])
+    spark.createDataFrame([("10", "11")], "x string, y string").write.parquet(str(tmp_path / "orders_h"))
+    near = os.path.relpath(tmp_path, spark._jvm.java.lang.System.getProperty("user.dir"))
+    for path in (str(tmp_path), near, f"./{near}", f"{tmp_path}/"):
+        raw = landing.load_landing(spark, path, "orders")
+        assert sorted(map(tuple, raw.select("x", "y").collect())) == sorted([
+            ("1", 'two\nlines "quoted"'), ("2", "3"), ("4", "5"), ("6", "7"), ("8", "9"), ("10", "11")])
+
+
+@pytest.mark.parametrize("row", ["1,2,3", "1"])
+def test_malformed_rows_are_an_error(spark, tmp_path, row):
+    (tmp_path / "orders.csv").write_text(f"x,y\n1,2\n{row}\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
         landing.load_landing(spark, str(tmp_path), "orders").select("x").collect()
 
 
@@ -67,11 +100,12 @@ def built(spark, tmp_path_factory):
          ["u1", "2", "s2", "已完成", "20", "2024/2/3 9:00", "", "达人", "secret"],
          ["u2", "3", "s1", "已关闭", "900", "2024-02-05", "i1", "自营", "secret"])
     _csv(zone / f"{FILE_KEYWORDS['members']}.csv", [H["user_id"], H["join_time"]], ["u1", "2024-01-05"])
-    return build(spark, str(zone), out, LabelRule()), out
+    return build(spark, str(zone), out, LabelRule(), with_pairs=True), out
 
 
 def test_build_from_source_headers(built):
-    t, _ = built
+    t, out = built
+    assert not os.path.exists(f"{out}/_cleaned_orders")
     rows = t.orders.orderBy("sub_order_id").collect()
     assert [(r.sub_order_id, r.sku, r.customer_type, r.purchase_rank) for r in rows] == [
         ("1", "s1", "new", 1), ("2", "s2", "returning", 2), ("3", "s1", "new", 1)]
