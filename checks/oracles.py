@@ -475,7 +475,7 @@ O["t8_trend_detail"] = sql("scoped", " UNION ALL ".join(
 for _m, _total in (("gmv", "sum(gmv)"), ("buyers", "count(DISTINCT user_id)")):
     O[f"p1_product_rank_{_m}"] = sql("scoped", f"""
       SELECT sku, {_m}::DOUBLE AS total, {rnd(pct(_m, f'(SELECT {_total} FROM scoped)'), 2)} AS store_share
-      FROM {agg('scoped', 'sku')} ORDER BY total DESC, sku LIMIT 10""")
+      FROM {agg('scoped', 'sku')} ORDER BY total DESC, sku LIMIT 50""")
     O[f"p2_product_split_{_m}"] = sql("scoped", f"""
       SELECT sku, new_{_m}::DOUBLE AS new, returning_{_m}::DOUBLE AS returning, {_m}::DOUBLE AS total,
         {pct(f'new_{_m}', _m)} AS new_pct, {pct(f'returning_{_m}', _m)} AS returning_pct
@@ -502,7 +502,7 @@ def cycle(by, minimum):
 
 O["r1_cycle_influencer"] = sql("scoped spairs", f"SELECT * FROM {cycle('influencer', 2)}")
 O["r1_cycle_sku"] = sql("scoped spairs", f"SELECT * FROM {cycle('sku', 5)}")
-_brands = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
+_brands = [f"Brand#{i}" for i in range(1, 26)]
 O["r2_cycle_matrix"] = sql("scoped spairs", "SELECT from_sku, " + ", ".join(
     f"max(CASE WHEN to_sku = '{b}' THEN {rnd('avg_days', 1)} END) AS to_{b.lower().replace('#', '_')}" for b in _brands)
     + f" FROM {cycle('sku', 5)} GROUP BY 1")
@@ -650,9 +650,9 @@ O["m11_recency_frequency_cross"] = sql("labelled scoped", _cross, u=rfm())
 O["m11_recency_frequency_matrix"] = sql("labelled scoped", "SELECT r_bucket, " + ", ".join(
     f"max(CASE WHEN f_bucket = '{f}' THEN rate END) AS f_{f.replace('-', '_').replace('+', '_up')}" for f in F_LABELS)
     + f" FROM ({_cross}) GROUP BY 1", u=rfm())
-O["m12_user_export"] = sql("labelled scoped", f"""
-  SELECT * REPLACE ({rnd('total_gmv', 2)} AS total_gmv) FROM (SELECT {_user_cols} FROM u) ORDER BY user_id LIMIT 500""",
-    u=rfm())
+_export = f"SELECT * REPLACE ({rnd('total_gmv', 2)} AS total_gmv) FROM (SELECT {_user_cols} FROM u)"
+O["m12_user_export_preview"] = sql("labelled scoped", _export + " ORDER BY user_id LIMIT 500", u=rfm())
+O["m12_user_export"] = sql("labelled scoped", _export, u=rfm())
 
 # --- flow --------------------------------------------------------------------
 
@@ -700,8 +700,9 @@ def history(keys, cond="true", extra=""):
 
 
 O["o4_history_by_channel"] = sql("labelled scoped", history("channel_type"), **_trace)
-O["o5_history_by_influencer"] = sql("labelled scoped", history("channel_type, influencer_name")
+O["o5_history_by_influencer_top"] = sql("labelled scoped", history("channel_type, influencer_name")
     + " ORDER BY n_users DESC, channel_type, influencer_name LIMIT 25", **_trace)
+O["o5_history_by_influencer"] = sql("labelled scoped", history("channel_type, influencer_name"), **_trace)
 O["o6_history_by_category"] = sql("labelled scoped", history(
     "category", "channel_type = 'self'", ", category IN ('PROMO') AS is_target"), **_trace)
 
@@ -836,10 +837,11 @@ O["b2_member_kpi"] = sql("scoped members", f"""
     count(*) FILTER (member_type = 'old') AS old_members, count(orders) AS buying_members,
     {per('count(orders)', 'count(*)')} AS conversion FROM m LEFT JOIN o USING (user_id)""", **_mb)
 O["b3_member_compare"] = sql("scoped members", f"""
-  SELECT member_type, count(*) AS members, count(orders) AS buyers, coalesce(sum(orders), 0)::BIGINT AS orders,
-    {rnd('coalesce(sum(gmv), 0)', 0)} AS gmv, {rnd(pct('count(orders)', 'count(*)'), 2)} AS conversion_pct,
+  SELECT member_type, count(m.user_id) AS members, count(orders) AS buyers, coalesce(sum(orders), 0)::BIGINT AS orders,
+    {rnd('coalesce(sum(gmv), 0)', 0)} AS gmv, {rnd(pct('count(orders)', 'count(m.user_id)'), 2)} AS conversion_pct,
     {or_zero(rnd(per('sum(gmv)', 'count(orders)'), 0), 'count(orders)')} AS per_buyer
-  FROM m LEFT JOIN o USING (user_id) GROUP BY 1""", **_mb)
+  FROM (VALUES ('new'), ('old')) k(member_type) LEFT JOIN m USING (member_type)
+    LEFT JOIN o ON o.user_id = m.user_id GROUP BY 1""", **_mb)
 O["b4_member_joins"] = sql("members", """
   SELECT strftime(join_time, '%Y-%m') AS join_ym, count(DISTINCT user_id) AS joined FROM members GROUP BY 1""")
 O["b5_member_vs_non"] = sql("scoped members", f"""

@@ -381,13 +381,13 @@ report("t7_trend_periods_by_influencer", lambda t: trend.trend_periods(
 report("t8_trend_detail", lambda t: trend.trend_detail(t.orders, YEAR))
 for _metric in ("gmv", "buyers"):
     report(f"p1_product_rank_{_metric}",
-           lambda t, m=_metric: product.product_rank(t.orders, YEAR, m, top=10))
+           lambda t, m=_metric: product.product_rank(t.orders, YEAR, m))
     report(f"p2_product_split_{_metric}", lambda t, m=_metric: product.product_split(t.orders, YEAR, m))
 report("p3_product_table", lambda t: product.product_table(t.orders, YEAR))
 
 # --- repurchase --------------------------------------------------------------
 
-BRANDS = [f"Brand#{i}" for i in range(1, 6)]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def _matrix(t: Tables) -> DataFrame:
@@ -412,7 +412,7 @@ report("r8_channel_monthly", lambda t: repurchase.repurchase_monthly(t, YEAR, ch
 
 # --- RFM ---------------------------------------------------------------------
 
-CUSTOM = rfm.recency_buckets(rfm.parse_breakpoints(rfm.DEFAULT_BREAKPOINTS))
+CUSTOM = rfm.recency_buckets(rfm.parse_breakpoints("0, 15,45，90,180,365"))
 
 
 def _rfm(t: Tables, **options) -> DataFrame:
@@ -458,7 +458,8 @@ report("m10_recency_inclusive_days", lambda t: rfm.rfm_table(
     _rfm(t, inclusive_days=True), "r", rfm.R_BUCKETS))
 report("m11_recency_frequency_cross", lambda t: rfm.rfm_cross(_rfm(t)))
 report("m11_recency_frequency_matrix", lambda t: rfm.rfm_cross_matrix(_rfm(t)))
-report("m12_user_export", lambda t: rfm.rfm_export(_rfm(t), preview=500))
+report("m12_user_export_preview", lambda t: rfm.rfm_export(_rfm(t), preview=500))
+report("m12_user_export", lambda t: rfm.rfm_export(_rfm(t)))
 
 # --- flow and source trace ---------------------------------------------------
 
@@ -472,8 +473,10 @@ report("o1_target_skus", lambda t: source_trace.target_skus(t.orders, YEAR, ("PR
 report("o2_target_users", lambda t: source_trace.trace_kpi(t.orders, YEAR, TARGET))
 report("o3_users_with_history", lambda t: source_trace.trace_kpi(t.orders, YEAR))
 report("o4_history_by_channel", lambda t: source_trace.history_by_channel(t.orders, YEAR, TARGET))
-report("o5_history_by_influencer", lambda t: source_trace.history_by_influencer(
+report("o5_history_by_influencer_top", lambda t: source_trace.history_by_influencer(
     t.orders, YEAR, TARGET, top=25))
+report("o5_history_by_influencer", lambda t: source_trace.history_by_influencer(
+    t.orders, YEAR, TARGET))
 report("o6_history_by_category", lambda t: source_trace.history_by_category(
     t.orders, YEAR, TARGET, channels=("self",)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, percent, rounded
-from ..operators.coupons import coupons, order_key, with_subsidy
+from ..operators.coupons import coupon_array, order_key, total, with_subsidy
 from ..operators.scope import apply_scope
 from ..schema import Scope
 
@@ -14,10 +14,18 @@ FLOWS = ("paid", "subsidy", "real_income")
 
 
 def _per_coupon(orders: DataFrame) -> DataFrame:
-    """Distinct orders and amount per coupon; an order may hold one coupon twice."""
-    per_order = coupons(orders).groupBy("coupon", "order_key").agg(F.sum("amount").alias("_a"))
-    return per_order.groupBy("coupon").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum("_a").alias("_amount"))
+    """Orders and amount per coupon.
+
+    An order is one row and may hold a coupon twice. Its pieces are combined on the row,
+    so counting orders is counting rows, and a task sends one row for each coupon.
+    """
+    found = F.transform(
+        F.array_distinct(F.transform("_all", lambda c: c["coupon"])),
+        lambda name: F.struct(name.alias("coupon"), total(
+            F.filter("_all", lambda c: c["coupon"] == name)).alias("amount")))
+    rows = orders.select(coupon_array().alias("_all")).select(F.inline(found))
+    return rows.groupBy("coupon").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("amount").alias("_amount"))
 
 
 def coupon_stats(orders: DataFrame, scope: Scope, selected: tuple[str, ...] = ()) -> DataFrame:

@@ -47,12 +47,17 @@ def member_kpi(t: Tables, scope: Scope, window: DateRange | None = None) -> Data
 
 
 def member_compare(t: Tables, scope: Scope, window: DateRange | None = None) -> DataFrame:
-    """New and old members: size, buyers, orders, amount, conversion, per buyer."""
+    """New and old members: size, buyers, orders, amount, conversion, per buyer.
+
+    Both kinds have a row, also without members.
+    """
     zero = F.lit(0)
-    out = _with_orders(t, scope, window).groupBy("member_type").agg(
+    found = _with_orders(t, scope, window).groupBy("member_type").agg(
         F.count(F.lit(1)).alias("members"), F.count("_orders").alias("buyers"),
-        F.coalesce(F.sum("_orders"), zero).alias("orders"),
-        F.coalesce(F.sum("_gmv"), zero).alias("_total"))
+        F.sum("_orders").alias("orders"), F.sum("_gmv").alias("_total"))
+    kinds = found.sparkSession.createDataFrame([("new",), ("old",)], "member_type string")
+    out = kinds.join(found, "member_type", "left").select(
+        "member_type", *(F.coalesce(c, zero).alias(c) for c in ("members", "buyers", "orders", "_total")))
     return out.select(
         "member_type", "members", "buyers", "orders", rounded(F.col("_total"), 0).alias("gmv"),
         rounded(percent(F.col("buyers"), F.col("members")), 2).alias("conversion_pct"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import amount, percent, rounded
+from ..functions.columns import amount, is_new, percent, rounded
 from ..operators.people import measures, merge_users, per_user, summarise
 from ..operators.scope import apply_scope
 from ..schema import Scope
@@ -26,10 +26,23 @@ def _with_store_total(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame,
     return measures(users, "sku"), store
 
 
+def _amounts(df: DataFrame) -> DataFrame:
+    """Amounts per sku; no shuffle by person."""
+    out = df.groupBy("sku").agg(
+        F.sum("gmv").alias("gmv"),
+        F.coalesce(F.sum(F.when(is_new(), F.col("gmv"))), F.lit(0)).alias("new_gmv"))
+    return out.withColumn("returning_gmv", F.col("gmv") - F.col("new_gmv"))
+
+
 def product_rank(orders: DataFrame, scope: Scope, metric: str = "gmv", keyword: str = "",
                  top: int = 50) -> DataFrame:
     """Leading skus by amount or buyers, with their share of the store."""
-    groups, store = _with_store_total(search(apply_scope(orders, scope), keyword), (metric,))
+    rows = search(apply_scope(orders, scope), keyword)
+    if metric == "gmv":  # amounts add up without regard to persons
+        groups = _amounts(rows)
+        store = groups.agg(F.struct(F.sum("gmv").alias("gmv"), F.sum("new_gmv"))).scalar()
+    else:
+        groups, store = _with_store_total(rows, (metric,))
     best = groups.select("sku", amount(F.col(metric)).alias("total"))
     best = best.orderBy(F.desc("total"), "sku").limit(top)
     return best.withColumn("store_share", rounded(percent(F.col("total"), store.getField(metric)), 2))
@@ -38,7 +51,8 @@ def product_rank(orders: DataFrame, scope: Scope, metric: str = "gmv", keyword:
 def product_split(orders: DataFrame, scope: Scope, metric: str = "gmv",
                   keyword: str = "") -> DataFrame:
     """New and returning part of each sku; buyers are new or returning, not both."""
-    groups = summarise(search(apply_scope(orders, scope), keyword), "sku").select(
+    rows = search(apply_scope(orders, scope), keyword)
+    groups = (_amounts(rows) if metric == "gmv" else summarise(rows, "sku")).select(
         "sku", amount(F.col(f"new_{metric}")).alias("new"),
         amount(F.col(f"returning_{metric}")).alias("returning"),
         amount(F.col(metric)).alias("total"))

@@ -44,9 +44,12 @@ def repurchase_cycle(t: Tables, scope: Scope, by: str = "influencer", min_count:
         "n_moves")
 
 
-def repurchase_cycle_matrix(t: Tables, scope: Scope, values: list[str], by: str = "sku",
-                            min_count: int = 5) -> DataFrame:
-    """Average days with the second value as columns; the columns are given."""
+def repurchase_cycle_matrix(t: Tables, scope: Scope, values: list[str] | None = None,
+                            by: str = "sku", min_count: int = 5) -> DataFrame:
+    """Average days with the second value as columns.
+
+    Without `values` every value that occurs gets a column, which takes a job to find out.
+    """
     _, from_col, to_col = BY[by]
     cycle = repurchase_cycle(t, scope, by, min_count)
     return cycle.groupBy(from_col).pivot(to_col, values).agg(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +41,25 @@ M_BUCKETS = (
     ("5000-10000", 5000, 10000),
     ("10000+", 10000, None),
 )
-DEFAULT_BREAKPOINTS = "0,15,45,90,180,365"
+# Days between recency buckets unless others are given.
+DEFAULT_BREAKPOINTS = (0, 15, 45, 90, 180, 365)
+# A whole number of days; entries stand between commas of either width.
+_DAYS = re.compile(r"\s*([+-]?\d+)\s*")
 
 
 def parse_breakpoints(text: str) -> list[int]:
-    """Day numbers from text, separated by commas of either width."""
-    return [int(p) for p in text.replace("，", ",").split(",") if p.strip()]
-
-
-def recency_buckets(breakpoints: list[int]) -> tuple:
+    """Days typed by a user; an entry that isn't a whole number is named in the error."""
+    days = []
+    for entry in re.split("[,，]", text):
+        found = _DAYS.fullmatch(entry)
+        if found:
+            days.append(int(found[1]))
+        elif entry and not entry.isspace():
+            raise ValueError(f"'{entry.strip()}' is not a whole number of days")
+    return days
+
+
+def recency_buckets(breakpoints: Sequence[int] = DEFAULT_BREAKPOINTS) -> tuple:
     """Buckets between sorted distinct non-negative breakpoints, from zero, open at the end."""
     edges = sorted({0, *(b for b in breakpoints if b >= 0)})
     closed = [(f"{a}-{b}", a, b) for a, b in zip(edges, edges[1:])]

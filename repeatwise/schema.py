@@ -9,25 +9,17 @@ from pyspark.sql import types as T
 
 # The source header of every logical column.
 SOURCE_COLUMNS = {
-    "order_id": "主订单编号",
     "user_id": "淘宝ID",
     "sub_order_id": "子订单编号",
     "product_name": "选购商品",
-    "product_id": "商品ID",
-    "spec": "商品规格",
     "sample_type": "派样类型",
     "sku": "货号",
     "merchant_code": "商家编码",
-    "quantity": "商品数量",
-    "item_amount": "商品金额",
     "order_submit_time": "订单提交时间",
-    "pay_month": "支付月份",
     "pay_time": "支付时间",
-    "pay_complete": "支付完成时间",
     "order_status": "订单状态",
     "after_sale_status": "售后状态",
     "payable_amount": "订单应付金额",
-    "influencer_id": "达人ID",
     "influencer_name": "达人昵称",
     "category": "品类",
     "channel_type": "渠道",
@@ -47,7 +39,7 @@ FILE_KEYWORDS = {
 # Order statuses that count as a completed sale.
 SUCCESS_STATUSES = ("已完成", "已发货", "待发货")
 
-# Columns each table keeps; everything else in a source file is dropped.
+# The columns each table keeps; everything else in a source file is dropped.
 ORDER_COLUMNS = (
     "user_id", "sub_order_id", "sku", "influencer_name", "order_status",
     "after_sale_status", "payable_amount", "pay_time", "order_submit_time",
@@ -61,7 +53,7 @@ SAMPLE_COLUMNS = (
 MEMBER_COLUMNS = ("user_id", "join_time")
 CROWD_COLUMNS = ("crowd_name", "user_id")
 
-# Column -> (texts that mean "missing", value that stands for it).
+# Column -> (texts that mean "missing", value that stands for it).
 ORDER_TEXT = {
     "sku": (("nan", ""), "unknown"),
     "order_status": (("nan", ""), "unknown"),
