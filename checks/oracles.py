@@ -304,6 +304,19 @@ O["s7_catalogue"] = sql("retail", " UNION ALL ".join(
 O["s7_extent"] = sql("retail", """
   SELECT min(order_date) AS date_min, max(order_date) AS date_max, max(gmv)::DOUBLE AS gmv_max,
     count(*) AS total_rows, count(DISTINCT user_id) AS total_users FROM retail""")
+
+
+def _cleaned_labels(name, min_amount, min_days, window):
+    return f"""
+  SELECT '{name}' AS labels, order_ym, customer_type, count(*) AS n_orders, sum(gmv)::DOUBLE AS gmv
+  FROM (SELECT order_ym, gmv, CASE WHEN EXISTS (SELECT 1 FROM cleaned q WHERE q.user_id = o.user_id
+      AND q.order_status IN ('F', 'O') AND q.gmv >= {min_amount} AND o.pay_time >= q.pay_time
+      AND (epoch_us(o.pay_time) - epoch_us(q.pay_time)) // {DAY} BETWEEN {min_days} AND {window})
+    THEN 'returning' ELSE 'new' END AS customer_type FROM cleaned o) GROUP BY 2, 3"""
+
+
+O["s9_build_and_relabel"] = sql("cleaned", _cleaned_labels("built", 20000, 1, 365) + " UNION ALL "
+                                + _cleaned_labels("again", 40000, 30, 180))
 O["s8_csv_export"] = sql("scoped", f"""
   SELECT influencer_name, orders, buyers, gmv::DOUBLE AS gmv, {rnd(per('gmv', 'buyers'), 0)} AS per_buyer
   FROM {agg('scoped', 'influencer_name')}""")
@@ -378,6 +391,8 @@ O["l6_pair_labels"] = sql("pairs", """
 O["l7_purchase_rank"] = sql("labelled", "SELECT sub_order_id, purchase_rank FROM labelled")
 O["l8_purchase_pairs"] = sql("pairs", """
   SELECT * REPLACE (from_gmv::DOUBLE AS from_gmv, to_gmv::DOUBLE AS to_gmv) FROM pairs""")
+O["l4_rolling_label_in_ranges"] = O["l4_rolling_label"]
+O["l8_purchase_pairs_in_ranges"] = O["l8_purchase_pairs"]
 O["l9_canonical_label"] = sql("labelled", """
   SELECT customer_type, customer_type_lifetime, count(*) AS n_orders, count(DISTINCT user_id) AS n_users
   FROM labelled GROUP BY 1, 2""")
@@ -411,6 +426,7 @@ O["f7_user_membership"] = sql("scoped members", """
 
 O["k1_kpi"] = sql("scoped", "SELECT " + ", ".join(f"{v} AS {k}" for k, v in HEADLINES.items())
                   + f" FROM {agg('scoped')}")
+O["k1_kpi_in_ranges"] = O["k1_kpi"]
 _cur = ", ".join(f"{v} AS {k}" for k, v in HEADLINES.items())
 O["k2_kpi_delta"] = sql("scoped prev", " UNION ALL ".join(
     f"""SELECT '{k}' AS measure, c.{k}::DOUBLE AS current_value, p.{k}::DOUBLE AS previous_value,

@@ -19,13 +19,16 @@ from repeatwise.plans import (
     channel, crowds, discount, flow, kpi, members, product, repurchase, rfm, samples,
     source_trace, trend,
 )
-from repeatwise.plans.build import assemble
+from repeatwise.plans.build import assemble, build, relabel
 from repeatwise.schema import LabelRule, MONEY, ORDER_COLUMNS, SOURCE_COLUMNS, Scope, Tables
 from repeatwise.session import shared_folder
 from repeatwise.sources import landing, star, store
 
 RULE = LabelRule(20000, 1, 365, (), ("completed", "shipped"))
 OTHER_RULE = LabelRule(40000, 30, 180, ("self",), ("completed", "shipped"))
+# Untidy text holds the single letters of the source.
+RAW_RULE = LabelRule(20000, 1, 365, (), ("F", "O"))
+OTHER_RAW_RULE = LabelRule(40000, 30, 180, (), ("F", "O"))
 YEAR = Scope(dates=(dt.date(2000, 1, 1), dt.date(2000, 12, 31)))
 EVERYTHING = Scope()
 SELECTED = tuple(f"Supplier#00000000{i}" for i in (1, 2, 3))
@@ -53,6 +56,15 @@ def tables(spark: SparkSession, sf: str) -> Tables:
         members=star.retail_members(spark, sf), crowds=star.retail_crowds(spark, sf))
 
 
+def large_users(spark: SparkSession, sf: str) -> tuple[str, ...]:
+    """Users well above the average, to be handled as if too large for one task."""
+    return hot_users(star.retail_orders(spark, sf), share=0.0, floor=45)
+
+
+def tables_in_ranges(spark: SparkSession, sf: str) -> Tables:
+    return assemble(star.retail_orders(spark, sf), RULE, large_users(spark, sf))
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -150,6 +162,21 @@ def s8_csv_export(spark, sf):
         F.col("per_buyer").cast("double").alias("per_buyer"))
 
 
+@query
+def s9_build_and_relabel(spark, sf):
+    """The whole batch job from untidy CSV files, then other labels on the stored tables."""
+    work = f"{shared_folder(spark)}/build-{uuid.uuid4().hex}"
+    # File names and positions decide which of several copies is first, hence the order.
+    rows = star.raw_orders(spark, sf).orderBy("_pos").drop("_pos")
+    rows.withColumnsRenamed(SOURCE_COLUMNS).write.option("header", True).csv(f"{work}/landing/orders")
+    built = build(spark, f"{work}/landing", f"{work}/tables", RAW_RULE, {"orders": "orders"})
+    again = relabel(built, OTHER_RAW_RULE)
+    parts = [t.orders.select(F.lit(name).alias("labels"), "order_ym", "customer_type", "gmv")
+             for name, t in (("built", built), ("again", again))]
+    return parts[0].union(parts[1]).groupBy("labels", "order_ym", "customer_type").agg(
+        F.count(F.lit(1)).alias("n_orders"), amount(F.sum("gmv")).alias("gmv"))
+
+
 # --- cleaning ----------------------------------------------------------------
 
 @query
@@ -272,6 +299,22 @@ def l4_rolling_label(spark, sf):
         "sub_order_id", "customer_type")
 
 
+@query
+def l4_rolling_label_in_ranges(spark, sf):
+    return label(star.retail_orders(spark, sf), RULE, large_users(spark, sf)).select(
+        "sub_order_id", "customer_type")
+
+
+@query
+def l8_purchase_pairs_in_ranges(spark, sf):
+    return as_double(tables_in_ranges(spark, sf).pairs, "from_gmv", "to_gmv")
+
+
+@query
+def k1_kpi_in_ranges(spark, sf):
+    return kpi.kpi(tables_in_ranges(spark, sf).orders, YEAR)
+
+
 @query
 def l4_rolling_label_events(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select(
