@@ -6,7 +6,7 @@ each block has its own short list of random unit vectors, and every combination
 each block, scaled to length one, is a direction. A vector is decoded to the list of all
 directions it passes block by block: combinations are given up as soon as the best that the
 remaining blocks can add doesn't reach the cap any more, so the cost follows the list and
-not the number of directions.
+not the number of directions. There are `CODES` such codes.
 
 Vectors that share a filter are compared by cosine in double precision. How many filters
 there are follows from the number of vectors: the cap keeps about `bucket` vectors in each,
@@ -40,6 +40,10 @@ from repeatwise.llm.work import fresh, ship, stored
 
 #: Vectors of one chunk of a filter.
 CHUNK = 1024
+#: Independent codes, each with a rotation of its own: directions of one share their blocks.
+CODES = 4
+#: Below so many components directions are plain random unit vectors, and shares are sampled.
+FEW = 16
 
 
 class Code:
@@ -47,30 +51,53 @@ class Code:
 
     def __init__(self, dim: int, n: int, threshold: float, bucket: int, shared: float, seed: int = 7) -> None:
         random = np.random.default_rng([seed, dim])
-        normal = NormalDist()
         share = min(0.02, max(bucket / max(n, 1), 1e-9))
-        self.cut = normal.inv_cdf(1 - share)
-        # Chance that a vector at the threshold passes where its partner does.
-        z = np.linspace(self.cut, self.cut + 8, 4001)
-        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        rest = [1 - normal.cdf((self.cut - threshold * x) / math.sqrt(1 - threshold ** 2)) for x in z]
-        both = float(np.sum(density * rest) * (z[1] - z[0]))
-        wanted = max(1, shared / both)
-        self.blocks = min(dim, 2 if wanted < 1 << 20 else 3)
+        self.cap, both = self._passing(dim, share, threshold, random)
+        # In few dimensions a small cap can't hold two vectors at the threshold.
+        while both < share / 10:
+            share *= 1.5
+            self.cap, both = self._passing(dim, share, threshold, random)
+        wanted = max(1, shared / both / CODES)
+        self.blocks = 1 if dim < FEW else 2 if wanted < 1 << 20 else 3
         self.size = math.ceil(wanted ** (1 / self.blocks))
-        self.cap = self.cut / math.sqrt(dim)
-        self.rotation = np.linalg.qr(random.standard_normal((dim, dim)))[0]
         self.bounds = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.codes = []
-        for a, b in zip(self.bounds, self.bounds[1:]):
-            code = random.standard_normal((self.size, b - a))
-            self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
+        for _ in range(CODES):
+            rotation = np.linalg.qr(random.standard_normal((dim, dim)))[0]
+            words = [random.standard_normal((self.size, b - a)) for a, b in zip(self.bounds, self.bounds[1:])]
+            self.codes.append((rotation, [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]))
+
+    @staticmethod
+    def _passing(dim: int, share: float, threshold: float, random: np.random.Generator) -> tuple[float, float]:
+        """The cap that `share` of vectors pass, and how many of all pairs at the threshold do."""
+        tilt = math.sqrt(1 - threshold ** 2)
+        if dim < FEW:
+            x = random.standard_normal((100_000, dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            side = random.standard_normal((100_000, dim))
+            side -= (side * x).sum(1, keepdims=True) * x
+            side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+            cap = min(float(np.quantile(x[:, 0], 1 - min(share, 0.4))), 1 - 1e-9)
+            y = threshold * x[:, 0] + tilt * side[:, 0] if dim > 1 else x[:, 0]
+            return cap, float(((x[:, 0] >= cap) & (y >= cap)).mean())
+        # Components of a random unit vector in many dimensions are nearly normal.
+        normal = NormalDist()
+        cut = normal.inv_cdf(1 - share)
+        z = np.linspace(cut, cut + 8, 4001)
+        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        rest = [1 - normal.cdf((cut - threshold * v) / tilt) for v in z]
+        return cut / math.sqrt(dim), float(np.sum(density * rest) * (z[1] - z[0]))
 
     def lists(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all directions that unit vectors pass."""
-        rotated = vectors @ self.rotation
-        scores = [rotated[:, a:b] @ code.T / math.sqrt(self.blocks)
-                  for a, b, code in zip(self.bounds, self.bounds[1:], self.codes)]
+        found = [self._list(vectors, *code) for code in self.codes]
+        return (np.concatenate([row for row, _ in found]),
+                np.concatenate([k * self.size ** self.blocks + name for k, (_, name) in enumerate(found)]))
+
+    def _list(self, vectors: np.ndarray, rotation: np.ndarray, words: list[np.ndarray]) -> tuple:
+        rotated = vectors @ rotation
+        scores = [rotated[:, a:b] @ w.T / math.sqrt(self.blocks)
+                  for a, b, w in zip(self.bounds, self.bounds[1:], words)]
         best = [s.max(1) for s in scores]
         row, name, score = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
         for k, s in enumerate(scores):
@@ -144,7 +171,7 @@ def _compare(dim: int, threshold: float):
 
 
 def linked_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id",
-                   threshold: float = 0.9, bucket: int = 128, shared: float = 14.0,
+                   threshold: float = 0.9, bucket: int = 128, shared: float = 18.0,
                    n_links: str = "n_links", component: str = "component_id",
                    kept: str = "kept") -> DataFrame:
     """`vectors` with the columns `n_links`, `component` and `kept`, replacing such."""
