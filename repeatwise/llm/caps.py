@@ -108,8 +108,18 @@ class Code:
         return row, name
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), dim)
+def _bytes(x: np.ndarray) -> bytes:
+    """Components in single precision if that loses nothing, else in double."""
+    short = x.astype("<f4")
+    return (short if (short == x).all() else x.astype("<f8")).tobytes()
+
+
+def _unit(vectors: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    if all(len(v) == 4 * dim for v in vectors):
+        x = np.frombuffer(b"".join(vectors), "<f4").reshape(-1, dim).astype(float)
+    else:
+        x = np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in vectors], float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -126,7 +136,7 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = x / np.abs(x).max() if not 1e-100 < np.abs(x).max() < 1e100 else x
                 ids.append(key)
                 dims.append(len(x))
-                out.append((x + 0.0).astype("<f8").tobytes())
+                out.append(_bytes(x + 0.0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())],
             ["id", "dim", "vector"])
@@ -138,8 +148,7 @@ def _compare(dim: int, threshold: float):
         own, _, a, b = key
         rows = rows.sort_values(["side", "r"])
         ids, n = rows["r"].to_numpy(), rows["n"].to_numpy()
-        x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), dim)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(list(rows["vector"]), dim)
         # Filters before this one that each vector passes: pairs that share one count there.
         earlier = [f[:np.searchsorted(f, own)] for f in rows["filters"]]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
@@ -216,7 +225,7 @@ def _links(records: DataFrame, dim: int, size: int, threshold: float, bucket: in
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                row, name = sent.value.lists(_unit(part.column(2), dim))
+                row, name = sent.value.lists(_unit(part.column(2).to_pylist(), dim))
                 order = np.lexsort((name, row))
                 ends = np.searchsorted(row[order], np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(name[order], pa.int64()))
