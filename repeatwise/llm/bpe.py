@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatwise.llm.tokens import Encoder
-from repeatwise.llm.work import fresh, ship
+from repeatwise.llm.work import fresh, ship, worker_state
 
 #: Fixed: how the byte-level splitter cuts text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and words a worker remembers.
-TRANSITIONS, WORDS, WORD_BYTES = 2_000_000, 200_000, 64
+TRANSITIONS, WORDS, WORD_BYTES = 500_000, 100_000, 64
 START = -1
 NEVER = 1 << 60
 
@@ -156,20 +156,18 @@ class _Words(dict):
         return ids
 
 
-_codecs: dict[str, tuple[Encoder, Automaton]] = {}
-
-
 def codec(path: str) -> tuple[Encoder, Automaton]:
     """Encoder and automaton of a vocabulary file, one for each Python worker."""
-    if path not in _codecs:
-        import regex
-
-        automaton, split = Automaton(path), regex.compile(PATTERN)
-        words = _Words(automaton)
-        specials = {s: array("I", [i]).tobytes() for s, i in automaton.special.items()}
-        _codecs[path] = Encoder(
-            lambda text: b"".join(map(words.__getitem__, split.findall(text))), specials), automaton
-    return _codecs[path]
+    return worker_state(f"codec {path}", lambda: _by_automaton(path))
+
+
+def _by_automaton(path: str) -> tuple[Encoder, Automaton]:
+    import regex
+
+    automaton, split = Automaton(path), regex.compile(PATTERN)
+    words = _Words(automaton)
+    specials = {s: array("I", [i]).tobytes() for s, i in automaton.special.items()}
+    return Encoder(lambda text: b"".join(map(words.__getitem__, split.findall(text))), specials), automaton
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatwise.llm.work import fresh, ship
+from repeatwise.llm.work import fresh, ship, worker_state
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -37,7 +37,7 @@ WORD_CHARS = 24
 MAX_PIECE = 12
 FLOOR = 1e-7
 #: Words whose scores a Python worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 SCHEMA = "struct<lang: string, score: double>"
 
 
@@ -223,17 +223,6 @@ def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang"
     return Model(langs, pieces, p)
 
 
-_ready: dict[str, tuple] = {}
-
-
-def _scorer(model: Model, name: str) -> tuple:
-    """Lattice and remembered words of this worker, shared by its tasks."""
-    if name not in _ready:
-        _ready.clear()
-        _ready[name] = Lattice(model.pieces), {}, [np.zeros((0, len(model.langs)))]
-    return _ready[name]
-
-
 def _learn(model: Model, lattice: Lattice, new: list[str]) -> np.ndarray:
     logs = np.zeros((len(new), len(model.langs)))
     for own in by_length(new).values():
@@ -249,13 +238,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "lang
     import hashlib
 
     ship(docs.sparkSession)
-    name = hashlib.sha256(model.p.tobytes() + repr(model.langs).encode()).hexdigest()
+    name = "languages " + hashlib.sha256(model.p.tobytes() + repr(model.langs).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(SCHEMA)
     def language(column: pa.Array) -> pa.Array:
         model = shared.value
-        lattice, known, logs = _scorer(model, name)
+        lattice, known, logs = worker_state(name, lambda: (
+            Lattice(model.pieces), {}, [np.zeros((0, len(model.langs)))]))
         langs, scores = [], []
         for at in range(0, len(column), 256):
             split = [words_of(t) if t else [] for t in column[at:at + 256].to_pylist()]

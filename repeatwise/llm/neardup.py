@@ -26,8 +26,8 @@ group are never written out, none is left out by a cap, and no task holds a grou
 
 Results: every row gets the size of its set, the smallest id of its component, and whether
 that is itself. Texts without words, or null, have an empty set and link with nothing. A row
-with a null id has a null component and null size and is kept. Rows with one id count as one document, whose copies stay or go
-together. Equal texts share a component.
+with a null id has a null component and null size and is kept. Rows with one id count as one
+document, whose copies stay or go together. Equal texts share a component.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatwise.llm.graph import components
-from repeatwise.llm.work import fresh, ship, stored
+from repeatwise.llm.work import fresh, ship, stored, worker_state
 
 SHINGLE = 5
 SIGNATURE = 64
@@ -91,6 +91,7 @@ def signature(shingled: np.ndarray) -> bytes:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("near duplicates", dict)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatwise.llm.work import fresh, ship
+from repeatwise.llm.work import fresh, ship, worker_state
 
 MIN_WORDS, WINDOW, MAX_REPEAT_WORDS = 20, 8, 30
 #: Words of a group of texts that are sorted together.
@@ -168,6 +168,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_repeat: int = WINDOW,
     """
     @F.arrow_udf(SCHEMA)
     def measured(column: pa.Array) -> pa.Array:
+        worker_state("quality", dict)
         values = list(zip(*measure(column.cast(pa.binary()).to_pylist(), min_repeat)))
         values = values or [()] * len(FIELDS)
         return pa.StructArray.from_arrays(

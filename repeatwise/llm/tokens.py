@@ -9,24 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Parts an encoder remembers, and their longest length.
-MEMORY, PART_CHARS = 1_000_000, 48
+from repeatwise.llm.work import worker_state
+
+#: Parts of each of two generations an encoder remembers, and their longest length.
+MEMORY, PART_CHARS = 200_000, 48
 
 
 class Parts(dict):
     """Ids of parts that follow a blank, as little-endian unsigned 32-bit integers.
 
-    None stands for a part that can't be encoded apart.
+    None stands for a part that can't be encoded apart. When the younger generation is
+    full it becomes the older one, from which parts that are met again come back.
     """
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, part: str) -> bytes | None:
-        ids = None if not part or part[0].isspace() or part[-1].isspace() else self.encode(" " + part)
+        if part in self.older:
+            ids = self.older[part]
+        elif not part or part[0].isspace() or part[-1].isspace():
+            ids = None
+        else:
+            ids = self.encode(" " + part)
         if len(part) <= PART_CHARS:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -55,24 +64,21 @@ class Encoder:
             return self.encode(text)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """Encoder by the tokenizers library, one for each Python worker."""
-    if path not in _encoders:
-        import os
-
-        import numpy as np
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        to_bytes = lambda ids: np.array(ids, "<u4").tobytes()
-        specials = {t.content: to_bytes([i]) for i, t in model.get_added_tokens_decoder().items()}
-        # The remembered parts are short; the library encodes whatever is asked for.
-        _encoders[path] = Encoder(
-            lambda text: to_bytes(model.encode(text, add_special_tokens=False).ids), specials)
-    return _encoders[path]
+    return worker_state(f"encoder {path}", lambda: _by_library(path))
+
+
+def _by_library(path: str) -> Encoder:
+    import os
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    to_bytes = lambda ids: np.array(ids, "<u4").tobytes()
+    specials = {t.content: to_bytes([i]) for i, t in model.get_added_tokens_decoder().items()}
+    return Encoder(lambda text: to_bytes(model.encode(text, add_special_tokens=False).ids), specials)

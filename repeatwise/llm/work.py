@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_kept: dict[str, Any] = {}
+
+
+def worker_state(name: str, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: that of one operator at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
