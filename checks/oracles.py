@@ -416,6 +416,9 @@ O["f4_year_ago"] = sql("spans", """
 O["f5_pair_scope"] = sql("spairs", """
   SELECT from_sku, customer_type, count(*) AS n_pairs, sum(days_between)::BIGINT AS n_days FROM spairs
   WHERE from_channel_type = 'self' AND contains(lower(from_sku), 'd#1') AND from_gmv >= 5000 GROUP BY 1, 2""")
+O["f5_pair_scope_linked_keyword"] = sql("spairs pairs", """
+  SELECT from_sku, from_category, count(*) AS n_pairs FROM spairs WHERE from_sku IN (
+    SELECT from_sku FROM pairs WHERE from_category = 'PROMO' AND contains(lower(from_sku), 'd#1')) GROUP BY 1, 2""")
 O["f6_sku_regex"] = sql("scoped", """
   SELECT sku, count(*) AS orders FROM scoped WHERE regexp_matches(sku, 'brand#(1|2)[0-3]$', 'i') GROUP BY 1""")
 O["f7_user_membership"] = sql("scoped members", """
@@ -722,6 +725,15 @@ O["o5_history_by_influencer"] = sql("labelled scoped", history("channel_type, in
 O["o6_history_by_category"] = sql("labelled scoped", history(
     "category", "channel_type = 'self'", ", category IN ('PROMO') AS is_target"), **_trace)
 
+_chosen = ", ".join(f"'Supplier#00000000{i}'" for i in (1, 2, 3))
+O["o6_history_of_source"] = sql("labelled scoped", f"""
+  SELECT count(DISTINCT user_id) AS n_users, (SELECT count(*) FROM old) AS target_users,
+    {rnd(pct('count(DISTINCT user_id)', '(SELECT count(*) FROM old)'), 1)} AS share
+  FROM hist WHERE channel_type = 'self' AND influencer_name IN ({_chosen})""", **_trace)
+O["o6_influencers_on_offer"] = sql("labelled scoped", """
+  SELECT channel_type, influencer_name, count(DISTINCT user_id) AS n_users FROM hist
+  WHERE channel_type = 'self' GROUP BY 1, 2""", **_trace)
+
 # --- discount ----------------------------------------------------------------
 
 COUPON = r"'^(.+)-([\d,]+(?:\.\d+)?)$'"

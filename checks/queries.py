@@ -388,6 +388,9 @@ report("f5_pair_scope", lambda t: sc.scope_pairs(
                    categories=("ignored",), statuses=("ignored",), max_amount=1)).groupBy(
         "from_sku", "customer_type").agg(
             F.count(F.lit(1)).alias("n_pairs"), F.sum("days_between").alias("n_days")))
+report("f5_pair_scope_linked_keyword", lambda t: sc.scope_pairs(
+    t.pairs, Scope(dates=YEAR.dates, sku_keyword="D#1", categories=("PROMO",))).groupBy(
+        "from_sku", "from_category").agg(F.count(F.lit(1)).alias("n_pairs")))
 report("f6_sku_regex", lambda t: product.search(
     sc.apply_scope(t.orders, YEAR), "brand#(1|2)[0-3]$").groupBy("sku").agg(
         F.count(F.lit(1)).alias("orders")))
@@ -523,6 +526,11 @@ report("o5_history_by_influencer", lambda t: source_trace.history_by_influencer(
 report("o6_history_by_category", lambda t: source_trace.history_by_category(
     t.orders, YEAR, TARGET, channels=("self",)))
 
+report("o6_history_of_source", lambda t: source_trace.history_of_source(
+    t.orders, YEAR, TARGET, channels=("self",), influencers=SELECTED))
+report("o6_influencers_on_offer", lambda t: source_trace.influencers_on_offer(
+    t.orders, YEAR, TARGET, ("self",)))
+
 # --- discount ----------------------------------------------------------------
 
 report("d1_parse_coupons", lambda t: as_double(coupons(sc.apply_scope(t.orders, YEAR)), "amount"))

@@ -78,7 +78,8 @@ def scope_pairs(pairs: DataFrame, s: Scope, align: bool = False) -> DataFrame:
     """Pairs whose first order is in scope.
 
     By default category, status, after-sale and maximum amount do not apply here;
-    `align` applies those a pair carries, so that pairs follow the order filter.
+    `align` applies those a pair carries, so that pairs follow the order filter. A keyword
+    means skus that occur in the chosen categories, as in the choices offered for orders.
     """
     conds = []
     if s.dates:
@@ -97,7 +98,15 @@ def scope_pairs(pairs: DataFrame, s: Scope, align: bool = False) -> DataFrame:
             conds.append(one_of("from_status", s.statuses))
         if s.max_amount is not None:
             conds.append(F.col("from_gmv") <= money(s.max_amount))
-    return pairs.where(all_of(conds))
+    found = pairs.where(all_of(conds))
+    if not s.sku_keyword or s.skus or not s.categories:
+        return found
+    of_category = pairs.where(one_of("from_category", s.categories))
+    linked = of_category.where(all_of(_sku_conditions("from_sku", s))) \
+        .select(F.col("from_sku").alias("_linked")).distinct()
+    # Categories that match nothing restrict nothing.
+    return found.join(linked, F.col("from_sku") == F.col("_linked"), "left") \
+        .where(F.col("_linked").isNotNull() | ~of_category.exists()).drop("_linked")
 
 
 def choices(orders: DataFrame, of: str, linked_to: str, selected: tuple[str, ...]) -> DataFrame:

@@ -102,16 +102,39 @@ def history_by_influencer(orders: DataFrame, scope: Scope, target: Target = Targ
     return out
 
 
-def history_by_category(orders: DataFrame, scope: Scope, target: Target = Target(),
-                        channels: tuple[str, ...] = (), influencers: tuple[str, ...] = (),
-                        top: int | None = None) -> DataFrame:
-    """Per category, optionally only from certain sources; target categories flagged."""
+def _source(channels: tuple[str, ...], influencers: tuple[str, ...]) -> Column:
     conds = []
     if channels:
         conds.append(one_of("channel_type", channels))
     if influencers:
         conds.append(one_of("influencer_name", influencers))
-    out = _history(orders, scope, target, ("category",), all_of(conds))
+    return all_of(conds)
+
+
+def history_of_source(orders: DataFrame, scope: Scope, target: Target = Target(),
+                      channels: tuple[str, ...] = (), influencers: tuple[str, ...] = ()) -> DataFrame:
+    """Target users with a past at the chosen sources, and their share of all target users."""
+    users = _returning_users(orders, scope, target)
+    past = distinct_users(orders.where(_before(scope) & _source(channels, influencers)))
+    total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
+    found = of_users(past, users).agg(F.count(F.lit(1)).alias("n_users"))
+    return found.select("n_users", total.alias("target_users"),
+                        rounded(percent(F.col("n_users"), total), 1).alias("share"))
+
+
+def influencers_on_offer(orders: DataFrame, scope: Scope, target: Target = Target(),
+                         channels: tuple[str, ...] = ()) -> DataFrame:
+    """Influencers of the chosen channels in the past of target users, by their users."""
+    out = history_by_influencer(orders, scope, target).where(_source(channels, ()))
+    return out.select("channel_type", "influencer_name", "n_users").orderBy(
+        F.desc("n_users"), "channel_type", "influencer_name")
+
+
+def history_by_category(orders: DataFrame, scope: Scope, target: Target = Target(),
+                        channels: tuple[str, ...] = (), influencers: tuple[str, ...] = (),
+                        top: int | None = None) -> DataFrame:
+    """Per category, optionally only from certain sources; target categories flagged."""
+    out = _history(orders, scope, target, ("category",), _source(channels, influencers))
     chosen = one_of("category", target.categories) if target.categories else F.lit(False)
     out = out.withColumn("is_target", chosen)
     return out.orderBy(F.desc("n_users"), "category").limit(top) if top else out
