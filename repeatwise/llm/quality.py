@@ -16,6 +16,8 @@ the base rules. Rows never influence each other, so copies and ties get equal re
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -110,31 +112,34 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def measure(texts: list[bytes | None], min_repeat: int) -> list[tuple]:
+def measure(texts: Iterable[bytes | None], min_repeat: int) -> list[tuple]:
     """The values of `FIELDS` for each text."""
-    split = [(t or b"").split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    rows, at = [None] * len(texts), 0
-    while at < len(texts):
-        stop, total = at, 0
-        while stop < len(texts) and (stop == at or total + sizes[stop] <= GROUP_WORDS):
-            total += sizes[stop]
-            stop += 1
-        flat = [w for ws in split[at:stop] for w in ws]
-        hashed = np.fromiter(map(digest, flat), np.uint64, len(flat))
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-        bounds = np.concatenate([[0], np.cumsum(sizes[at:stop])])
-        owner = np.repeat(np.arange(stop - at), sizes[at:stop])
-        # Words of different texts must differ: their ranks never mix.
-        hashed = hashed + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        longest = suffix_repeats(hashed, bounds[1:][owner])
-        in_window, in_repeat = covered(longest, WINDOW), covered(longest, min_repeat)
-        for k in range(at, stop):
-            rows[k] = _row(texts[k] or b"", slice(bounds[k - at], bounds[k - at + 1]),
-                           longest, in_window, in_repeat, lengths, min_repeat)
-        at = stop
-    return rows
+    rows, group, total = [], [], 0
+    for text in texts:
+        text = text or b""
+        words = text.split()
+        if group and total + len(words) > GROUP_WORDS:
+            rows += _group(group, min_repeat)
+            group, total = [], 0
+        group.append((text, words))
+        total += len(words)
+    return rows + _group(group, min_repeat) if group else rows
+
+
+def _group(group: list[tuple[bytes, list[bytes]]], min_repeat: int) -> list[tuple]:
+    """Texts whose words are sorted together."""
+    sizes = np.array([len(words) for _, words in group], np.int64)
+    flat = [w for _, words in group for w in words]
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(group)), sizes)
+    # Words of different texts must differ: their ranks never mix.
+    hashed = hashed + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    longest = suffix_repeats(hashed, bounds[1:][owner])
+    in_window, in_repeat = covered(longest, WINDOW), covered(longest, min_repeat)
+    return [_row(text, slice(bounds[k], bounds[k + 1]), longest, in_window, in_repeat, lengths, min_repeat)
+            for k, (text, _) in enumerate(group)]
 
 
 def _row(text, own, longest, in_window, in_repeat, lengths, min_repeat) -> tuple:
@@ -169,7 +174,7 @@ def quality_rules(docs: DataFrame, text: str = "text", min_repeat: int = WINDOW,
     @F.arrow_udf(SCHEMA)
     def measured(column: pa.Array) -> pa.Array:
         worker_state("quality", dict)
-        values = list(zip(*measure(column.cast(pa.binary()).to_pylist(), min_repeat)))
+        values = list(zip(*measure((x.as_py() for x in column.cast(pa.binary())), min_repeat)))
         values = values or [()] * len(FIELDS)
         return pa.StructArray.from_arrays(
             [pa.array(v, t) for v, (_, t) in zip(values, FIELDS)], [n for n, _ in FIELDS])
