@@ -12,7 +12,7 @@ from collections.abc import Callable
 from repeatwise.llm.work import worker_state
 
 #: Parts of each of two generations an encoder remembers, and their longest length.
-MEMORY, PART_CHARS = 200_000, 48
+MEMORY, PART_CHARS = 300_000, 48
 
 
 class Parts(dict):
@@ -71,14 +71,14 @@ def encoder(path: str) -> Encoder:
 
 def _by_library(path: str) -> Encoder:
     import os
+    import struct
 
-    import numpy as np
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    to_bytes = lambda ids: np.array(ids, "<u4").tobytes()
+    to_bytes = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
     specials = {t.content: to_bytes([i]) for i, t in model.get_added_tokens_decoder().items()}
     return Encoder(lambda text: to_bytes(model.encode(text, add_special_tokens=False).ids), specials)
