@@ -79,7 +79,10 @@ def parse_time(column: str) -> Column:
     missing, or on the twelve-hour clock with AM or PM. An offset is not applied: times are
     wall-clock times of the shop.
     """
-    text = F.regexp_replace(strip(F.col(column)), f"[{SPACES}]+", " ")
+    plain = strip(F.col(column))
+    # Dashed text as a cast reads it, the usual form, needs none of the patterns below.
+    usual = F.when(plain.contains("-"), plain.try_cast("timestamp_ntz"))
+    text = F.regexp_replace(plain, f"[{SPACES}]+", " ")
     text = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[ T])", "$1-$2-$3")
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3")
     half = F.upper(F.regexp_extract(text, r"(?i)\d ?([AP]M)$", 1))
@@ -88,7 +91,8 @@ def parse_time(column: str) -> Column:
     noon = F.make_dt_interval(hours=F.when((half == "PM") & (hour < 12), 12)
                               .when((half == "AM") & (hour == 12), -12).otherwise(0))
     # A bare number is not a date here, though a cast would read it as a year.
-    return F.when(text.contains("-") & ((half == "") | hour.between(1, 12)), value + noon)
+    return F.coalesce(
+        usual, F.when(text.contains("-") & ((half == "") | hour.between(1, 12)), value + noon))
 
 
 def to_money(number: Column) -> Column:
