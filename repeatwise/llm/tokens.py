@@ -12,7 +12,7 @@ from collections.abc import Callable
 from repeatwise.llm.work import worker_state
 
 #: Parts of each of two generations an encoder remembers, and their longest length.
-MEMORY, PART_CHARS = 300_000, 48
+MEMORY, PART_CHARS = 450_000, 48
 
 
 class Parts(dict):
