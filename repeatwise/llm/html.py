@@ -7,8 +7,10 @@ forms, comments) weigh nothing; the others weigh the length of their text outsid
 those inside an article or main element `ANCHOR` more, as their author has marked them.
 
 The weights of `WINDOW` lines from each line on are summed. Text surges at the first line
-whose sum, and own weight, reach the threshold, a share of the page's largest sum; it dives
-after the last line that reaches it together with the lines before it. What lies between is
+that weighs anything and whose sum reaches the threshold, a share of the page's largest sum;
+it dives after the last line that reaches it together with the lines before it. For the
+threshold a line's text counts up to `LONG` characters, so that a very long block doesn't
+raise it, and any line of an article or main element reaches it alone. What lies between is
 kept, but for lines that weigh nothing because they are boilerplate.
 
 Character references are decoded, white space inside a line becomes one blank, lines are
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from repeatwise.llm.work import fresh, ship
 
-WINDOW, SHARE, ANCHOR = 3, 0.2, 400
+WINDOW, SHARE, ANCHOR, LONG = 3, 0.2, 400, 80
 #: Elements that go with all they hold, and so does what an open one is followed by.
 RAW = "script|style|template|noscript|svg|math|canvas|iframe|object|head|title|textarea|select|button"
 TOKEN = re.compile(
@@ -72,9 +75,12 @@ def is_boilerplate(tag: str, attributes: str, in_marked: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether it may be kept) of the page's lines that have text."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, weight for the threshold) of the page's lines that have text.
+
+    Both weights are 0 for boilerplate, and above 0 for all other lines.
+    """
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether boilerplate, whether marked
     parts: list[str] = []
     linked, boilerplate, marked, in_link = 0, False, False, 0
@@ -84,8 +90,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                weight = 0 if boilerplate else max(1, len(text) - linked) + ANCHOR * marked
-                out.append((text, weight, not boilerplate))
+                own, anchor = max(1, len(text) - linked), ANCHOR * marked
+                out.append((text, 0, 0) if boilerplate else (text, own + anchor, min(own, LONG) + anchor))
             parts.clear()
         linked = 0
 
@@ -133,21 +139,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def sums(weights: list[int]) -> list[int]:
+    """Of `WINDOW` weights from each on."""
+    n, total = len(weights), [0, *accumulate(weights)]
+    return [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page) if page else []
     weights = [w for _, w, _ in lines]
     n = len(weights)
     if not any(weights):
         return ""
-    total = [0]
-    for w in weights:
-        total.append(total[-1] + w)
-    ahead = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    behind = [total[i + 1] - total[max(0, i + 1 - WINDOW)] for i in range(n)]
-    least = SHARE * max(ahead)
+    ahead, behind = sums(weights), sums(weights[::-1])[::-1]
+    least = SHARE * max(sums([w for _, _, w in lines]))
     surge = next(i for i in range(n) if weights[i] and ahead[i] >= least)
     dive = next(i for i in range(n - 1, -1, -1) if weights[i] and behind[i] >= least)
-    return "\n".join(text for text, _, keep in lines[surge:dive + 1] if keep)
+    return "\n".join(text for text, weight, _ in lines[surge:dive + 1] if weight)
 
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
