@@ -5,6 +5,9 @@ Comments, scripts, styles and the like vanish with all they hold. Lines inside e
 are boilerplate by tag, role or name (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) weigh nothing; the others weigh the length of their text outside links, and
 those inside an article or main element `ANCHOR` more, as their author has marked them.
+A name is a whole class or id, all of whose parts say so: `site-footer` is boilerplate,
+`has-sidebar` and `legal-analysis` aren't. An article or main element in a wrapper that is
+boilerplate by name, or a form, isn't, unless it has such a name itself or is in an article.
 
 The weights of `WINDOW` lines from each line on are summed. Text surges at the first line
 that weighs anything and whose sum reaches the threshold, a share of the page's largest sum;
@@ -51,28 +54,40 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social comment comments disqus respond replies related recommended recommendations "
     "pagination pager toolbar skip copyright disclaimer legal".split())
-MARKED = frozenset(("article", "main"))
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-NAME = re.compile(r"[a-z]+")
+#: Parts of names that say nothing by themselves.
+NEUTRAL = frozenset("site main primary secondary global block list item link links button buttons area".split())
+#: How much an element, or a wrapper of it, is marked as an article.
+MARKED = {"main": 1, "article": 2}
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+SIZES = re.compile(r"\d+x\d+")
+NAME = re.compile(r"[^\W\d_]+")
+#: Whether an element is boilerplate: no; by its name or as a form; by its tag or role, or hidden.
+PLAIN, NAMED, CERTAIN = range(3)
+
+
+def is_boilerplate_name(value: str) -> bool:
+    for name in value.split():
+        parts = NAME.findall(SIZES.sub("", name))
+        if not NAMES.isdisjoint(parts) and all(x in NAMES or x in NEUTRAL for x in parts):
+            return True
+    return False
 
 
-def is_boilerplate(tag: str, attributes: str, in_marked: bool) -> bool:
+def boilerplate_of(tag: str, attributes: str, in_marked: int) -> int:
     if tag in ("body", "html"):
-        return False
+        return PLAIN
     # A header inside an article holds its headline.
+    found = PLAIN
     if tag in BOILERPLATE and not (tag == "header" and in_marked):
-        return True
+        found = NAMED if tag == "form" else CERTAIN
     if attributes and not attributes.isspace():
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "role" and value in ROLES:
-                return True
-            if name in ("class", "id") and tag not in MARKED and any(
-                    part in NAMES for part in NAME.findall(value)):
-                return True
-    return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+                return CERTAIN
+            if name in ("class", "id") and is_boilerplate_name(value):
+                found = max(found, NAMED)
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -81,16 +96,16 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     Both weights are 0 for boilerplate, and above 0 for all other lines.
     """
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, whether boilerplate, whether marked
+    stack: list[tuple[str, int, int]] = []  # tag, how far boilerplate, how far marked
     parts: list[str] = []
-    linked, boilerplate, marked, in_link = 0, False, False, 0
+    linked, boilerplate, marked, in_link = 0, PLAIN, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                own, anchor = max(1, len(text) - linked), ANCHOR * marked
+                own, anchor = max(1, len(text) - linked), ANCHOR * (marked > 0)
                 out.append((text, 0, 0) if boilerplate else (text, own + anchor, min(own, LONG) + anchor))
             parts.clear()
         linked = 0
@@ -130,10 +145,15 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         elif tag not in VOID:
             while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in LOOSE):
                 stack.pop()
-            upper = stack[-1] if stack else ("", False, False)
-            bad = upper[1] or is_boilerplate(tag, token["attributes"], upper[2])
-            stack.append((tag, bad, upper[2] or tag in MARKED))
-        _, boilerplate, marked = stack[-1] if stack else ("", False, False)
+            upper = stack[-1] if stack else ("", PLAIN, 0)
+            own = boilerplate_of(tag, token["attributes"], upper[2])
+            if tag in MARKED and own < CERTAIN and upper[1] < CERTAIN:
+                # Its own name counts only in a wrapper that has one, as in a list of comments.
+                own = upper[1] if own or upper[2] == MARKED["article"] else PLAIN
+            else:
+                own = max(own, upper[1])
+            stack.append((tag, own, max(upper[2], MARKED.get(tag, 0))))
+        _, boilerplate, marked = stack[-1] if stack else ("", PLAIN, 0)
     text_run(page[at:])
     flush()
     return out

@@ -16,3 +16,34 @@ def test_a_very_long_block_cuts_no_short_ones(open_, close):
                         (f"{shorts}<p>{BLOCK}</p>{shorts}", [*SHORTS, BLOCK.strip(), *SHORTS])):
         page = f"<html><body><nav>menu</nav>{open_}{inner}{close}<footer>foot</footer></body></html>"
         assert html.main_text(page).split("\n") == want
+
+
+STORY = "<h1>Head</h1><p>The first paragraph of the story, of ordinary length.</p><p>Short.</p>"
+TOLD = "Head\nThe first paragraph of the story, of ordinary length.\nShort."
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'data-hidden="false"', 'title="the hidden truth"', "data-role='banner'", "x-id=ad",
+    'aria-hidden="false"', 'class="has-sidebar"', 'class="no-sidebar wide"', 'class="with-comments"',
+    'id="page-header-fixed"', "class='legal-analysis'", "class=share-price"])
+def test_wrappers_that_only_look_like_boilerplate(attributes):
+    assert html.main_text(f"<body><nav>menu</nav><div {attributes}>{STORY}</div></body>") == TOLD
+    assert html.main_text(f"<body><div {attributes}><main>{STORY}</main></div></body>") == TOLD
+
+
+@pytest.mark.parametrize("open_,close", [
+    ('<div class="sidebar">', "</div>"), ('<div id="overlay"><section class="social">', "</section></div>"),
+    ("<form id=f>", "</form>")])
+def test_marked_elements_in_wrappers_with_a_name(open_, close):
+    for tag in ("article", "main"):
+        assert html.main_text(f"{open_}<p>no</p><{tag}>{STORY}</{tag}>{close}") == TOLD
+
+
+@pytest.mark.parametrize("open_,close", [
+    ("<div hidden>", "</div>"), ('<div aria-hidden = "true">', "</div>"), ("<div class=ad>", "</div>"),
+    ('<div class="wide site-footer">', "</div>"), ('<div class="ad-300x250">', "</div>"), ("<div id='comment-17'>", "</div>"),
+    ('<div role="navigation">', "</div>"), ("<nav><article>", "</article></nav>"),
+    ('<div class="comments"><article class="comment">', "</article></div>"),
+    ('<article><div class="related"><article>', "</article></div></article>")])
+def test_boilerplate_stays_out(open_, close):
+    assert html.main_text(f"<article>{STORY}</article>{open_}<p>{'no text ' * 60}</p>{close}") == TOLD
