@@ -1,7 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: block-level elements begin and end a line, inline ones don't.
-Comments, scripts, styles and the like vanish with all they hold. Lines inside elements that
+Comments, scripts, styles and the like vanish with all they hold; an element of these that
+isn't closed ends where the next block begins or ends, or its parent ends, but for scripts,
+styles and text areas, whose text could be anything and goes to the end of the page. Lines inside elements that
 are boilerplate by tag, role or name (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) weigh nothing; the others weigh the length of their text outside links, and
 those inside an article or main element `ANCHOR` more, as their author has marked them.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
@@ -34,16 +37,25 @@ from pyspark.sql import functions as F
 from repeatwise.llm.work import fresh, ship
 
 WINDOW, SHARE, ANCHOR, LONG = 3, 0.2, 400, 80
-#: Elements that go with all they hold, and so does what an open one is followed by.
-RAW = "script|style|template|noscript|svg|math|canvas|iframe|object|head|title|textarea|select|button"
+#: Elements that go with all they hold, whose text isn't markup: to the page's end if open,
+RAW = "script|style|textarea"
+#: or, if open, like those that hold markup.
+WHOLE = "title|iframe"
+DROPPED = frozenset("title iframe template noscript svg math canvas object select button".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|(?P<open>\Z)))"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<whole>{WHOLE})(?=[\s/>])[^>]*>(?:(?!<(?P=whole)[\s/>]|<body[\s>]|</head\s*>).)*?</(?P=whole)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>"
     r"|<[!?/][^>]*>", re.S | re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
     "picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose begin and end also end an open element that is dropped.
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary "
+    "table caption tbody td tfoot th thead tr ul".split())
 #: Elements that end where another block begins or their parent ends, written or not.
 LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
@@ -74,7 +86,7 @@ def is_boilerplate_name(value: str) -> bool:
 
 
 def boilerplate_of(tag: str, attributes: str, in_marked: int) -> int:
-    if tag in ("body", "html"):
+    if tag in ("body", "html", "head"):
         return PLAIN
     # A header inside an article holds its headline.
     found = PLAIN
@@ -90,6 +102,32 @@ def boilerplate_of(tag: str, attributes: str, in_marked: int) -> int:
     return found
 
 
+def ends_of(tokens: list[re.Match]) -> dict[int, int]:
+    """For the start of each element that is dropped and closed, by place, the place of its end."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter = Counter()
+    for i, token in enumerate(tokens):
+        tag = (token["tag"] or "").lower()
+        if not tag or tag in INLINE or tag in VOID:
+            continue
+        if not token["end"]:
+            if tag in DROPPED and token[0].endswith("/>"):
+                ends[i] = i
+            else:
+                stack.append((tag, i))
+                held[tag] += 1
+        elif held[tag]:
+            while stack:
+                name, start = stack.pop()
+                held[name] -= 1
+                if name == tag:
+                    break
+            if tag in DROPPED:
+                ends[start] = i
+    return ends
+
+
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, weight for the threshold) of the page's lines that have text.
 
@@ -117,16 +155,40 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if in_link:
                 linked += len(run.strip())
 
-    at = 0
-    for token in TOKEN.finditer(page):
-        text_run(page[at:token.start()])
+    at, tokens = 0, list(TOKEN.finditer(page))
+    ends = ends_of(tokens)
+    skip_to = -1  # the end of a closed element that is dropped
+    dropping, inside = False, []  # whether an open one is dropped, inline elements begun in it
+    for i, token in enumerate(tokens):
+        if i > skip_to and not dropping:
+            text_run(page[at:token.start()])
         at = token.end()
+        if i <= skip_to:
+            continue
         tag = token["tag"]
         if not tag:
-            if token["raw"] and token["raw"].lower() in ("head", "title"):
+            if token["whole"] and token["whole"].lower() == "title":
                 flush()
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            if not token["end"]:
+                if tag == "title":
+                    flush()
+                if i in ends:
+                    skip_to = ends[i]
+                elif not dropping:
+                    dropping, inside = True, []
+            continue
+        if dropping:
+            if tag in INLINE and tag not in VOID and not token["end"]:
+                inside.append(tag)
+            elif token["end"] and tag in inside:
+                inside.remove(tag)
+            elif tag in BLOCKS or token["end"] and (tag in INLINE or any(x == tag for x, _, _ in stack)):
+                dropping = False
+            if dropping:
+                continue
         if tag == "a":
             in_link = 0 if token["end"] else 1
         if tag == "br":
@@ -154,7 +216,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 own = max(own, upper[1])
             stack.append((tag, own, max(upper[2], MARKED.get(tag, 0))))
         _, boilerplate, marked = stack[-1] if stack else ("", PLAIN, 0)
-    text_run(page[at:])
+    if not dropping:
+        text_run(page[at:])
     flush()
     return out
 

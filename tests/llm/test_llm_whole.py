@@ -47,3 +47,23 @@ def test_marked_elements_in_wrappers_with_a_name(open_, close):
     ('<article><div class="related"><article>', "</article></div></article>")])
 def test_boilerplate_stays_out(open_, close):
     assert html.main_text(f"<article>{STORY}</article>{open_}<p>{'no text ' * 60}</p>{close}") == TOLD
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>x</title><body>", "<html><head><meta charset=u><title>x</title><style>p{}</style><p hidden>x</p>",
+    "<head><title>x</title><script>var a='<p>';</script><body>", "<title>x</head><body>", "<title>x<body>",
+    "<title>How to use a <div> and a <script></title><body>", "<select><option>x<option>x", "<ul><li><button>x<li><button>x</button></ul>",
+    "<div><button>x</div>", "<noscript>x", "<object data=x><param name=x>x", "<svg><path d=x><g>x", "<template>x", "<canvas>",
+    "<iframe src=x>", "<iframe src=x><p hidden></p><iframe src=y>no</iframe>",
+    "<button><div><p>x</p></div></button>", "<noscript><div><button>x</div></noscript>", "<object><object><p>x</p></object>x</object>"])
+def test_elements_without_an_end_tag(before):
+    assert html.main_text(f"{before}<article>{STORY}</article>") == TOLD
+    assert html.main_text(f"{before}<div>{STORY}</div></body>") == TOLD
+    assert html.main_text(f"<article>{STORY}{before}</article>") == TOLD
+
+
+def test_dropped_elements_inside_a_line():
+    assert html.main_text("<p>one <b><button>x</b> two <svg><title>x</title><path/></svg>three <select><option>x</select> four") \
+        == "one two three four"
+    assert html.main_text("<p>one <my-card><button>x <i>x</i> x</my-card> two") == "one\ntwo"
+    assert html.main_text("<p>one</p>" + "<button>x" * 3000 + "<p>two</p>" + "</div>" * 3000) == "one\ntwo"
