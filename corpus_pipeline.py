@@ -17,6 +17,8 @@ from repeatwise.llm.work import documents, fresh, stored
 
 #: Language predictions of less than this share are rejected.
 MIN_SCORE = 0.5
+#: Per cent of Jaccard similarity from which documents are near duplicates.
+SIMILARITY = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the document with the smallest id of each group of near duplicates."""
     names = {x: fresh(docs, x) for x in ("n_shingles", "component", "kept")}
-    return neardup.near_duplicates(docs, **names).where(F.col(names["kept"])).select(*docs.columns)
+    return neardup.near_duplicates(docs, threshold=SIMILARITY, **names).where(F.col(names["kept"])).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import pytest
 
+import corpus_pipeline
 from repeatwise.llm import html
+from test_llm_groups import near_copies, plain_groups
 
 SHORTS = [f"Line {i}." for i in range(200)]
 BLOCK = "and so on " * 600
@@ -67,3 +69,18 @@ def test_dropped_elements_inside_a_line():
         == "one two three four"
     assert html.main_text("<p>one <my-card><button>x <i>x</i> x</my-card> two") == "one\ntwo"
     assert html.main_text("<p>one</p>" + "<button>x" * 3000 + "<p>two</p>" + "</div>" * 3000) == "one\ntwo"
+
+
+def test_pipeline_joins_documents_from_80_per_cent_on(spark):
+    rows = [(i, t, "en", "s") for i, t in near_copies(n_groups=20, seed=6)]
+    # Two groups of five-word sets that share 80 and 82 of every 100 shingles, and one that shares 79.
+    for g, both in enumerate((160, 164, 158)):
+        words = [f"g{g}w{i}" for i in range(204)]
+        side = (200 - both) // 2
+        shared = words[:both + 4]
+        rows += [(1000 + 2 * g + k, " ".join(shared + [f"g{g}s{k}w{i}" for i in range(side)]), "en", "s") for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    want = plain_groups([r[:2] for r in rows], threshold=80)[1]
+    kept = {r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect()}
+    assert kept == set(want.values())
+    assert {1000, 1002, 1004, 1005} <= kept and not {1001, 1003} & kept
