@@ -17,6 +17,9 @@ from repeatwise.llm.work import documents, fresh, stored
 
 #: Language predictions of less than this share are rejected.
 MIN_SCORE = 0.5
+#: And those of texts that cost over this multiple, per character, of the language's own texts,
+#: or of whose words less than this share agrees.
+MAX_SURPRISE, MIN_AGREEMENT = 2, 2 / 3
 #: Per cent of Jaccard similarity from which documents are near duplicates.
 SIMILARITY = 80
 
@@ -28,12 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of which no language holds the larger share."""
+    """Drops documents without letters, of no language that is known, or mixed of several."""
     into = fresh(docs, "language")
     model = langid.fit(docs, PIECES)
-    found = langid.predict(docs, model, into=into)
-    return found.where((F.col(into)["lang"] != langid.UNKNOWN) & (F.col(into)["score"] >= MIN_SCORE)) \
-        .select(*docs.columns)
+    found = langid.predict(docs, model, into=into, evidence=True)
+    return found.where((F.col(into)["lang"] != langid.UNKNOWN) & (F.col(into)["score"] >= MIN_SCORE)
+                       & (F.col(into)["surprise"] <= MAX_SURPRISE)
+                       & (F.col(into)["agreement"] >= MIN_AGREEMENT)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Nothing that belongs to a result is cut: long and short blocks, wrappers, unclosed elements."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -84,3 +86,19 @@ def test_pipeline_joins_documents_from_80_per_cent_on(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect()}
     assert kept == set(want.values())
     assert {1000, 1002, 1004, 1005} <= kept and not {1001, 1003} & kept
+
+
+def test_language_stage_rejects_gibberish_unlearned_and_mixed_texts(spark):
+    r = random.Random(8)
+    known = {x: ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(300)]
+             for x, letters in (("aa", "aeinrst"), ("bb", "oulmdpc"))}
+    text = lambda words, n=60: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(known[x]), x) for i in range(100) for x in known]
+    rows = [(2 * i + j, *row[1:]) for i in range(100) for j, row in enumerate(rows[2 * i:2 * i + 2])]
+    gibberish = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(6000)]
+    rows += [(1000 + i, text(gibberish), None) for i in range(30)]
+    rows += [(2000 + i, "все люди рождаются свободными и равными в своем достоинстве и правах " * 4, None) for i in range(5)]
+    rows += [(3000 + i, text(known["aa"], 50) + " " + text(known["bb"], 50), None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert kept == set(range(200))
