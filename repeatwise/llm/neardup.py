@@ -14,9 +14,9 @@ one of them on average; other nodes are branched again, up to `depth`.
 
 Small nodes are compared exhaustively. First every record is compared with the smallest
 record of its nodes only, which joins most copies. Then pairs of a node that are still in
-different components and whose sketches (a byte for each token) agree in `SKETCH_SHARE` of
-positions, over four standard deviations below what the threshold leads one to expect, are
-gathered and confirmed on full sets, computed again from the texts of these records.
+different components and whose sketches (a byte for each token) agree in at least
+`sketch_share` of positions, `DEVIATIONS` standard deviations below what the threshold leads
+one to expect, are gathered and confirmed on full sets, computed again from the texts of these records.
 
 Dense nodes hold many similar texts that differ, such as thousands of near copies. Their
 full sets meet in blocks of bounded size, and the exact sizes of all intersections of two
@@ -47,7 +47,9 @@ from repeatwise.llm.work import fresh, ship, stored, worker_state
 
 SHINGLE = 5
 SIGNATURE = 64
-SKETCH_SHARE = 0.66
+DEVIATIONS = 4.25
+#: Children that a pair at the threshold is expected to share at each node of a tree.
+SHARED = 0.85 / 0.7
 DENSE = 0.4
 #: Records, and bytes of their sets, on one side of a comparison of blocks.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
@@ -56,6 +58,15 @@ COLUMNS = 4096
 _MASK = (1 << 64) - 1
 
 
+def sketch_share(threshold: int) -> float:
+    share = threshold / 100
+    return share - DEVIATIONS * (share * (1 - share) / SIGNATURE) ** 0.5
+
+
+def branching_of(threshold: int) -> float:
+    return threshold / 100 / SHARED
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit integers that looks random (finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -155,26 +166,36 @@ def _branch(share: float):
     return children
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sketch_a, sketch_b) to the pairs (a, b) whose sketches agree enough."""
-    for batch in batches:
-        if batch.num_rows:
-            same = (_matrix(batch.column(2), "u1") == _matrix(batch.column(3), "u1")).mean(1)
-            keep = pa.array(same >= SKETCH_SHARE)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+def _agree(threshold: int):
+    """Function for mapInArrow: (a, b, sketch_a, sketch_b) to the pairs (a, b) whose sketches agree enough."""
+    least = sketch_share(threshold)
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_matrix(batch.column(2), "u1") == _matrix(batch.column(3), "u1")).mean(1)
+                keep = pa.array(same >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
+    return agreeing
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(records, components, sketches) of small nodes to their pairs across components."""
-    for batch in batches:
-        for ids, labels, sketches in zip(*(c.to_pylist() for c in batch.columns)):
-            ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
-            x = np.frombuffer(b"".join(sketches), "u1").reshape(-1, SIGNATURE)
-            i, j = np.nonzero((labels[:, None] != labels) & (ids[:, None] < ids))
-            keep = (x[i] == x[j]).mean(1) >= SKETCH_SHARE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i[keep]]), pa.array(ids[j[keep]])], ["a", "b"])
+
+def _small(threshold: int):
+    """Function for mapInArrow: (records, components, sketches) of small nodes to their pairs across components."""
+    least = sketch_share(threshold)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, labels, sketches in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, labels = np.array(ids, np.int64), np.array(labels, np.int64)
+                x = np.frombuffer(b"".join(sketches), "u1").reshape(-1, SIGNATURE)
+                i, j = np.nonzero((labels[:, None] != labels) & (ids[:, None] < ids))
+                keep = (x[i] == x[j]).mean(1) >= least
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i[keep]]), pa.array(ids[j[keep]])], ["a", "b"])
+
+    return pairs
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -292,14 +313,14 @@ def _grown(records: DataFrame, trees: int, branching: float, leaf: int, depth: i
                  for x, name in ((small, "small"), (large or [more], "large")))
 
 
-def _to_smallest(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+def _to_smallest(nodes: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """For each record the smallest record of its nodes that its sketch agrees with, as (a, b)."""
     least = nodes.groupBy("path").agg(F.min("r").alias("a"))
     pairs = nodes.join(least, "path").where("a < r").select("a", F.col("r").alias("b")).distinct()
     with_b = pairs.join(sketches.select(F.col("r").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     signed = with_b.join(sketches.select(F.col("r").alias("a"), F.col("sketch").alias("sketch_a")), "a") \
         .select("a", "b", "sketch_a", "sketch_b")
-    return signed.mapInArrow(_agree, "a long, b long").groupBy("b").agg(F.min("a").alias("a")) \
+    return signed.mapInArrow(_agree(threshold), "a long, b long").groupBy("b").agg(F.min("a").alias("a")) \
         .select("a", "b")
 
 
@@ -312,11 +333,11 @@ def _apart(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(spread, "path")
 
 
-def _across_small(nodes: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def _across_small(nodes: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (a, b) across components of small nodes."""
     rows = _apart(nodes, labels).join(sketches, "r").groupBy("path").agg(
         F.collect_list(F.struct("r", "c", "sketch")).alias("x"))
-    return rows.select("x.r", "x.c", "x.sketch").mapInArrow(_small, "a long, b long")
+    return rows.select("x.r", "x.c", "x.sketch").mapInArrow(_small(threshold), "a long, b long")
 
 
 def _across_large(nodes: DataFrame, labels: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -338,14 +359,15 @@ def _across_large(nodes: DataFrame, labels: DataFrame, texts: DataFrame, thresho
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                    threshold: int = 85, trees: int = 12, branching: float = 0.7,
+                    threshold: int = 85, trees: int = 12, branching: float | None = None,
                     leaf: int = 32, depth: int = 8, n_shingles: str = "n_shingles",
                     component: str = "component_id", kept: str = "kept") -> DataFrame:
     """`docs` with the columns `n_shingles`, `component` and `kept`, replacing such.
 
     `key` is a column of integers. Texts are linked at `threshold` per cent of Jaccard
-    similarity or more.
+    similarity or more; branching follows from the threshold unless given.
     """
+    branching = branching_of(threshold) if branching is None else branching
     ship(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     mapped = stored(slim.mapInArrow(_records, "id long, n long, key binary, sig binary"), "sets")
@@ -355,9 +377,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     texts = slim.where("id IS NOT NULL").withColumnRenamed("id", "r")
     sketches = stored(records.select("r", "sig").mapInArrow(_sketch, "r long, sketch binary"), "sketches")
     small, large = _grown(records, trees, branching, leaf, depth)
-    first = _verified(_to_smallest(small.union(large), sketches), texts, threshold)
+    first = _verified(_to_smallest(small.union(large), sketches, threshold), texts, threshold)
     labels = components(first)
-    second = _verified(_across_small(small, labels, sketches), texts, threshold)
+    second = _verified(_across_small(small, labels, sketches, threshold), texts, threshold)
     third = _across_large(large, components(first.union(second)), texts, threshold)
     labels = components(first.union(second).union(third))
 

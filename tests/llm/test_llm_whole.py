@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from repeatwise.llm import html
+from repeatwise.llm import html, neardup
 from test_llm_groups import near_copies, plain_groups
 
 SHORTS = [f"Line {i}." for i in range(200)]
@@ -102,3 +104,15 @@ def test_language_stage_rejects_gibberish_unlearned_and_mixed_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     kept = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs, "").collect()}
     assert kept == set(range(200))
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 85])
+def test_sketches_of_pairs_at_the_threshold_agree(threshold):
+    r = np.random.default_rng(threshold)
+    same = r.binomial(neardup.SIGNATURE, threshold / 100, 200_000) / neardup.SIGNATURE
+    sketch = lambda n: bytes(n) + b"\1" * (neardup.SIGNATURE - n)
+    pairs = [pa.array([1]), pa.array([2])]
+    least = min(n for n in range(1, 65) if sum(b.num_rows for b in neardup._agree(threshold)(iter([
+        pa.RecordBatch.from_arrays([*pairs, pa.array([sketch(64)]), pa.array([sketch(n)])], list("abxy"))]))))
+    assert (same * 64 < least).mean() < 2e-4
+    assert neardup.branching_of(85) == pytest.approx(0.7) and neardup.branching_of(threshold) < threshold / 100
