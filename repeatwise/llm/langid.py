@@ -63,6 +63,9 @@ def vocabulary(path: str) -> list[str]:
 def words_of(text: str) -> list[str]:
     """Its runs of letters in lower case, long ones in parts."""
     found = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        # Digits and the like that the regular expression takes for letters, such as a superscript.
+        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
     if max(map(len, found), default=0) > WORD_CHARS:
         found = [w[i:i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
     return found
@@ -262,10 +265,7 @@ def _logs(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
 
 
 def _learn(model: Model, lattice: Lattice, new: list[str]) -> np.ndarray:
-    logs = _logs(lattice, model.p, new)
-    # Digits and the like that a regular expression takes for letters say nothing.
-    logs[[i for i, w in enumerate(new) if not w.isalpha()]] = 0
-    return logs
+    return _logs(lattice, model.p, new)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language",

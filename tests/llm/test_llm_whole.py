@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from repeatwise.llm import html, neardup
+from repeatwise.llm import html, langid, neardup
 from test_llm_groups import near_copies, plain_groups
 
 SHORTS = [f"Line {i}." for i in range(200)]
@@ -116,3 +116,8 @@ def test_sketches_of_pairs_at_the_threshold_agree(threshold):
         pa.RecordBatch.from_arrays([*pairs, pa.array([sketch(64)]), pa.array([sketch(n)])], list("abxy"))]))))
     assert (same * 64 < least).mean() < 2e-4
     assert neardup.branching_of(85) == pytest.approx(0.7) and neardup.branching_of(threshold) < threshold / 100
+
+
+def test_words_are_split_where_there_is_no_letter():
+    assert langid.words_of("x² m²") == ["x", "m"] and langid.words_of("a½bc d") == ["a", "bc", "d"]
+    assert langid.words_of("² ½ 12") == []
