@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatwise.llm import (
-    binpack, bpe, caps, html, langid, lines, neardup, packing, quality, shards,
+    backtrack, binpack, bpe, caps, fim, html, langid, lines, neardup, packing, planes, quality, shards,
 )
 from repeatwise.llm.work import documents, held_out
 from repeatwise.session import shared_folder
@@ -19,6 +19,9 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RATIO, MIN_PAGES = 0.1, 5
 SHARDS, TOLERANCE = 24, 0.02
+MULTI_BPE, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+FIM_SEED = 42
+CLUSTERS, ROUNDS, CLUSTER_SEED, SCALE = 40, 5, 2, 256
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +88,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             "longest", "longest_words", "base_failed", "kept")))
 
 
+def op11_swar_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), FIM_SEED)
+    back = fim.restored(F.col("fim.form"), F.col("fim.output"))
+    return docs.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                       F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return backtrack.round_trip(docs, MULTI_BPE, PATTERN).select(
+        "doc_id", "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
+
+
+def op13_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.clustered(documents(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, CLUSTER_SEED, SCALE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -134,5 +154,14 @@ FROM sharded
 """
 
 
+OP11 = "WITH " + fim.SQL.format(docs="documents", seed=FIM_SEED, rate=fim.RATE, spm_rate=fim.SPM_RATE) + """
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(p || m || s) AS restored_sha256
+FROM fim
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_histogram_shards": OP1, "op5_line_dedup": OP5}
+    return {"op1_histogram_shards": OP1, "op5_line_dedup": OP5, "op11_swar_fill_in_middle": OP11,
+            "op13_bit_plane_clusters": planes.sql("embeddings", CLUSTERS, ROUNDS, CLUSTER_SEED, SCALE)}

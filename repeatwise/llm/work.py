@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatwise.session import shared_folder
+from repeatwise.sources.store import remove
 
 
 _shipped: set[str] = set()
@@ -60,6 +61,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only one run of an operator needs."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written and read again, as by `stored`."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the tables; nothing that is still to be computed may read them."""
+        remove(self.spark, self.folder)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, base
