@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -72,6 +72,24 @@ def clean_text(column: str, tokens: tuple[str, ...], default: str) -> Column:
     return F.when(text.isNull() | text.isin(*tokens), F.lit(default)).otherwise(text)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used.
+
+    The optimizer copies an expression to every place that names it, and those again where
+    they are nested. A variable of a higher-order function it leaves alone.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+# Parts of a time that a cast can't read as it is: date, time of day, half of day or the rest. The
+# parts are set apart by a character that texts without white space at their ends don't begin with.
+_MARK = "\x1f"
+_SPACE = f"[{SPACES}]"
+_UNUSUAL = (rf"^(\d{{4}})(?:[-/.](\d{{1,2}})[-/.](\d{{1,2}})|(\d{{2}})(\d{{2}}))"
+            rf"(?:(?:{_SPACE}+|T)([^{SPACES}]+?))?(?:{_SPACE}*([AaPp][Mm])|{_SPACE}+([^{SPACES}]+))?$")
+_PARTS = f"{_MARK}$1-$2$4-$3$5 $6 $8{_MARK}$7"
+
+
 def parse_time(column: str) -> Column:
     """Timestamp without zone from text, null if unreadable.
 
@@ -80,31 +98,42 @@ def parse_time(column: str) -> Column:
     wall-clock times of the shop.
     """
     plain = strip(F.col(column))
-    # Dashed text as a cast reads it, the usual form, needs none of the patterns below.
+    # Dashed text as a cast reads it, the usual form, needs no pattern. A bare number is not
+    # a date here, though a cast would read it as a year.
     usual = F.when(plain.contains("-"), plain.try_cast("timestamp_ntz"))
-    text = F.regexp_replace(plain, f"[{SPACES}]+", " ")
-    text = F.regexp_replace(text, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?=$|[ T])", "$1-$2-$3")
-    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3")
-    half = F.upper(F.regexp_extract(text, r"(?i)\d ?([AP]M)$", 1))
-    value = F.regexp_replace(text, r"(?i) ?[AP]M$", "").try_cast("timestamp_ntz")
-    hour = F.hour(value)
-    noon = F.make_dt_interval(hours=F.when((half == "PM") & (hour < 12), 12)
-                              .when((half == "AM") & (hour == 12), -12).otherwise(0))
-    # A bare number is not a date here, though a cast would read it as a year.
-    return F.coalesce(
-        usual, F.when(text.contains("-") & ((half == "") | hour.between(1, 12)), value + noon))
-
-
-def to_money(number: Column) -> Column:
-    """Amount of a text that is a number; one that an amount can't hold is an error."""
+    return F.coalesce(usual, bound(F.regexp_replace(plain, _UNUSUAL, _PARTS), _from_parts))
+
+
+def _from_parts(parts: Column) -> Column:
+    """Time of a text in parts; null if the pattern left the text as it was."""
+    whole = F.trim(F.substring_index(F.substring(parts, F.lit(2), F.length(parts)), _MARK, 1)).try_cast("timestamp_ntz")
+    half = F.upper(F.substring_index(parts, _MARK, -1))
+
+    def on_the_clock(time: Column) -> Column:
+        hour = F.hour(time)
+        shift = F.when((half == "PM") & (hour < 12), 12).when((half == "AM") & (hour == 12), -12).otherwise(0)
+        return F.when((half == "") | hour.between(1, 12), time + F.make_dt_interval(hours=shift))
+
+    return F.when(F.startswith(parts, F.lit(_MARK)), bound(whole, on_the_clock))
+
+
+def to_money(number: Column, strict: bool = True) -> Column:
+    """Amount of a text that is a number; one that an amount can't hold is an error, or else null."""
+    value = number.try_cast(MONEY)
+    if not strict:
+        return value
     return F.when(number.isNotNull(), F.coalesce(
-        number.try_cast(MONEY),
-        F.raise_error(F.concat(F.lit("amount out of range: "), number)).cast(MONEY)))
+        value, F.raise_error(F.concat(F.lit("amount out of range: "), number)).cast(MONEY)))
+
 
+def parse_money(column: str, strict: bool = True) -> Column:
+    """Amount from text in whole cents, rounded half up; zero if it is not a plain number.
 
-def parse_money(column: str) -> Column:
-    """Amount from text in whole cents, rounded half up; zero if it is not a plain number."""
+    A number that an amount can't hold is an error, or null if not `strict`.
+    """
     text = strip(F.col(column))
+    if not strict:
+        return F.when(text.rlike(NUMBER), to_money(text, strict)).otherwise(F.lit(0).cast(MONEY))
     return F.coalesce(to_money(F.when(text.rlike(NUMBER), text)), F.lit(0).cast(MONEY))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_text, parse_money, parse_time, strip
@@ -69,7 +69,9 @@ def _pay_time(df: DataFrame, rowwise: bool) -> DataFrame:
     if rowwise or "pay_time" not in df.columns:
         chosen = F.coalesce(pay, submit)
     else:
-        chosen = F.when(df.where(pay.isNotNull()).exists(), pay).otherwise(submit)
+        # Empty texts are passed over before any is parsed.
+        some = df.where((F.col("pay_time") != "") & pay.isNotNull())
+        chosen = F.when(some.exists(), pay).otherwise(submit)
     return df.withColumns({"pay_time": chosen, "order_submit_time": submit})
 
 
@@ -80,38 +82,68 @@ def _dates(df: DataFrame) -> DataFrame:
     })
 
 
-def _money(df: DataFrame) -> DataFrame:
+def _money(df: DataFrame, strict: bool = True) -> DataFrame:
     if "payable_amount" in df.columns:
-        value = parse_money("payable_amount")
+        value = parse_money("payable_amount", strict)
     else:
         value = F.lit(0).cast(MONEY)
     return df.withColumns({"payable_amount": value, "gmv": value})
 
 
-def normalise_orders(raw: DataFrame, rowwise_time: bool = False) -> DataFrame:
+# Why a row can't be used, in the order of precedence; and the column whose value is missing then.
+PROBLEMS = {"no readable time": "pay_time", "no user": "user_id", "amount out of range": "gmv"}
+
+
+def _problem() -> Column:
+    out = F.lit(None).cast("string")
+    for reason, column in reversed(PROBLEMS.items()):
+        out = F.when(F.col(column).isNull(), reason).otherwise(out)
+    return out
+
+
+def _usable(df: DataFrame, tally: Observation | None) -> DataFrame:
+    """Rows with a time, a user and an amount; `tally` counts the others in the same pass."""
+    if tally:
+        reason = _problem()
+        df = df.observe(tally, F.count(F.lit(1)).alias("rows read"),
+                        *[F.count_if(reason == r).alias(r) for r in PROBLEMS])
+    df = df.dropna(subset=list(PROBLEMS.values()))
+    return df.withColumn("user_id", strip(F.col("user_id")))
+
+
+def normalise_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True,
+                     tally: Observation | None = None) -> DataFrame:
     """Everything `clean_orders` does short of de-duplication."""
-    df = _pay_time(rename_and_keep(raw, ORDER_COLUMNS), rowwise_time)
-    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", strip(F.col("user_id")))
-    df = _dates(fill_text(_money(df), ORDER_TEXT))
+    df = _money(_pay_time(rename_and_keep(raw, ORDER_COLUMNS), rowwise_time), strict)
+    df = _dates(fill_text(_usable(df, tally), ORDER_TEXT))
     return fill_text(df, {"sub_order_id": (("nan", "None"), "")})
 
 
-def clean_orders(raw: DataFrame, rowwise_time: bool = False) -> DataFrame:
-    df = normalise_orders(raw, rowwise_time)
+def clean_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True,
+                 tally: Observation | None = None) -> DataFrame:
+    """Orders, one of each; an amount out of range is an error, or drops its row if not `strict`."""
+    df = normalise_orders(raw, rowwise_time, strict, tally)
     keys = _id_or_fallback(("user_id", "pay_time", "sku", "influencer_name"))
     return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
 
 
-def clean_samples(raw: DataFrame) -> DataFrame:
+def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None = None) -> DataFrame:
     """Samples; unlike orders a missing pay time is filled row by row."""
-    df = _pay_time(rename_and_keep(raw, SAMPLE_COLUMNS), rowwise=True)
-    df = df.dropna(subset=["pay_time", "user_id"]).withColumn("user_id", strip(F.col("user_id")))
-    df = _dates(fill_text(_money(df), SAMPLE_TEXT))
+    df = _money(_pay_time(rename_and_keep(raw, SAMPLE_COLUMNS), rowwise=True), strict)
+    df = _dates(fill_text(_usable(df, tally), SAMPLE_TEXT))
     df = fill_text(df, {"sub_order_id": (("nan", "None"), "")})
     keys = _id_or_fallback(("user_id", "pay_time", "sku", "sample_type"))
     return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
 
 
+def rejected(raw: DataFrame, columns: tuple[str, ...], rowwise_time: bool = False) -> DataFrame:
+    """Rows of orders or samples (`columns` are theirs) that cleaning drops, as delivered, and why."""
+    named = rename_and_keep(raw, columns)
+    kept = F.struct(*[F.col(c) for c in named.columns]).alias("_raw")
+    parsed = _money(_pay_time(named.withColumn("_raw", kept), rowwise_time), strict=False)
+    return parsed.withColumn("reason", _problem()).where(F.col("reason").isNotNull()).select("_raw.*", "reason")
+
+
 def _with_user(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows with a user; without the column there is none, and the table is empty."""
     df = rename_and_keep(raw, columns)

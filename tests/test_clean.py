@@ -170,3 +170,37 @@ def test_members_and_crowds_without_users_are_empty(spark):
         assert clean_members(df).count() == 0
     with pytest.warns(UserWarning, match="no user column"):
         assert clean_crowds(df).count() == 0
+
+
+def test_times_are_parsed_once(spark):
+    """A time is one pattern wherever it is used, and generated code stays small enough to be compiled."""
+    raw = _raw(spark, ORDER_COLUMNS, [{"sub_order_id": "1"}, {"sub_order_id": "2", "pay_time": "2024/1/2 3:04"}], **DEFAULTS)
+    for out in (clean.clean_orders(raw), clean.clean_orders(raw, rowwise_time=True)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("regexp_replace") <= 8
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert clean.clean_orders(raw).count() == 2 and len(clean.clean_orders(raw).collect()) == 2
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("2024/1/2\t3:04 pm", "2024-01-02 15:04:00"), ("2024/1/2T3:04:05.5", "2024-01-02 03:04:05.5"),
+    ("2024.1.2  3:04:05  +08:00", "2024-01-02 03:04:05"), ("20240102 3:04pm", "2024-01-02 15:04:00"),
+    ("2024/1/2 PM", None), ("2024/1/2 3|04", None), ("\x1f2024/1/2\x1f3:04", "2024-01-02 03:04:00"),
+    ("2024/1/2x", None), ("2024/1/2 3:04 junk", None), ("2024/1/2 0:30 AM", None), ("2024-1/2", "2024-01-02 00:00:00")])
+def test_unusual_times(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(parse_time("t").cast("string")).first()[0] == expected
+
+
+def test_rejected_rows_tell_why(spark):
+    rows = [{"user_id": None}, {"pay_time": "x"}, {"pay_time": "x", "user_id": None}, {"payable_amount": "1e17"}, {}]
+    raw = _raw(spark, ORDER_COLUMNS, [{"sub_order_id": str(i), **r} for i, r in enumerate(rows)], **DEFAULTS)
+    out = clean.rejected(raw, ORDER_COLUMNS).orderBy("sub_order_id").collect()
+    assert [(r.sub_order_id, r.pay_time, r.payable_amount, r.reason) for r in out] == [
+        ("0", DEFAULTS["pay_time"], "1", "no user"), ("1", "x", "1", "no readable time"),
+        ("2", "x", "1", "no readable time"), ("3", DEFAULTS["pay_time"], "1e17", "amount out of range")]
+    assert [r.sub_order_id for r in clean.clean_orders(raw, strict=False).collect()] == ["4"]
+    assert clean.rejected(raw.drop("payable_amount", "order_submit_time"), ORDER_COLUMNS).count() == 3

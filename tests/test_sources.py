@@ -7,7 +7,7 @@ import pathlib
 
 import pytest
 
-from repeatwise.plans.build import build
+from repeatwise.plans.build import build, build_report
 from repeatwise.operators.scope import scope_pairs
 from repeatwise.plans import channel, members
 from repeatwise.schema import FILE_KEYWORDS, LabelRule, SOURCE_COLUMNS, Scope, SourceMissing
@@ -116,6 +116,24 @@ def test_build_from_source_headers(built):
     assert t.members.first().join_ym == "2024-01"
 
 
+def test_build_counts_what_it_drops(spark, tmp_path):
+    header = [*ORDER_HEADER[:8]]
+    good = ["u1", "1", "s1", "ok", "600", "2024-01-01", "i1", "c"]
+    _csv(tmp_path / "in" / f"{FILE_KEYWORDS['orders']}.csv", header, good, good, ["u1", "2", "s", "ok", "1e20", "2024-01-01", "i", "c"],
+         ["", "3", "s", "ok", "1", "2024-01-01", "i", "c"], ["u2", "4", "s", "ok", "1", "soon", "i", "c"])
+    out = str(tmp_path / "out")
+    with pytest.raises(Exception, match="amount out of range"):
+        build(spark, str(tmp_path / "in"), out)
+    t = build(spark, str(tmp_path / "in"), out, strict=False, with_rejected=True)
+    assert t.orders.count() == 1 + t.orders.where("user_id = ''").count()
+    counts = {(r.source, r.measure): r.n_rows for r in build_report(spark, out).collect()}
+    assert counts == {("orders", "rows read"): 5, ("orders", "no readable time"): 1, ("orders", "no user"): 1,
+                      ("orders", "amount out of range"): 1, ("orders", "copies"): 1, ("orders", "kept"): 1}
+    found = spark.read.parquet(f"{out}/rejected/orders").collect()
+    assert sorted((r.sub_order_id, r.reason) for r in found) == [
+        ("2", "amount out of range"), ("3", "no user"), ("4", "no readable time")]
+
+
 def test_absent_tables_are_none_and_their_reports_say_so(built):
     t, _ = built
     assert t.samples is None and t.crowds is None
