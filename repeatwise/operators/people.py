@@ -91,3 +91,27 @@ def summary_columns() -> dict[str, Column]:
 def as_double(df: DataFrame, *columns: str) -> DataFrame:
     """Money as double, for output."""
     return df.withColumns({c: amount(F.col(c)) for c in columns})
+
+
+#: Bits of a filter of users: as many machine words of 64 as one scalar may well hold (1 MB).
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(users: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """True for every `user_id` that `users` holds, and false for most others.
+
+    A table of hashed bits, one for each user, is made in one pass over `users` and handed to
+    every task of the scan that applies it, so that rows of other users go before they are
+    combined and shuffled. Its size is fixed. With more users than bits it lets nearly all
+    rows through, so an exact join has to follow.
+    """
+    spark, words = users.sparkSession, bits // 64
+    place = F.pmod(F.xxhash64("user_id"), F.lit(bits))
+    set_bits = users.where(F.col("user_id").isNotNull()).select(
+        F.shiftright(place, 6).alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    every = spark.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+    table = set_bits.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    packed = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits"))
+    word = F.get(packed.scalar(), F.shiftright(place, 6).cast("int"))
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, amount, midnight, one_of, per, percent, qualifies, rounded
-from ..operators.people import distinct_users, of_users
+from ..operators.people import distinct_users, maybe_in, of_users
 from ..operators.scope import apply_scope, in_days, scope_condition, until_month
 from ..operators.skew import split
 from ..schema import DateRange, LabelRule, Scope, Tables
@@ -47,8 +47,11 @@ def first_samples(samples: DataFrame) -> DataFrame:
         F.min("pay_time").alias("sample_time"), F.count(F.lit(1)).alias("sample_orders"))
 
 
-def _users(orders: DataFrame, scope: Scope, rule: LabelRule) -> DataFrame:
-    """Per user: orders in scope and a year earlier, and whether known before."""
+def _users(orders: DataFrame, scope: Scope, rule: LabelRule, sampled: DataFrame) -> DataFrame:
+    """Per user: orders in scope and a year earlier, and whether known before.
+
+    Only of users that have a row in `sampled`, and of few others.
+    """
     now = scope_condition(scope)
     year_ago = scope.year_ago()
     then = scope_condition(year_ago) if year_ago else F.lit(False)
@@ -58,7 +61,7 @@ def _users(orders: DataFrame, scope: Scope, rule: LabelRule) -> DataFrame:
         any_channel = LabelRule(rule.min_amount, statuses=rule.statuses)
         start = scope.dates[0]
         known = qualifies(any_channel) & (F.col("pay_time") < midnight(start)) & until_month(start)
-    return orders.where(now | then | known).groupBy("user_id").agg(
+    return orders.where((now | then | known) & maybe_in(sampled)).groupBy("user_id").agg(
         F.count_if(now).alias("_orders"), F.sum(F.when(now, F.col("gmv"))).alias("_gmv"),
         F.count_if(then).alias("_orders_prev"), F.sum(F.when(then, F.col("gmv"))).alias("_gmv_prev"),
         F.count_if(known).alias("_known"))
@@ -70,7 +73,7 @@ def _after_sample(t: Tables, buyers: DataFrame, scope: Scope) -> DataFrame:
     The comparison needs single orders, so hot users' orders stay in place and meet
     their few sample rows by broadcast.
     """
-    orders = apply_scope(t.orders, scope)
+    orders = apply_scope(t.orders, scope).where(maybe_in(buyers))
     if t.hot_users:
         (cold, hot), (cold_buyers, hot_buyers) = split(orders, t.hot_users), split(buyers, t.hot_users)
         rows = cold.join(cold_buyers, "user_id").unionByName(
@@ -87,8 +90,9 @@ def sample_buyers(t: Tables, scope: Scope, rule: LabelRule, s: SampleScope = Sam
 
     `after_sample` counts only orders after the first sample.
     """
-    buyers = first_samples(sample_filter(t.need("samples"), s))
-    users = _users(t.orders, scope, rule)
+    sampled = sample_filter(t.need("samples"), s)
+    buyers = first_samples(sampled)
+    users = _users(t.orders, scope, rule, sampled)
     if after_sample:
         users = users.drop("_orders", "_gmv").join(
             _after_sample(t, buyers.select("user_id", "sample_time"), scope),
@@ -155,7 +159,7 @@ def sample_products(t: Tables, scope: Scope, s: SampleScope = SampleScope(),
                     preview: int | None = None) -> DataFrame:
     """What sample buyers bought in scope, per sku."""
     buyers = distinct_users(sample_filter(t.need("samples"), s))
-    per_user = apply_scope(t.orders, scope).groupBy("sku", "user_id").agg(
+    per_user = apply_scope(t.orders, scope).where(maybe_in(buyers)).groupBy("sku", "user_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("gmv").alias("_gmv"))
     out = of_users(per_user, buyers).groupBy("sku").agg(
         F.sum("_n").alias("repeat_orders"), F.count(F.lit(1)).alias("repeat_users"),
@@ -172,13 +176,13 @@ def sample_detail(t: Tables, scope: Scope, rule: LabelRule,
     `sku` is null on subtotals.
     """
     grains = ["sample_type", "sku", "user_id"]
+    sampled = sample_filter(t.need("samples"), s)
     membership = (
-        sample_filter(t.need("samples"), s)
-        .groupingSets([grains, ["sample_type", "user_id"]], *grains)
+        sampled.groupingSets([grains, ["sample_type", "user_id"]], *grains)
         .agg(F.grouping("sku").alias("_subtotal"), F.count(F.lit(1)).alias("_samples"))
     )
     zero = F.lit(0)
-    rows = membership.join(_users(t.orders, scope, rule), "user_id", "left")
+    rows = membership.join(_users(t.orders, scope, rule, sampled), "user_id", "left")
     new = F.coalesce("_known", zero) == 0
     repeat = F.coalesce("_orders", zero) > 0
     out = rows.groupBy("sample_type", "sku", "_subtotal").agg(

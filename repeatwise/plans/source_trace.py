@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, is_returning, one_of, percent, rounded
-from ..operators.people import distinct_users, of_users
+from ..operators.people import distinct_users, maybe_in, of_users
 from ..operators.scope import apply_scope, scope_condition, until_month
 from ..schema import Scope
 
@@ -52,9 +52,13 @@ def _before(scope: Scope) -> Column:
 
 
 def trace_kpi(orders: DataFrame, scope: Scope, target: Target = Target()) -> DataFrame:
-    """Target returning users, their share of target buyers, and how many have a past."""
+    """Target returning users, their share of target buyers, and how many have a past.
+
+    Of the past only rows that may belong to target users are combined by user.
+    """
     hit = scope_condition(scope) & target.condition()
-    users = orders.where(hit | _before(scope)).groupBy("user_id").agg(
+    traced = maybe_in(_returning_users(orders, scope, target))
+    users = orders.where(hit | (_before(scope) & traced)).groupBy("user_id").agg(
         F.count_if(hit).alias("_hits"),
         F.count_if(hit & is_returning()).alias("_old"),
         F.count_if(_before(scope)).alias("_past"))
@@ -77,10 +81,11 @@ def _history(orders: DataFrame, scope: Scope, target: Target, keys: tuple[str, .
              extra: Column = None) -> DataFrame:
     """Users per group in the unfiltered past, as a share of all target users.
 
-    The past is reduced to distinct (group, user) before it meets the target users.
+    The scan of the past lets through what may belong to target users; that is reduced to
+    distinct (group, user) before it meets those users.
     """
     users = _returning_users(orders, scope, target)
-    past = orders.where(_before(scope))
+    past = orders.where(_before(scope) & maybe_in(users))
     if extra is not None:
         past = past.where(extra)
     groups = of_users(past.select(*keys, "user_id").distinct(), users)
@@ -115,7 +120,7 @@ def history_of_source(orders: DataFrame, scope: Scope, target: Target = Target()
                       channels: tuple[str, ...] = (), influencers: tuple[str, ...] = ()) -> DataFrame:
     """Target users with a past at the chosen sources, and their share of all target users."""
     users = _returning_users(orders, scope, target)
-    past = distinct_users(orders.where(_before(scope) & _source(channels, influencers)))
+    past = distinct_users(orders.where(_before(scope) & _source(channels, influencers) & maybe_in(users)))
     total = users.agg(F.count(F.lit(1)).alias("n")).scalar()
     found = of_users(past, users).agg(F.count(F.lit(1)).alias("n_users"))
     return found.select("n_users", total.alias("target_users"),
