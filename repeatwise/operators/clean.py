@@ -24,6 +24,15 @@ def rename_and_keep(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return named.select(*keep)
 
 
+def stripped(df: DataFrame) -> DataFrame:
+    """All texts without white space at their ends, in a projection of its own.
+
+    What follows names a text several times; the optimizer leaves a projection alone whose
+    costly columns are used more than once, so that each is stripped once.
+    """
+    return df.withColumns({c: strip(F.col(c)) for c in df.columns if c not in LINEAGE})
+
+
 def fill_text(df: DataFrame, rules: dict) -> DataFrame:
     """Normalise text columns; an absent column becomes its default throughout."""
     return df.withColumns({
@@ -107,14 +116,13 @@ def _usable(df: DataFrame, tally: Observation | None) -> DataFrame:
         reason = _problem()
         df = df.observe(tally, F.count(F.lit(1)).alias("rows read"),
                         *[F.count_if(reason == r).alias(r) for r in PROBLEMS])
-    df = df.dropna(subset=list(PROBLEMS.values()))
-    return df.withColumn("user_id", strip(F.col("user_id")))
+    return df.dropna(subset=list(PROBLEMS.values()))
 
 
 def normalise_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True,
                      tally: Observation | None = None) -> DataFrame:
     """Everything `clean_orders` does short of de-duplication."""
-    df = _money(_pay_time(rename_and_keep(raw, ORDER_COLUMNS), rowwise_time), strict)
+    df = _money(_pay_time(stripped(rename_and_keep(raw, ORDER_COLUMNS)), rowwise_time), strict)
     df = _dates(fill_text(_usable(df, tally), ORDER_TEXT))
     return fill_text(df, {"sub_order_id": (("nan", "None"), "")})
 
@@ -129,7 +137,7 @@ def clean_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True
 
 def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None = None) -> DataFrame:
     """Samples; unlike orders a missing pay time is filled row by row."""
-    df = _money(_pay_time(rename_and_keep(raw, SAMPLE_COLUMNS), rowwise=True), strict)
+    df = _money(_pay_time(stripped(rename_and_keep(raw, SAMPLE_COLUMNS)), rowwise=True), strict)
     df = _dates(fill_text(_usable(df, tally), SAMPLE_TEXT))
     df = fill_text(df, {"sub_order_id": (("nan", "None"), "")})
     keys = _id_or_fallback(("user_id", "pay_time", "sku", "sample_type"))
@@ -139,19 +147,19 @@ def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None
 def rejected(raw: DataFrame, columns: tuple[str, ...], rowwise_time: bool = False) -> DataFrame:
     """Rows of orders or samples (`columns` are theirs) that cleaning drops, as delivered, and why."""
     named = rename_and_keep(raw, columns)
-    kept = F.struct(*[F.col(c) for c in named.columns]).alias("_raw")
-    parsed = _money(_pay_time(named.withColumn("_raw", kept), rowwise_time), strict=False)
+    texts = {c: strip(F.col(c)) for c in named.columns if c not in LINEAGE}
+    kept = named.withColumn("_raw", F.struct(*named.columns)).withColumns(texts)
+    parsed = _money(_pay_time(kept, rowwise_time), strict=False)
     return parsed.withColumn("reason", _problem()).where(F.col("reason").isNotNull()).select("_raw.*", "reason")
 
 
 def _with_user(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows with a user; without the column there is none, and the table is empty."""
-    df = rename_and_keep(raw, columns)
+    df = stripped(rename_and_keep(raw, columns))
     if "user_id" not in df.columns:
         warnings.warn("no user column was delivered: the table is empty", stacklevel=3)
         df = df.withColumn("user_id", F.lit(None).cast("string"))
-    user = strip(F.col("user_id"))
-    return df.withColumn("user_id", user).where(user.isNotNull() & ~user.isin(*ID_TOKENS))
+    return df.where(F.col("user_id").isNotNull() & ~F.col("user_id").isin(*ID_TOKENS))
 
 
 def clean_members(raw: DataFrame) -> DataFrame:
