@@ -91,13 +91,17 @@ _PARTS = f"{_MARK}$1-$2$4-$3$5 $6 $8{_MARK}$7"
 
 
 def parse_time(column: str) -> Column:
+    """Timestamp without zone from text, null if unreadable."""
+    return read_time(strip(F.col(column)))
+
+
+def read_time(plain: Column) -> Column:
     """Timestamp without zone from stripped text, null if unreadable.
 
     Dates may be dashed, slashed, dotted or eight digits in a row; the time of day may be
     missing, or on the twelve-hour clock with AM or PM. An offset is not applied: times are
     wall-clock times of the shop.
     """
-    plain = F.col(column)
     # Dashed text as a cast reads it, the usual form, needs no pattern. A bare number is not
     # a date here, though a cast would read it as a year.
     usual = F.when(plain.contains("-"), plain.try_cast("timestamp_ntz"))
@@ -126,12 +130,16 @@ def to_money(number: Column, strict: bool = True) -> Column:
         value, F.raise_error(F.concat(F.lit("amount out of range: "), number)).cast(MONEY)))
 
 
-def parse_money(column: str, strict: bool = True) -> Column:
+def parse_money(column: str) -> Column:
+    """Amount from text in whole cents; zero if it is not a plain number."""
+    return read_money(strip(F.col(column)))
+
+
+def read_money(text: Column, strict: bool = True) -> Column:
     """Amount from stripped text in whole cents, rounded half up; zero if it is not a plain number.
 
     A number that an amount can't hold is an error, or null if not `strict`.
     """
-    text = F.col(column)
     if not strict:
         return F.when(text.rlike(NUMBER), to_money(text, strict)).otherwise(F.lit(0).cast(MONEY))
     return F.coalesce(to_money(F.when(text.rlike(NUMBER), text)), F.lit(0).cast(MONEY))

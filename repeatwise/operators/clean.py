@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_text, parse_money, parse_time, strip
+from ..functions.columns import clean_text, read_money, read_time, strip
 from ..schema import (
     CROWD_COLUMNS, CROWD_TEXT, ID_TOKENS, MEMBER_COLUMNS, MONEY, ORDER_COLUMNS,
     ORDER_TEXT, SAMPLE_COLUMNS, SAMPLE_TEXT, SOURCE_COLUMNS,
@@ -73,8 +73,8 @@ def _pay_time(df: DataFrame, rowwise: bool) -> DataFrame:
     a test runs, which reads a single column and stops at the first hit.
     """
     nothing = F.lit(None).cast("timestamp_ntz")
-    pay = parse_time("pay_time") if "pay_time" in df.columns else nothing
-    submit = parse_time("order_submit_time") if "order_submit_time" in df.columns else nothing
+    pay = read_time(F.col("pay_time")) if "pay_time" in df.columns else nothing
+    submit = read_time(F.col("order_submit_time")) if "order_submit_time" in df.columns else nothing
     if rowwise or "pay_time" not in df.columns:
         chosen = F.coalesce(pay, submit)
     else:
@@ -93,7 +93,7 @@ def _dates(df: DataFrame) -> DataFrame:
 
 def _money(df: DataFrame, strict: bool = True) -> DataFrame:
     if "payable_amount" in df.columns:
-        value = parse_money("payable_amount", strict)
+        value = read_money(F.col("payable_amount"), strict)
     else:
         value = F.lit(0).cast(MONEY)
     return df.withColumns({"payable_amount": value, "gmv": value})
@@ -165,7 +165,7 @@ def _with_user(raw: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def clean_members(raw: DataFrame) -> DataFrame:
     """One row per member with the earliest readable join time, if any."""
     df = _with_user(raw, MEMBER_COLUMNS)
-    joined = parse_time("join_time") if "join_time" in df.columns \
+    joined = read_time(F.col("join_time")) if "join_time" in df.columns \
         else F.lit(None).cast("timestamp_ntz")
     members = df.groupBy("user_id").agg(F.min(joined).alias("join_time"))
     return members.withColumn("join_ym", F.date_format("join_time", "yyyy-MM"))
