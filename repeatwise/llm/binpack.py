@@ -115,13 +115,15 @@ def _packed(path: str, capacity: int, block: int, wide: bool):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, blocks, pieces = encoder(path), TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    pieces.append((key.as_py(), k, start, ids[start:start + capacity].astype(kind)))
-                    if len(pieces) == block:
-                        yield pack(f"{task}-{blocks}", pieces)
-                        blocks, pieces = blocks + 1, []
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for key, raw in zip(part.column(0).to_pylist(), encode.many(part.column(1).to_pylist())):
+                    ids = np.frombuffer(raw + end, "<u4").astype(kind)
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        pieces.append((key, k, start, ids[start:start + capacity]))
+                        if len(pieces) == block:
+                            yield pack(f"{task}-{blocks}", pieces)
+                            blocks, pieces = blocks + 1, []
         if pieces:
             yield pack(f"{task}-{blocks}", pieces)
 

@@ -31,24 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatwise.llm.tokens import Encoder
+from repeatwise.llm.tokens import PATTERN, Encoder, byte_characters
 from repeatwise.llm.work import fresh, ship, worker_state
 
-#: Fixed: how the byte-level splitter cuts text before the merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions and words a worker remembers.
 TRANSITIONS, WORDS, WORD_BYTES = 500_000, 100_000, 64
 START = -1
 NEVER = 1 << 60
 
 
-def byte_characters() -> dict[str, int]:
-    """The character that stands for each byte in the vocabulary's file."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Automaton:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:

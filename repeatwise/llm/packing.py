@@ -177,8 +177,8 @@ def _pieces(path: str, capacity: int):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text) + END_IDS
+                for key, ids in zip(part.column(0).to_pylist(), encode.many(part.column(1).to_pylist())):
+                    ids += END_IDS
                     total, start, piece = len(ids) // 4, 0, 0
                     while start < total:
                         size = (total - start - 1) % capacity + 1 if not piece else capacity

@@ -33,6 +33,33 @@ def test_automaton_encodes_as_the_library(text):
     assert tokens.encoder(PATH)(text) == ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join) | st.text(max_size=30) | st.none(), max_size=8),
+       st.sampled_from([1, 3, 10**6]), st.sampled_from([1, 2, 10**6]), st.sampled_from([2, 5, 10**6]))
+def test_many_texts_are_encoded_as_each(texts, gathered, joined, memory):
+    encode = tokens.encoder(PATH)
+    encode.parts.clear()
+    encode.parts.older.clear()
+    limits = tokens.GATHERED, tokens.JOINED, tokens.MEMORY
+    try:
+        tokens.GATHERED, tokens.JOINED, tokens.MEMORY = gathered, joined, memory
+        assert list(encode.many(texts)) == [ids_of(t).tobytes() for t in texts]
+    finally:
+        tokens.GATHERED, tokens.JOINED, tokens.MEMORY = limits
+    assert list(encode.many(texts)) == [ids_of(t).tobytes() for t in texts]
+
+
+def test_words_of_settled_characters_are_encoded_as_by_the_library():
+    r = random.Random(4)
+    letters = [chr(c) for c in range(33, 0x530) if not chr(c).isspace()]
+    parts = ["".join(r.choice(letters[:94] if i % 2 else letters) for _ in range(r.randint(1, 12))) for i in range(6000)]
+    parts += ["".join(r.choice("aeioustrnl'") for _ in range(r.randint(1, 20))) for _ in range(6000)]
+    encode = tokens.encoder(PATH)
+    encode.parts.clear()
+    encode.parts.learn(set(parts), encode.batch)
+    assert all(encode.parts[p] == ids_of(" " + p).tobytes() for p in parts)
+
+
 def test_automaton_on_long_words():
     encode, _ = bpe.codec(PATH)
     for text in ("a" * 3000, "ab" * 2000, " " * 500 + "x", "é" * 700, "*" * 999):
