@@ -411,6 +411,7 @@ O["f2_sku_keyword"] = sql("retail", """
   WHERE contains(lower(sku), lower('D#1')) GROUP BY 1""")
 O["f3_linked_influencers"] = sql("retail", "SELECT DISTINCT influencer_name FROM retail WHERE channel_type = 'self'")
 O["f3_linked_skus"] = sql("retail", "SELECT DISTINCT sku FROM retail")
+O["f3_catalogue_influencers"], O["f3_catalogue_skus"] = O["f3_linked_influencers"], O["f3_linked_skus"]
 O["f4_year_ago"] = sql("spans", """
   SELECT span, category, count(*) AS orders, sum(gmv)::DOUBLE AS gmv FROM spans GROUP BY 1, 2""")
 O["f5_pair_scope"] = sql("spairs", """
@@ -526,6 +527,14 @@ O["r2_cycle_matrix"] = sql("scoped spairs", "SELECT from_sku, " + ", ".join(
     f"max(CASE WHEN to_sku = '{b}' THEN {rnd('avg_days', 1)} END) AS to_{b.lower().replace('#', '_')}" for b in _brands)
     + f" FROM {cycle('sku', 5)} GROUP BY 1")
 
+O["r2_cycle_rows"] = sql("scoped spairs", f"""
+  SELECT from_sku, count(*) AS n_values,
+    string_agg(to_sku || '=' || round({rnd('avg_days', 1)} * 10)::BIGINT, ';' ORDER BY to_sku) AS tenths
+  FROM {cycle('sku', 5)} GROUP BY 1""")
+O["c4_rejected_rows"] = sql("timed", """
+  SELECT CASE WHEN pay_time IS NULL THEN 'no readable time' ELSE 'no user' END AS reason, count(*) AS n_rows
+  FROM timed WHERE pay_time IS NULL OR user_id IS NULL GROUP BY 1""")
+
 
 def entry(cond="true"):
     return f"SELECT DISTINCT user_id, order_ym FROM scoped WHERE customer_type = 'new' AND {cond}"

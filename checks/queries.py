@@ -211,6 +211,13 @@ def c4_drop_incomplete(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.min("pay_time").alias("first_time"))
 
 
+@query
+def c4_rejected_rows(spark, sf):
+    """Rows that cleaning drops, by reason."""
+    return clean.rejected(star.raw_orders(spark, sf), ORDER_COLUMNS).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def c5_numeric_coercion(spark, sf):
     gmv = F.col("gmv")
@@ -381,6 +388,18 @@ def f3_linked_skus(spark, sf):
     return sc.choices(star.retail_orders(spark, sf), "sku", "category", ("NO SUCH CATEGORY",))
 
 
+@query
+def f3_catalogue_influencers(spark, sf):
+    catalogue = store.catalogue(star.retail_orders(spark, sf))
+    return sc.linked_choices(catalogue, "influencer_name", "channel_type", ("self",))
+
+
+@query
+def f3_catalogue_skus(spark, sf):
+    catalogue = store.catalogue(star.retail_orders(spark, sf))
+    return sc.linked_choices(catalogue, "sku", "category", ("NO SUCH CATEGORY",))
+
+
 report("f4_year_ago", lambda t: sc.apply_two_scopes(t.orders, YEAR).groupBy("span", "category").agg(
     F.count(F.lit(1)).alias("orders"), amount(F.sum("gmv")).alias("gmv")))
 report("f5_pair_scope", lambda t: sc.scope_pairs(
@@ -444,6 +463,10 @@ def _matrix(t: Tables) -> DataFrame:
 report("r1_cycle_influencer", lambda t: repurchase.repurchase_cycle(t, YEAR, min_count=2))
 report("r1_cycle_sku", lambda t: repurchase.repurchase_cycle(t, YEAR, "sku"))
 report("r2_cycle_matrix", _matrix)
+report("r2_cycle_rows", lambda t: repurchase.repurchase_cycle_rows(t, YEAR).select(
+    "from_sku", F.size("avg_days").cast("long").alias("n_values"), F.array_join(F.transform(
+        F.map_entries("avg_days"), lambda e: F.concat(
+            e["key"], F.lit("="), F.round(e["value"] * 10).cast("long").cast("string"))), ";").alias("tenths")))
 report("r3_repurchase_rate", lambda t: repurchase.repurchase_rate(t, YEAR))
 report("r3_repurchase_rate_first", lambda t: repurchase.repurchase_rate(t, YEAR, first=SELECTED))
 report("r3_repurchase_rate_rank", lambda t: repurchase.repurchase_rate(t, YEAR, entry="rank"))

@@ -120,3 +120,14 @@ def choices(orders: DataFrame, of: str, linked_to: str, selected: tuple[str, ...
     hit = one_of(linked_to, selected)
     some = orders.where(hit).exists()
     return values.where(hit | ~some).select(of).distinct()
+
+
+def linked_choices(catalogue: DataFrame, of: str, linked_to: str, selected: tuple[str, ...]) -> DataFrame:
+    """The same as `choices`, read off the stored catalogue instead of the orders."""
+    every = catalogue.where((F.col("kind") == of) & F.col("parent").isNull()).select(F.col("value").alias(of))
+    if not selected:
+        return every.distinct()
+    linked = catalogue.where((F.col("kind") == f"{linked_to}/{of}") & one_of("parent", selected)) \
+        .select(F.col("value").alias(of))
+    # Selected values that nothing is linked to offer every value.
+    return linked.unionByName(every.where(~linked.exists())).distinct()

@@ -44,16 +44,30 @@ def repurchase_cycle(t: Tables, scope: Scope, by: str = "influencer", min_count:
         "n_moves")
 
 
+def repurchase_cycle_rows(t: Tables, scope: Scope, by: str = "sku", min_count: int = 5) -> DataFrame:
+    """The matrix of average days as sparse rows, for any number of values.
+
+    `avg_days` maps each second value that occurs to its days. A row holds as many entries as
+    there are values at most, and no job has to find out about columns.
+    """
+    _, from_col, to_col = BY[by]
+    cell = F.struct(F.col(to_col), rounded(F.col("avg_days"), 1))
+    return repurchase_cycle(t, scope, by, min_count).groupBy(from_col).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("avg_days"))
+
+
 def repurchase_cycle_matrix(t: Tables, scope: Scope, values: list[str] | None = None,
                             by: str = "sku", min_count: int = 5) -> DataFrame:
-    """Average days with the second value as columns.
+    """Average days with the second values as columns.
 
-    Without `values` every value that occurs gets a column, which takes a job to find out.
+    Without `values` every value that occurs gets a column, which takes a job to find out; beyond
+    some thousand values `repurchase_cycle_rows` is what to use.
     """
-    _, from_col, to_col = BY[by]
-    cycle = repurchase_cycle(t, scope, by, min_count)
-    return cycle.groupBy(from_col).pivot(to_col, values).agg(
-        F.first(rounded(F.col("avg_days"), 1)))
+    rows = repurchase_cycle_rows(t, scope, by, min_count)
+    if values is None:
+        found = rows.select(F.explode(F.map_keys("avg_days")).alias("value")).distinct()
+        values = [r.value for r in found.orderBy("value").collect()]
+    return rows.select(BY[by][1], *[F.try_element_at("avg_days", F.lit(v)).alias(v) for v in values])
 
 
 def _entry(t: Tables, scope: Scope, by: str, first: tuple[str, ...], channel: str | None,

@@ -130,6 +130,11 @@ def catalogue(orders: DataFrame) -> DataFrame:
     return combos.select(F.inline(F.array(*entries))).distinct()
 
 
+def load_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue that `save` stored next to the tables: some rows for each value, none for each order."""
+    return spark.read.schema("kind string, parent string, value string").parquet(f"{path}/catalogue")
+
+
 def extent(orders: DataFrame) -> DataFrame:
     """Date range, largest amount, rows and users."""
     users = orders.groupBy("user_id").agg(

@@ -279,3 +279,28 @@ def test_crowd_users_count_once_together_and_in_each(t):
     assert crowds.crowd_kpi(t, Scope()).first().users == 3
     assert rows(crowds.crowd_compare(t, Scope()), "crowd_name", "users", "buyers", "orders") == [
         ("x", 2, 1, 3), ("y", 2, 2, 6)]
+
+
+def test_matrix_of_many_values(spark, make_orders):
+    """20,000 skus, each bought after the same one: more than a pivot takes columns."""
+    n = 20_000
+    orders = make_orders([{"user_id": "u", "pay_time": at(1, 1), "sku": "s"}])
+    ids = spark.range(n).select(F.col("id").cast("string").alias("user_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    many = ids.join(orders.drop("user_id", "sub_order_id")).select(
+        "user_id", F.concat("user_id", F.lit("-"), "k").alias("sub_order_id"),
+        F.when(F.col("k") == 1, "hub").otherwise(F.concat(F.lit("s"), "user_id")).alias("sku"),
+        (F.col("pay_time") + F.make_dt_interval(F.col("k"))).alias("pay_time"),
+        *[c for c in orders.columns if c not in ("user_id", "sub_order_id", "sku", "pay_time")])
+    t = assemble(many.select(*orders.columns), LabelRule(50, 1, 365, (), ("done",)))
+    out = repurchase.repurchase_cycle_rows(t, Scope(), min_count=1)
+    hub = out.where("from_sku = 'hub'").select(F.size("avg_days").alias("n"), F.try_element_at("avg_days", F.lit("s7")).alias("d")).first()
+    assert (hub.n, hub.d) == (n, 1.0) and out.count() == n + 1
+    wide = repurchase.repurchase_cycle_matrix(t, Scope(), ["hub", "s3", "none"], min_count=1)
+    assert [tuple(r) for r in wide.where("from_sku IN ('hub', 's5')").orderBy("from_sku").collect()] == [
+        ("hub", None, 1.0, None), ("s5", 1.0, None, None)]
+
+
+def test_matrix_without_values_has_a_column_for_each(t):
+    wide = repurchase.repurchase_cycle_matrix(t, Scope(), min_count=1)
+    assert wide.columns[0] == "from_sku" and wide.columns[1:] == sorted(wide.columns[1:])
+    assert wide.count() == repurchase.repurchase_cycle_rows(t, Scope(), min_count=1).count()

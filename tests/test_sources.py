@@ -8,7 +8,7 @@ import pathlib
 import pytest
 
 from repeatwise.plans.build import build, build_report
-from repeatwise.operators.scope import scope_pairs
+from repeatwise.operators.scope import choices, linked_choices, scope_pairs
 from repeatwise.plans import channel, members
 from repeatwise.schema import FILE_KEYWORDS, LabelRule, SOURCE_COLUMNS, Scope, SourceMissing
 from repeatwise.sources import landing, store
@@ -188,3 +188,14 @@ def test_csv_export_has_a_header(spark, built, tmp_path):
     store.export_csv(channel.channel_summary(t.orders, Scope()), str(tmp_path / "x"))
     back = spark.read.csv(str(tmp_path / "x"), header=True)
     assert back.columns[:2] == ["channel_type", "orders"] and back.count() == 2
+
+
+@pytest.mark.parametrize("of, to", [("influencer_name", "channel_type"), ("sku", "category")])
+def test_choices_come_from_the_stored_catalogue(spark, built, of, to):
+    t, out = built
+    catalogue = store.load_catalogue(spark, out)
+    for selected in ((), ("自营",), ("达人", "自营"), ("unclassified",), ("nothing",)):
+        found = linked_choices(catalogue, of, to, selected)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, choices(t.orders, of, to, selected).collect()))
+        files = [f for f in found.inputFiles() if "/catalogue/" not in f]
+        assert not files
