@@ -6,11 +6,14 @@ each block has its own short list of random unit vectors, and every combination
 each block, scaled to length one, is a direction. A vector is decoded to the list of all
 directions it passes block by block: combinations are given up as soon as the best that the
 remaining blocks can add doesn't reach the cap any more, so the cost follows the list and
-not the number of directions. There are `CODES` such codes.
+not the number of directions. There are `CODES` such codes or more.
 
 Vectors that share a filter are compared by cosine in double precision. How many filters
 there are follows from the number of vectors: the cap keeps about `bucket` vectors in each,
-and there are so many that a pair at the threshold shares `shared` of them on average.
+and there are so many that a pair at the threshold shares `shared` of them on average. As filters of
+one code aren't independent, the chance of a pair to share any is measured on the code itself, with random
+pairs at exactly the threshold; codes are added, and then the cap widened, until `RECALL` of them do. If
+that can't be reached it is an error. `Code.recall` is the share measured.
 
 A pair counts in the first filter it shares, found from the two lists, so links are counted
 once without being written out. Filters with many vectors are cut into chunks by a hash of
@@ -40,32 +43,72 @@ from repeatwise.llm.work import fresh, ship, stored
 
 #: Vectors of one chunk of a filter.
 CHUNK = 1024
-#: Independent codes, each with a rotation of its own: directions of one share their blocks.
-CODES = 4
+#: Independent codes, each with a rotation of its own: directions of one share their blocks. At least
+#: and at most so many.
+CODES, MOST_CODES = 4, 32
+#: Share of pairs at the threshold that have to share a filter, and pairs it is measured on.
+RECALL, PAIRS = 0.995, 1500
 #: Below so many components directions are plain random unit vectors, and shares are sampled.
 FEW = 16
 
 
+def pairs_at(dim: int, cosine: float, n: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at exactly this cosine; equal ones in one dimension."""
+    x, side = random.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(1, keepdims=True) * x
+    if dim == 1:
+        return x, x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine ** 2) * side
+
+
 class Code:
     """A product code with the filters for `n` vectors of `dim` components."""
 
     def __init__(self, dim: int, n: int, threshold: float, bucket: int, shared: float, seed: int = 7) -> None:
         random = np.random.default_rng([seed, dim])
         share = min(0.02, max(bucket / max(n, 1), 1e-9))
+        left, right = pairs_at(dim, threshold, PAIRS, random)
+        while True:
+            self._shape(dim, share, threshold, shared, random)
+            missed = np.ones(len(left), bool)
+            while len(self.codes) < CODES or missed.mean() > 1 - RECALL and len(self.codes) < MOST_CODES:
+                self.codes.append(self._code(dim, random))
+                for at in range(0, len(left), 250):
+                    missed[at:at + 250] &= ~self._meet(self.codes[-1], left[at:at + 250], right[at:at + 250])
+                # So few that no number of codes would do: the cap has to be wider.
+                if len(self.codes) == CODES and missed.mean() ** (MOST_CODES / CODES) > 1 - RECALL:
+                    break
+            self.recall = 1 - float(missed.mean())
+            if self.recall >= RECALL:
+                return
+            share *= 2
+            if share > 0.5:
+                raise ValueError(f"no filters for vectors of {dim} components find {RECALL} of the pairs at {threshold}")
+
+    def _shape(self, dim: int, share: float, threshold: float, shared: float, random: np.random.Generator) -> None:
         self.cap, both = self._passing(dim, share, threshold, random)
         # In few dimensions a small cap can't hold two vectors at the threshold.
-        while both < share / 10:
+        while both < share / 10 and share < 0.5 and dim < FEW:
             share *= 1.5
             self.cap, both = self._passing(dim, share, threshold, random)
-        wanted = max(1, shared / both / CODES)
+        wanted = max(1, shared / max(both, 1e-12) / CODES)
         self.blocks = 1 if dim < FEW else 2 if wanted < 1 << 20 else 3
         self.size = math.ceil(wanted ** (1 / self.blocks))
         self.bounds = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.codes = []
-        for _ in range(CODES):
-            rotation = np.linalg.qr(random.standard_normal((dim, dim)))[0]
-            words = [random.standard_normal((self.size, b - a)) for a, b in zip(self.bounds, self.bounds[1:])]
-            self.codes.append((rotation, [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]))
+
+    def _code(self, dim: int, random: np.random.Generator) -> tuple[np.ndarray, list[np.ndarray]]:
+        rotation = np.linalg.qr(random.standard_normal((dim, dim)))[0]
+        words = [random.standard_normal((self.size, b - a)) for a, b in zip(self.bounds, self.bounds[1:])]
+        return rotation, [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]
+
+    def _meet(self, code: tuple, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which pairs share a filter of a code."""
+        keys = [row * self.size ** self.blocks + name for row, name in (self._list(x, *code) for x in (left, right))]
+        both = np.intersect1d(*keys, assume_unique=True)
+        return np.bincount(both // self.size ** self.blocks, minlength=len(left)) > 0
 
     @staticmethod
     def _passing(dim: int, share: float, threshold: float, random: np.random.Generator) -> tuple[float, float]:

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,35 @@ def test_filters_of_any_dimension_find_pairs_at_the_threshold(dim):
     assert sum(bool(a & b) for a, b in zip(*lists)) >= 0.98 * 300
 
 
+@pytest.mark.parametrize("dim, n", [
+    (16, 50_000), (20, 10**6), (32, 10**6), (64, 50_000), (64, 10**6), (64, 10**7), (64, 10**9), (256, 10**8)])
+def test_filters_for_any_number_of_vectors_find_pairs_at_the_threshold(dim, n):
+    code = caps.Code(dim, n, 0.9, 128, 18.0)
+    left, right = caps.pairs_at(dim, 0.9, 1000, np.random.default_rng(n + dim))
+    missed = np.ones(1000, bool)
+    for own in code.codes:
+        for at in range(0, 1000, 250):
+            missed[at:at + 250] &= ~code._meet(own, left[at:at + 250], right[at:at + 250])
+    assert code.recall >= caps.RECALL and missed.mean() <= 0.015
+
+
+def test_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(caps, "RECALL", 1.01)
+    with pytest.raises(ValueError, match="no filters"):
+        caps.Code(24, 1000, 0.9, 128, 18.0)
+
+
+def test_planted_pairs_among_many_vectors(spark):
+    r = np.random.default_rng(8)
+    n, planted = 20_000, 600
+    x = r.standard_normal((n, 20))
+    left, right = caps.pairs_at(20, 0.901, planted, r)
+    x[:planted], x[planted:2 * planted] = left * 3, right
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    got = caps.linked_vectors(df.repartition(8)).select("vec_id", "component_id").toPandas().set_index("vec_id")["component_id"]
+    assert sum(got[i] == got[i + planted] for i in range(planted)) >= 0.98 * planted
+
+
 def check_shards(rows, n, tolerance):
     """Slots without gaps, order kept over shards, and sizes as near as the order allows."""
     of = defaultdict(list)
