@@ -7,15 +7,19 @@ styles and text areas, whose text could be anything and goes to the end of the p
 are boilerplate by tag, role or name (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) weigh nothing; the others weigh the length of their text outside links, and
 those inside an article or main element `ANCHOR` more, as their author has marked them.
-A name is a whole class or id, all of whose parts say so: `site-footer` is boilerplate,
-`has-sidebar` and `legal-analysis` aren't. An article or main element in a wrapper that is
+A name is a class or id: one part of it that tells, like `comments` in `user-comments`, makes it
+boilerplate unless another part says otherwise, like `no` or `has`; other parts do only together, so
+`social-share-bar` is boilerplate, `legal-analysis` isn't. An article or main element in a wrapper that is
 boilerplate by name, or a form, isn't, unless it has such a name itself or is in an article.
+Two or more lines in a row of nothing but links, outside of articles, are a menu.
 
 The weights of `WINDOW` lines from each line on are summed. Text surges at the first line
 that weighs anything and whose sum reaches the threshold, a share of the page's largest sum;
 it dives after the last line that reaches it together with the lines before it. For the
 threshold a line's text counts up to `LONG` characters, so that a very long block doesn't
-raise it, and any line of an article or main element reaches it alone. What lies between is
+raise it, and any line of an article or main element reaches it alone. Such lines lend nothing
+to the sums of others. On a page without them the lines that are mostly text outside links take their
+place, so that short paragraphs aren't lost. What lies between is
 kept, but for lines that weigh nothing because they are boilerplate.
 
 Character references are decoded, white space inside a line becomes one blank, lines are
@@ -29,6 +33,7 @@ import html as references
 import re
 from collections import Counter
 from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +71,18 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social comment comments disqus respond replies related recommended recommendations "
     "pagination pager toolbar skip copyright disclaimer legal".split())
-#: Parts of names that say nothing by themselves.
-NEUTRAL = frozenset("site main primary secondary global block list item link links button buttons area".split())
+#: Parts of names that tell by themselves,
+TELLING = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored nav navbar navigation menubar breadcrumb breadcrumbs "
+    "sidebar footer masthead cookie cookies gdpr popup newsletter comment comments disqus related pagination".split())
+#: unless it is only said whether they are there, or another part names a text
+STATES = frozenset("has no non not with without is open hide hidden free".split())
+SUBJECTS = frozenset("article story post content entry body text analysis".split())
+#: that what is told wouldn't belong to; and parts that say nothing.
+BELONGING = frozenset("comment comments related sponsored ad ads advert footer sidebar newsletter".split())
+NEUTRAL = frozenset(
+    "site main primary secondary global block list item link links button buttons area bar box section slot left right top "
+    "bottom page inner outer container wrapper wrap row col thread google user reader".split())
 #: How much an element, or a wrapper of it, is marked as an article.
 MARKED = {"main": 1, "article": 2}
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -80,7 +95,12 @@ PLAIN, NAMED, CERTAIN = range(3)
 def is_boilerplate_name(value: str) -> bool:
     for name in value.split():
         parts = NAME.findall(SIZES.sub("", name))
-        if not NAMES.isdisjoint(parts) and all(x in NAMES or x in NEUTRAL for x in parts):
+        if NAMES.isdisjoint(parts):
+            continue
+        if all(x in NAMES or x in NEUTRAL for x in parts):
+            return True
+        told = TELLING.intersection(parts)
+        if told and STATES.isdisjoint(parts) and (SUBJECTS.isdisjoint(parts) or told & BELONGING):
             return True
     return False
 
@@ -128,12 +148,18 @@ def ends_of(tokens: list[re.Match]) -> dict[int, int]:
     return ends
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, weight for the threshold) of the page's lines that have text.
+class Line(NamedTuple):
+    """A line that has text: characters of it outside links, whether marked as article, or boilerplate."""
+
+    text: str
+    own: int
+    marked: bool
+    boilerplate: bool
 
-    Both weights are 0 for boilerplate, and above 0 for all other lines.
-    """
-    out: list[tuple[str, int, int]] = []
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in order."""
+    out: list[Line] = []
     stack: list[tuple[str, int, int]] = []  # tag, how far boilerplate, how far marked
     parts: list[str] = []
     linked, boilerplate, marked, in_link = 0, PLAIN, 0, 0
@@ -143,8 +169,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                own, anchor = max(1, len(text) - linked), ANCHOR * (marked > 0)
-                out.append((text, 0, 0) if boilerplate else (text, own + anchor, min(own, LONG) + anchor))
+                out.append(Line(text, max(0, len(text) - linked), marked > 0, bool(boilerplate)))
             parts.clear()
         linked = 0
 
@@ -228,17 +253,26 @@ def sums(weights: list[int]) -> list[int]:
     return [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
 
 
+def kept_lines(lines: list[Line]) -> list[int]:
+    """Numbers of the lines between surge and dive that aren't boilerplate."""
+    n = len(lines)
+    links = [not (x.own or x.marked or x.boilerplate) for x in lines]
+    menu = [links[i] and (i > 0 and links[i - 1] or i + 1 < n and links[i + 1]) for i in range(n)]
+    good = [not (x.boilerplate or m) for x, m in zip(lines, menu)]
+    some_marked = any(x.marked and g for x, g in zip(lines, good))
+    anchored = [g and (x.marked if some_marked else 2 * x.own >= len(x.text)) for x, g in zip(lines, good)]
+    own = [max(1, x.own) * g for x, g in zip(lines, good)]
+    least = SHARE * max(sums([min(w, LONG) + ANCHOR * a for w, a in zip(own, anchored)]), default=0)
+    lent = [w * (not a) for w, a in zip(own, anchored)]
+    ahead, behind = sums(lent), sums(lent[::-1])[::-1]
+    surge = next((i for i in range(n) if good[i] and (anchored[i] or ahead[i] >= least)), n)
+    dive = next((i for i in range(n - 1, -1, -1) if good[i] and (anchored[i] or behind[i] >= least)), -1)
+    return [i for i in range(surge, dive + 1) if good[i]]
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page) if page else []
-    weights = [w for _, w, _ in lines]
-    n = len(weights)
-    if not any(weights):
-        return ""
-    ahead, behind = sums(weights), sums(weights[::-1])[::-1]
-    least = SHARE * max(sums([w for _, _, w in lines]))
-    surge = next(i for i in range(n) if weights[i] and ahead[i] >= least)
-    dive = next(i for i in range(n - 1, -1, -1) if weights[i] and behind[i] >= least)
-    return "\n".join(text for text, weight, _ in lines[surge:dive + 1] if weight)
+    return "\n".join(lines[i].text for i in kept_lines(lines))
 
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -55,6 +55,81 @@ def test_boilerplate_stays_out(open_, close):
     assert html.main_text(f"<article>{STORY}</article>{open_}<p>{'no text ' * 60}</p>{close}") == TOLD
 
 
+@pytest.mark.parametrize("name", [
+    "comments-section", "user-comments", "reader-comments", "post-comments", "comment-thread", "disqus_thread",
+    "related-posts", "ad-slot", "google-ad", "cookie-bar", "left-sidebar", "sidebar-left", "newsletter-box",
+    "page-footer", "social-share-bar", "article-footer", "breadcrumb-trail"])
+def test_names_with_a_telling_part(name):
+    for x in (f'class="{name}"', f'class="x1 {name}"', f'id="{name}"'):
+        assert html.main_text(f"<article>{STORY}</article><div {x}><p>{'no text ' * 60}</p></div>") == TOLD
+        assert html.main_text(f"<body><div {x}><p>{'no text ' * 60}</p></div><div>{STORY}</div></body>") == TOLD
+
+
+@pytest.mark.parametrize("name", ["comments-open", "no-ads", "with-sidebar", "not-related", "ad-free-story", "has-footer"])
+def test_names_that_deny_it(name):
+    assert html.main_text(f"<div class='{name}'>{STORY}</div>") == TOLD
+
+
+def test_articles_lend_no_weight_to_their_neighbours():
+    assert html.main_text(f"<div><a href=x>Home</a></div><div><a href=y>About</a></div><article>{STORY}</article>"
+                          "<p>Powered by X</p><p>Call us now</p>") == TOLD
+    assert html.main_text(f"<div>Login</div><main>{STORY}</main><div>Top</div><div>12 px</div>") == TOLD
+    # A long paragraph that an author forgot to mark is text.
+    more = "and it goes on for quite a while " * 20
+    assert html.main_text(f"<article>{STORY}</article><p>{more}</p>") == f"{TOLD}\n{more.strip()}"
+
+
+def test_short_blocks_of_plain_pages_stay():
+    long = "a long paragraph of text " * 30
+    page = "".join(f"<p>{x}</p>" for x in ("Q1.", "Q2.", "Q3.", "Q4.", long, long, long, "C.", "D.", "E end."))
+    want = ["Q1.", "Q2.", "Q3.", "Q4.", *[long.strip()] * 3, "C.", "D.", "E end."]
+    assert html.main_text(page).split("\n") == want
+    menu = "".join(f"<li><a href=x>Entry {i}</a></li>" for i in range(9))
+    assert html.main_text(f"<ul>{menu}</ul>{page}<ul>{menu}</ul>").split("\n") == want
+    # One line that is a link stays between text, as it may be a source.
+    assert html.main_text("<p>one</p><p><a href=x>two</a></p><p>three</p>") == "one\ntwo\nthree"
+
+
+def plain_kept(lines):
+    """Surge and dive line by line, with every sum written out."""
+    links = [x.own == 0 and not x.marked and not x.boilerplate for x in lines]
+    good = []
+    for i, x in enumerate(lines):
+        beside = [links[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+        good.append(not x.boilerplate and not (links[i] and any(beside)))
+    marked = any(x.marked for x, g in zip(lines, good) if g)
+    alone = [g and (x.marked if marked else x.own >= len(x.text) / 2) for x, g in zip(lines, good)]
+    largest = 0
+    for i in range(len(lines)):
+        total = 0
+        for j in range(i, min(i + html.WINDOW, len(lines))):
+            if good[j]:
+                total += min(max(1, lines[j].own), html.LONG) + (html.ANCHOR if alone[j] else 0)
+        largest = max(largest, total)
+
+    def reaches(i, step):
+        if not good[i]:
+            return False
+        near = [i + step * k for k in range(html.WINDOW) if 0 <= i + step * k < len(lines)]
+        return alone[i] or sum(max(1, lines[j].own) for j in near if good[j] and not alone[j]) >= html.SHARE * largest
+
+    first = [i for i in range(len(lines)) if reaches(i, 1)]
+    last = [i for i in range(len(lines)) if reaches(i, -1)]
+    return [i for i in range(len(lines)) if good[i] and first and last and first[0] <= i <= last[-1]]
+
+
+def test_lines_are_kept_as_by_brute_force():
+    r = random.Random(3)
+    for k in range(4000):
+        n = r.randint(0, 14)
+        lines = []
+        for _ in range(n):
+            size = r.choice([1, 5, 40, 300, 2000])
+            own = r.choice([0, 0, size, size, size // 2, size // 4])
+            lines.append(html.Line("x" * size, own, k % 2 > 0 and r.random() < .3, r.random() < .2))
+        assert html.kept_lines(lines) == plain_kept(lines)
+
+
 @pytest.mark.parametrize("before", [
     "<html><head><title>x</title><body>", "<html><head><meta charset=u><title>x</title><style>p{}</style><p hidden>x</p>",
     "<head><title>x</title><script>var a='<p>';</script><body>", "<title>x</head><body>", "<title>x<body>",
