@@ -63,18 +63,22 @@ class Parts(dict):
 
     def keep(self, part: str, ids: bytes | None) -> None:
         if len(self) >= MEMORY:
-            self.older = dict(self)
-            self.clear()
+            self._age()
         self[part] = ids
 
+    def _age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
     def learn(self, parts: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
         """Remembers the new ones among the parts that can be, of settled characters."""
-        new = [p for p in parts.difference(self) if p and len(p) <= PART_CHARS and p not in self.older and (p.isascii() or max(p) < SETTLED)
-               and not (p[0].isspace() or p[-1].isspace())]
+        new = [p for p in parts.difference(self) if 0 < len(p) <= PART_CHARS and p not in self.older
+               and p.strip() == p and (p.isascii() or max(p) < SETTLED)]
         for at in range(0, len(new), JOINED):
             some = new[at:at + JOINED]
-            for part, ids in zip(some, encode(some)):
-                self.keep(part, ids)
+            if self and len(self) + len(some) > MEMORY:
+                self._age()
+            self.update(zip(some, encode(some)))
 
 
 class Encoder:
