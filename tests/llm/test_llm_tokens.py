@@ -1,5 +1,6 @@
 """Encoding, packing and the pipeline against the library, brute force and edge cases."""
 
+import functools
 import random
 import zlib
 
@@ -19,6 +20,12 @@ PARTS = list("abcdeABC  \n\t'.,#*1239éñüßЖ日本😀\u0085\x1c\x1d²½​́
     "<|endoftext|>", "'s", "'ll", "the ", "  ", "***", "aaaa"]
 
 
+@functools.cache
+def loaded():
+    """Automaton, its encoder and the library's, loaded once: a worker keeps one operator's at a time."""
+    return *bpe._by_automaton(PATH), tokens._by_library(PATH)
+
+
 def ids_of(text):
     return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids, "<u4")
 
@@ -26,18 +33,18 @@ def ids_of(text):
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=40).map("".join) | st.text(max_size=60))
 def test_automaton_encodes_as_the_library(text):
-    encode, automaton = bpe.codec(PATH)
+    encode, automaton, by_library = loaded()
     ids = encode(text)
     assert ids == ids_of(text).tobytes()
     assert automaton.decode(ids) == LIBRARY.decode(ids_of(text).tolist(), skip_special_tokens=False) == text
-    assert tokens.encoder(PATH)(text) == ids
+    assert by_library(text) == ids
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join) | st.text(max_size=30) | st.none(), max_size=8),
        st.sampled_from([1, 3, 10**6]), st.sampled_from([1, 2, 10**6]), st.sampled_from([2, 5, 10**6]))
 def test_many_texts_are_encoded_as_each(texts, gathered, joined, memory):
-    encode = tokens.encoder(PATH)
+    encode = loaded()[2]
     encode.parts.clear()
     encode.parts.older.clear()
     limits = tokens.GATHERED, tokens.JOINED, tokens.MEMORY
@@ -54,14 +61,14 @@ def test_words_of_settled_characters_are_encoded_as_by_the_library():
     letters = [chr(c) for c in range(33, 0x530) if not chr(c).isspace()]
     parts = ["".join(r.choice(letters[:94] if i % 2 else letters) for _ in range(r.randint(1, 12))) for i in range(6000)]
     parts += ["".join(r.choice("aeioustrnl'") for _ in range(r.randint(1, 20))) for _ in range(6000)]
-    encode = tokens.encoder(PATH)
+    encode = loaded()[2]
     encode.parts.clear()
     encode.parts.learn(set(parts), encode.batch)
     assert all(encode.parts[p] == ids_of(" " + p).tobytes() for p in parts)
 
 
 def test_automaton_on_long_words():
-    encode, _ = bpe.codec(PATH)
+    encode = loaded()[0]
     for text in ("a" * 3000, "ab" * 2000, " " * 500 + "x", "é" * 700, "*" * 999):
         assert encode(text) == ids_of(text).tobytes()
 
@@ -199,7 +206,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
 
 def test_random_texts_keep_their_order_of_pieces():
     r = random.Random(1)
-    encode = tokens.encoder(PATH)
+    encode = loaded()[2]
     for _ in range(200):
         text = "".join(r.choice(PARTS) for _ in range(r.randint(0, 50)))
         assert encode(text) == ids_of(text).tobytes()
