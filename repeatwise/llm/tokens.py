@@ -23,13 +23,13 @@ BLANK = "\u0120"
 #: Fixed: how the byte-level splitter cuts text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts of each of two generations an encoder remembers, and their longest length.
-MEMORY, PART_CHARS = 450_000, 48
+MEMORY, PART_CHARS = 300_000, 48
 #: Characters of texts whose new parts are gathered at a time.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Below it are Latin, Greek and Cyrillic; libraries don't agree on which of the newest characters are letters.
 SETTLED = "\u0530"
 #: Parts encoded as one text.
-JOINED = 20_000
+JOINED = 10_000
 
 
 def byte_characters() -> dict[str, int]:
