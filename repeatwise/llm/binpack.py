@@ -8,12 +8,14 @@ of amounts whether any row has one, finds that row in logarithmic time.
 
 Each packed row holds its `ids`, padded with `pad` to the full length, the cumulative
 segment lengths `cu_seqlens` (from 0 to the number of used tokens), and `positions`, which
-start from 0 again at each segment. Both are little-endian; ids have 16 bits if the
-vocabulary allows it, else 32. `doc_ids`, `pieces` and `starts` say where segments are from.
+start from 0 again at each segment. Both are little-endian, with 16 bits, or 32 if `wide` or a row
+is that long; a vocabulary whose ids don't fit is an error. `doc_ids`, `pieces` and `starts` say where
+segments are from.
 
 Blocks are independent, so memory is bounded by a block, and a lost executor costs a block's
 task. The rows a block fills only in part are a small share, as the short pieces come last.
-Null texts count as empty: a segment with `END` alone. Equal rows are packed each.
+Null texts count as empty: a segment with `END` alone. Equal rows are packed each, and an empty table
+gives no rows. Best fit holds within a block, so each block may leave a row or two partly filled.
 """
 
 from __future__ import annotations
@@ -114,6 +116,8 @@ def _packed(path: str, capacity: int, block: int, wide: bool):
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, blocks, pieces = encoder(path), TaskContext.get().partitionId(), 0, []
+        if kind == "<u2" and encode.vocabulary > 1 << 16:
+            raise ValueError(f"ids of {path} don't fit into 16 bits: use wide=True")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)

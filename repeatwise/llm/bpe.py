@@ -17,7 +17,8 @@ automaton has. The last arcs, followed backwards, are the encoding. Decoding emi
 labels of the arcs.
 
 Texts are split first at special strings and then by the pattern of the vocabulary's
-byte-level splitter. Null counts as empty and gives no ids.
+byte-level splitter. Null counts as empty and gives no ids. Texts of any length are taken whole,
+equal rows get equal results, and an empty table gives an empty table; a column of the result's name is replaced.
 """
 
 from __future__ import annotations

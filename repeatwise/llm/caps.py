@@ -23,7 +23,8 @@ one row for each vector: its links, and a vector that stands for all it is conne
 Equal vectors are one from the start and count as often as they occur. Vectors that are
 null, zero, or hold null, NaN or infinite components link with nothing. Vectors of different
 lengths are compared within their length only. Equal rows are vectors of their own under one
-id. A null id is given no component and kept, and is no partner of others.
+id. A null id is given no component and kept, and is no partner of others. An empty table gives an
+empty table; columns of the results' names are replaced, others stay.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ kept, but for lines that weigh nothing because they are boilerplate.
 
 Character references are decoded, white space inside a line becomes one blank, lines are
 joined by one line break. Null, empty and text-free pages give an empty text. The whole page
-counts, however long; pages don't influence each other.
+counts, however long; pages don't influence each other, so equal rows get equal texts, and an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ before the shuffle, so a host or a line with a third of all pages sends one row
 task. A host has at most (lines of an average page) / ratio lines over the ratio, so its
 list is small. The lists are written and measured: up to `BROADCAST_BYTES` for all hosts
 together they are broadcast, and the pages aren't shuffled at all; beyond that both meet in a
-join on host, whose skewed side Spark splits. Both give the same rows.
+join on host, whose skewed side Spark splits. Both give the same rows. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ group are never written out, none is left out by a cap, and no task holds a grou
 Results: every row gets the size of its set, the smallest id of its component, and whether
 that is itself. Texts without words, or null, have an empty set and link with nothing. A row
 with a null id has a null component and null size and is kept. Rows with one id count as one
-document, whose copies stay or go together. Equal texts share a component.
+document, whose copies stay or go together. Equal texts share a component. Texts of any length are
+taken whole. An empty table gives an empty table; columns of the results' names are replaced.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ piece's rank among those of its length is its number within its task plus the nu
 such pieces in earlier tasks, so no task sees more than its own input and the counts. All
 lengths are hit exactly once; nothing is padded, dropped or cut beyond the above.
 
-Null texts count as empty: one piece with `END` alone. Equal rows are packed each.
+Null texts count as empty: one piece with `END` alone. Equal rows are packed each, and a null id
+is an id like others. Very long texts are cut into pieces, none is dropped. An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ A text fails the base rules with under `MIN_WORDS` words or with more than
 `MAX_REPEAT_WORDS` of its words in repeated 8-word windows. It fails the repeat rules if
 repeats of at least `min_repeat` words hold more than `max_covered` of its characters, or
 the longest of them more than `max_longest`. Null and empty texts have no words and fail
-the base rules. Rows never influence each other, so copies and ties get equal results.
+the base rules. Rows never influence each other, so copies and ties get equal results. Texts of
+any length are taken whole. An empty table gives an empty table; a column of the result's name is replaced.
 """
 
 from __future__ import annotations

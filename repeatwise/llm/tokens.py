@@ -86,8 +86,9 @@ class Encoder:
 
     #: `batch` encodes parts, each as if it followed a blank.
     def __init__(self, encode: Callable[[str], bytes], specials: dict[str, bytes],
-                 batch: Callable[[list[str]], list[bytes]] | None = None) -> None:
+                 batch: Callable[[list[str]], list[bytes]] | None = None, vocabulary: int = 0) -> None:
         self.encode, self.specials, self.parts, self.batch = encode, specials, Parts(encode), batch
+        self.vocabulary = vocabulary
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -170,4 +171,4 @@ def _by_library(path: str) -> Encoder:
         raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
         return [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
 
-    return Encoder(encode, specials, batch)
+    return Encoder(encode, specials, batch, len(blank))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,6 +174,18 @@ def test_packed_matrices_round_trip(spark, awkward, nothing, tmp_path):
     assert binpack.packed_rows(nothing, PATH).count() == 0
 
 
+def test_ids_that_do_not_fit_are_an_error(spark, awkward, monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    wide = tokens.Encoder(lambda text: b"", {}, vocabulary=100_000)
+    monkeypatch.setattr(binpack, "encoder", lambda path: wide)
+    monkeypatch.setattr(binpack.TaskContext, "get", lambda: Task)
+    rows = iter([pa.RecordBatch.from_pydict({"id": [1], "text": ["a"]})])
+    with pytest.raises(ValueError, match="16 bits"):
+        list(binpack._packed(PATH, 64, 10, False)(rows))
+
+
 def test_stages_return_the_columns_of_documents(spark, awkward, sf_dir):
     docs = awkward
     for _, stage in corpus_pipeline.STAGES[:-1]:
