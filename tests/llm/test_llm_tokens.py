@@ -2,7 +2,9 @@
 
 import functools
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -203,18 +205,42 @@ def test_stages_on_nothing(spark, nothing, sf_dir):
         assert stage(spark, nothing, sf_dir).count() == 0
 
 
+def passes_quality(text):
+    """The base rules, and the repeat rules by looking up windows of every length from 8 words on."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    size, n = [len(w.encode()) for w in words], len(words)
+    repeated, longest, k = set(), 0, 8
+    while True:
+        at = defaultdict(list)
+        for i in range(n - k + 1):
+            at[tuple(words[i:i + k])].append(i)
+        again = [i for places in at.values() if len(places) > 1 for i in places]
+        if not again:
+            break
+        longest = max(longest, max(sum(size[i:i + k]) for i in again))
+        if k == 8:
+            repeated = {p for i in again for p in range(i, i + 8)}
+        k += 1
+    if n < 20 or 100 * len(repeated) > 30 * n:
+        return False
+    return sum(size[p] for p in repeated) <= 0.3 * sum(size) and longest <= 0.25 * sum(size)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
+    """Every stage in plain Python at the pipeline's own parameters, but language, whose model has tests of its own."""
     from test_llm_groups import plain_groups
-    from test_llm_texts import plain_lines, plain_quality
-
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
-    good = [r for r in rows if len(r[1]) > 8000 or not plain_quality(r[1])["base_failed"]]
-    got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    cleaned = plain_lines(good, 0.1, 5)
-    _, group = plain_groups([(i, t) for i, _, t in cleaned])
-    want = {i for i, g in group.items() if i == g}
-    # The repeat limits beyond the base rules may take a few more; nothing else may differ.
-    assert got <= want | {i for i, *_ in good} and len(want - got) <= 0.02 * len(want)
+    from test_llm_texts import plain_lines
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r for r in docs.collect() if passes_quality(r["text"])]
+    spoken = corpus_pipeline.language_stage(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
+    assert 0.8 * len(rows) < len(spoken) <= len(rows) < docs.count()
+    cleaned = plain_lines([(r["doc_id"], r["text"], r["source"]) for r in spoken], corpus_pipeline.RATIO, corpus_pipeline.MIN_PAGES)
+    _, group = plain_groups([(i, t) for i, _, t in cleaned], threshold=corpus_pipeline.SIMILARITY)
+    want = {i: t for i, _, t in cleaned if group[i] == i}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == set(want)
+    check_pieces(got, want, 1024)
 
 
 def test_random_texts_keep_their_order_of_pieces():
