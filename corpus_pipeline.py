@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor kept as `docs` and decides on all of it. All but the
-last return the columns that `docs` has. `run` writes each stage's result as Parquet into
+last return the columns that `docs` has. Null and empty texts fail the quality stage, texts of any
+length are taken whole, of equal texts the smallest id stays, rows with a null id are judged like
+others, and an empty table gives an empty table at every stage; columns of any name pass through. `run` writes each stage's result as Parquet into
 the shared folder, where the next one reads it, so a lost executor never costs more than
 the stage at work.
 """
