@@ -9,8 +9,9 @@ neighbours, and the union of these spans is the union of all maximal repeats.
 
 A text fails the base rules with under `MIN_WORDS` words or with more than
 `MAX_REPEAT_WORDS` of its words in repeated 8-word windows. It fails the repeat rules if
-repeats of at least `min_repeat` words hold more than `max_covered` of its characters, or
-the longest of them more than `max_longest`. Null and empty texts have no words and fail
+repeats of at least `min_repeat` words hold more than `max_covered` of its bytes in words, or
+the longest of them more than `max_longest`. Repeats count from fewer words than the base
+windows have, so that stuttering and short phrases said over and over are seen. Null and empty texts have no words and fail
 the base rules. Rows never influence each other, so copies and ties get equal results. Texts of
 any length are taken whole. An empty table gives an empty table; a column of the result's name is replaced.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from repeatwise.llm.work import fresh, ship, worker_state
 
 MIN_WORDS, WINDOW, MAX_REPEAT_WORDS = 20, 8, 30
+#: Words from which a repeat counts for the method's own verdict.
+MIN_REPEAT = 3
 #: Words of a group of texts that are sorted together.
 GROUP_WORDS = 1 << 17
 SPACE = b" \t\n\x0b\x0c\r"
@@ -163,7 +166,7 @@ def _row(text, own, longest, in_window, in_repeat, lengths, min_repeat) -> tuple
             part, top, edge.tolist())
 
 
-def quality_rules(docs: DataFrame, text: str = "text", min_repeat: int = WINDOW,
+def quality_rules(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT,
                   max_covered: float = 0.3, max_longest: float = 0.25,
                   into: str = "quality") -> DataFrame:
     """`docs` with a struct column `into`, replacing one of that name.

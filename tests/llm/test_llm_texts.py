@@ -45,21 +45,37 @@ def plain_quality(text, least=8):
         "base_failed": n < 20 or 100 * len(repeated) > 30 * n}
 
 
-def test_quality_equals_brute_force(spark):
+@pytest.mark.parametrize("least", [3, 8])
+def test_quality_equals_brute_force(spark, least):
     r = random.Random(3)
     texts = [" ".join(r.choice(["a", "b", "é#", "cc\n", "d<"]) for _ in range(r.randint(0, 90))) for _ in range(80)]
     passage = " ".join(f"w{i}" for i in range(12))
     texts += [None, "", " \n", f"{passage} x {passage}\n" + " ".join(f"u{i}" for i in range(80)),
               "same line here\n" * 9, passage + " y"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    for row in quality.quality_rules(df).collect():
-        want = plain_quality(row["text"])
+    for row in quality.quality_rules(df, min_repeat=least).collect():
+        want = plain_quality(row["text"], least)
         got = row["quality"].asDict()
         assert {k: got[k] for k in want} == pytest.approx(want), row["text"]
         assert got["kept"] == (not want["base_failed"] and got["covered"] <= 0.3 and got["longest"] <= 0.25)
         assert sum(b - a for a, b in zip(got["spans"][::2], got["spans"][1::2])) >= got["longest_words"]
 
 
+def test_repeats_that_only_the_method_sees(spark):
+    own = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    phrase = lambda k: " ".join(f"buy now today {own(10 * i, 10 * i + k)}" for i in range(20))
+    texts = {
+        "stutter": " ".join(f"x{i} " * 6 for i in range(20)),
+        "phrase": phrase(2),
+        "passage of 5 words, 12 times": " ".join(f"one two three four five {own(9 * i, 9 * i + 3)}" for i in range(12)),
+        "clean": own(0, 200), "two words often": " ".join(f"of the {own(9 * i, 9 * i + 3)}" for i in range(20)),
+        "phrase now and then": phrase(10), "a line said twice": f"{own(0, 7)}\n{own(10, 90)}\n{own(0, 7)}"}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    got = {r["name"]: r["quality"] for r in quality.quality_rules(df).collect()}
+    assert not any(q["base_failed"] for q in got.values())
+    assert {n for n, q in got.items() if not q["kept"]} == {"stutter", "phrase", "passage of 5 words, 12 times"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=4))
 def test_suffix_repeats(texts):

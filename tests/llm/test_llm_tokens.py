@@ -206,10 +206,10 @@ def test_stages_on_nothing(spark, nothing, sf_dir):
 
 
 def passes_quality(text):
-    """The base rules, and the repeat rules by looking up windows of every length from 8 words on."""
+    """The base rules, and the repeat rules by looking up windows of every length from 3 words on."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     size, n = [len(w.encode()) for w in words], len(words)
-    repeated, longest, k = set(), 0, 8
+    repeated, covered, longest, k = set(), set(), 0, 3
     while True:
         at = defaultdict(list)
         for i in range(n - k + 1):
@@ -218,12 +218,13 @@ def passes_quality(text):
         if not again:
             break
         longest = max(longest, max(sum(size[i:i + k]) for i in again))
-        if k == 8:
-            repeated = {p for i in again for p in range(i, i + 8)}
+        marked = {p for i in again for p in range(i, i + k)}
+        repeated = marked if k == 8 else repeated
+        covered |= marked
         k += 1
     if n < 20 or 100 * len(repeated) > 30 * n:
         return False
-    return sum(size[p] for p in repeated) <= 0.3 * sum(size) and longest <= 0.25 * sum(size)
+    return sum(size[p] for p in covered) <= 0.3 * sum(size) and longest <= 0.25 * sum(size)
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
