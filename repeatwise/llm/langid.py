@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ FLOOR = 1e-7
 MEMORY = 200_000
 SCHEMA = "struct<lang: string, score: double>"
 EVIDENCE = "struct<lang: string, score: double, surprise: double, agreement: double>"
+#: Hashes of ids lie between these; a range of them that holds too few ids grows by this factor.
+SMALLEST, LARGEST, GROWTH = -(1 << 63), (1 << 63) - 1, 16
 #: The least usual cost of a character, for languages with hardly any training words.
 LEAST_COST = 0.1
 
@@ -176,18 +179,47 @@ def _normal(used: np.ndarray) -> np.ndarray:
     return p
 
 
+def _bound(wanted: int, n: int) -> int:
+    """A hash below which `wanted` of `n` different ids lie, but for a chance of one in a billion."""
+    share = (wanted + 6 * wanted ** 0.5 + 20) / max(n, 1)
+    return LARGEST if share >= 1 else SMALLEST + int(share * (LARGEST - SMALLEST))
+
+
+def _up_to(limits: dict[str, int]) -> Column:
+    """Rows of the languages named whose hash is at most theirs."""
+    return reduce(Column.__or__, [(F.col("lang") == x) & (F.col("h") <= F.lit(h)) for x, h in limits.items()],
+                  F.lit(False))
+
+
 def sample(docs: DataFrame, text: str, lang: str, key: str, allowed: Column | None,
            sample_docs: int) -> DataFrame:
-    """(lang, text) of the `sample_docs` allowed rows of each language with the least hash."""
+    """(lang, text) of the `sample_docs` allowed rows of each language with the least hash.
+
+    Rows are counted by language first. That count tells which hashes can be among the least, so
+    that little more than the sample is ranked, however many rows a language has.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()) \
         .where(F.lit(True) if allowed is None else allowed) \
         .select(F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= sample_docs) \
-        .groupBy("lang").agg(F.max("h").alias("limit")).collect()
-    chosen = F.lit(False)
-    for row in limits:
-        chosen |= (F.col("lang") == row["lang"]) & (F.col("h") <= row["limit"])
+    bounds = {r["lang"]: _bound(sample_docs, r["n"]) for r in rows.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    open_, limits = set(bounds), {}
+    while open_:
+        # Some more hashes than asked for, as a rule; copies of one id can leave too few of them.
+        tried = {x: bounds[x] for x in open_}
+        least = rows.select("lang", "h").where(_up_to(tried)).distinct()
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        found = {r["lang"]: (r["n"], r["limit"]) for r in least.withColumn("r", rank)
+                 .where(F.col("r") <= sample_docs).groupBy("lang")
+                 .agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("limit")).collect()}
+        for x, bound in tried.items():
+            n, limit = found.get(x, (0, None))
+            if n == sample_docs or bound == LARGEST:
+                limits[x] = limit
+                open_.remove(x)
+            else:
+                bounds[x] = min(LARGEST, bound + max(1, bound - SMALLEST) * (GROWTH - 1))
+    chosen = _up_to(limits)
     # Rows with one id count once, so that copies don't lift the bound.
     return rows.where(chosen).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 

@@ -169,6 +169,20 @@ def test_language_sample_is_bounded(spark):
     assert langid.sample(df, "text", "lang", "doc_id", None, 10).count() == 10
 
 
+def test_language_sample_is_the_least_of_each_language(spark):
+    rows = [(i, f"t{i}", "x") for i in range(3000)] + [(i, f"u{i}", "y") for i in range(7)]
+    # Copies of some ids make a language look larger than it is.
+    rows += [(i % 40, f"v{i % 40}", "z") for i in range(4000)] + [(i, "n", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    hashed = df.select("lang", F.xxhash64("doc_id").alias("h"), "text").where("lang IS NOT NULL").distinct().collect()
+    want = []
+    for lang in "xyz":
+        want += sorted((r["h"], r["lang"], r["text"]) for r in hashed if r["lang"] == lang)[:30]
+    got = langid.sample(df, "text", "lang", "doc_id", None, 30).collect()
+    assert sorted(map(tuple, got)) == sorted(w[1:] for w in want)
+    assert langid.sample(df.where("false"), "text", "lang", "doc_id", None, 30).count() == 0
+
+
 def plain_lines(rows, ratio, least):
     pages = Counter(s for _, _, s in rows)
     seen = Counter((s, x) for _, t, s in rows for x in {y.strip(" ") for y in (t or "").split("\n")} if x)
