@@ -317,6 +317,16 @@ def _cleaned_labels(name, min_amount, min_days, window):
 
 O["s9_build_and_relabel"] = sql("cleaned", _cleaned_labels("built", 20000, 1, 365) + " UNION ALL "
                                 + _cleaned_labels("again", 40000, 30, 180))
+O["s10_build_in_two_deliveries"] = sql("cleaned", f"""
+  SELECT order_ym, customer_type, count(*) AS n_orders, sum(gmv)::DOUBLE AS gmv,
+    count(following) AS n_pairs, max(place) AS top_rank
+  FROM (SELECT order_ym, gmv, CASE WHEN EXISTS (SELECT 1 FROM cleaned q WHERE q.user_id = o.user_id
+      AND q.order_status IN ('F', 'O') AND q.gmv >= 20000 AND o.pay_time >= q.pay_time
+      AND (epoch_us(o.pay_time) - epoch_us(q.pay_time)) // {DAY} BETWEEN 1 AND 365)
+    THEN 'returning' ELSE 'new' END AS customer_type,
+    lead(pay_time) OVER line AS following, row_number() OVER line AS place
+    FROM cleaned o WINDOW line AS (PARTITION BY user_id ORDER BY pay_time, sub_order_id, sku, influencer_name))
+  GROUP BY 1, 2""")
 O["s8_csv_export"] = sql("scoped", f"""
   SELECT influencer_name, orders, buyers, gmv::DOUBLE AS gmv, {rnd(per('gmv', 'buyers'), 0)} AS per_buyer
   FROM {agg('scoped', 'influencer_name')}""")

@@ -20,6 +20,7 @@ from repeatwise.plans import (
     source_trace, trend,
 )
 from repeatwise.plans.build import assemble, build, relabel
+from repeatwise.plans.delivery import add_delivery
 from repeatwise.schema import LabelRule, MONEY, ORDER_COLUMNS, SOURCE_COLUMNS, Scope, Tables
 from repeatwise.session import shared_folder
 from repeatwise.sources import landing, star, store
@@ -177,6 +178,22 @@ def s9_build_and_relabel(spark, sf):
         F.count(F.lit(1)).alias("n_orders"), amount(F.sum("gmv")).alias("gmv"))
 
 
+@query
+def s10_build_in_two_deliveries(spark, sf):
+    """Tables built of the earlier half of the untidy orders, to which the later half is added."""
+    work = f"{shared_folder(spark)}/deliveries-{uuid.uuid4().hex}"
+    rows = star.raw_orders(spark, sf)
+    middle = F.col("_pos")["l_orderkey"] < rows.select(F.median("_pos.l_orderkey")).scalar()
+    for name, half in (("first", middle), ("second", ~middle)):
+        rows.where(half).orderBy("_pos").drop("_pos").withColumnsRenamed(SOURCE_COLUMNS) \
+            .write.option("header", True).csv(f"{work}/{name}/orders")
+    build(spark, f"{work}/first", f"{work}/tables", RAW_RULE, {"orders": "orders"})
+    t = add_delivery(spark, f"{work}/second", f"{work}/tables", RAW_RULE, {"orders": "orders"})
+    return t.orders.groupBy("order_ym", "customer_type").agg(
+        F.count(F.lit(1)).alias("n_orders"), amount(F.sum("gmv")).alias("gmv"),
+        F.count("next_pay_time").alias("n_pairs"), F.max("purchase_rank").alias("top_rank"))
+
+
 # --- cleaning ----------------------------------------------------------------
 
 @query

@@ -12,6 +12,7 @@ from ..schema import (
     CROWD_COLUMNS, CROWD_TEXT, ID_TOKENS, MEMBER_COLUMNS, MONEY, ORDER_COLUMNS,
     ORDER_TEXT, SAMPLE_COLUMNS, SAMPLE_TEXT, SOURCE_COLUMNS,
 )
+from .people import maybe_in
 
 # Where a landing row came from; decides which of several copies is the first.
 LINEAGE = ("_file", "_pos")
@@ -127,11 +128,28 @@ def normalise_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool =
     return fill_text(df, {"sub_order_id": (("nan", "None"), "")})
 
 
+# What tells one row of a table without an id from another.
+FALLBACK_KEYS = {"orders": ("user_id", "pay_time", "sku", "influencer_name"),
+                 "samples": ("user_id", "pay_time", "sku", "sample_type")}
+
+
+def without_copies(new: DataFrame, stored: DataFrame, name: str) -> DataFrame:
+    """Cleaned rows of `new` of which `stored`, cleaned as well, holds no copy.
+
+    Only stored rows whose key may be among the new ones leave the scan.
+    """
+    keys = _id_or_fallback(FALLBACK_KEYS[name])
+    key = F.to_json(F.struct(*[k.alias(n) for n, k in keys.items()])).alias("_key")
+    keyed = new.withColumn("_key", key)
+    known = stored.select(key).where(maybe_in(keyed, column="_key"))
+    return keyed.join(known, "_key", "left_anti").drop("_key")
+
+
 def clean_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True,
                  tally: Observation | None = None) -> DataFrame:
     """Orders, one of each; an amount out of range is an error, or drops its row if not `strict`."""
     df = normalise_orders(raw, rowwise_time, strict, tally)
-    keys = _id_or_fallback(("user_id", "pay_time", "sku", "influencer_name"))
+    keys = _id_or_fallback(FALLBACK_KEYS["orders"])
     return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
 
 
@@ -140,7 +158,7 @@ def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None
     df = _money(_pay_time(stripped(rename_and_keep(raw, SAMPLE_COLUMNS)), rowwise=True), strict)
     df = _dates(fill_text(_usable(df, tally), SAMPLE_TEXT))
     df = fill_text(df, {"sub_order_id": (("nan", "None"), "")})
-    keys = _id_or_fallback(("user_id", "pay_time", "sku", "sample_type"))
+    keys = _id_or_fallback(FALLBACK_KEYS["samples"])
     return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
 
 

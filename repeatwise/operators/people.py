@@ -97,8 +97,8 @@ def as_double(df: DataFrame, *columns: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(users: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """True for every `user_id` that `users` holds, and false for most others.
+def maybe_in(users: DataFrame, bits: int = FILTER_BITS, column: str = "user_id") -> Column:
+    """True for every `user_id` (or other column) that `users` holds, and false for most others.
 
     A table of hashed bits, one for each user, is made in one pass over `users` and handed to
     every task of the scan that applies it, so that rows of other users go before they are
@@ -106,8 +106,8 @@ def maybe_in(users: DataFrame, bits: int = FILTER_BITS) -> Column:
     rows through, so an exact join has to follow.
     """
     spark, words = users.sparkSession, bits // 64
-    place = F.pmod(F.xxhash64("user_id"), F.lit(bits))
-    set_bits = users.where(F.col("user_id").isNotNull()).select(
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    set_bits = users.where(F.col(column).isNotNull()).select(
         F.shiftright(place, 6).alias("word"),
         F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     every = spark.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))

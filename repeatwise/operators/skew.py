@@ -23,12 +23,16 @@ FLOOR = 1_000_000
 LITERALS = 1000
 
 
-def hot_users(orders: DataFrame, share: float = SHARE, floor: int = FLOOR) -> tuple[str, ...]:
-    """Users owning more than max(share of all rows, floor) rows."""
+def hot_users(orders: DataFrame, share: float = SHARE, floor: int = FLOOR,
+              total: int | None = None) -> tuple[str, ...]:
+    """Users owning more than max(share of all rows, floor) rows.
+
+    `total` is the number of all rows, where `orders` holds only those of some users.
+    """
     counts = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     # Both uses of `counts` share one exchange.
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    limit = F.greatest(F.lit(float(floor)), total * F.lit(share))
+    rows = counts.agg(F.sum("n").alias("total")).scalar() if total is None else F.lit(total)
+    limit = F.greatest(F.lit(float(floor)), rows * F.lit(share))
     return tuple(r.user_id for r in counts.where(F.col("n") > limit).select("user_id").collect())
 
 

@@ -76,13 +76,19 @@ def build(spark: SparkSession, landing: str, out: str, rule: LabelRule = LabelRu
     return tables
 
 
-def _report(spark: SparkSession, out: str, tables: Tables, tallies: dict[str, Observation]) -> None:
-    """Rows read, dropped and kept, one number a row: (source, measure, n_rows)."""
+def counted(tallies: dict[str, Observation], kept: dict[str, int]) -> list[tuple[str, str, int]]:
+    """Rows of a report: what was seen, dropped for each reason, dropped as a copy and kept."""
     rows = []
     for name, tally in tallies.items():
-        found, kept = tally.get, getattr(tables, name).count()
-        usable = found["rows read"] - sum(found[reason] for reason in PROBLEMS)
-        rows += [(name, measure, n) for measure, n in (*found.items(), ("copies", usable - kept), ("kept", kept))]
+        found = tally.get
+        copies = found["rows read"] - sum(found[reason] for reason in PROBLEMS) - kept[name]
+        rows += [(name, measure, n) for measure, n in (*found.items(), ("copies", copies), ("kept", kept[name]))]
+    return rows
+
+
+def _report(spark: SparkSession, out: str, tables: Tables, tallies: dict[str, Observation]) -> None:
+    """Rows read, dropped and kept, one number a row: (source, measure, n_rows)."""
+    rows = counted(tallies, {name: getattr(tables, name).count() for name in tallies})
     spark.createDataFrame(rows, REPORT).coalesce(1).write.mode("overwrite").json(f"{out}/report")
 
 

@@ -79,15 +79,26 @@ def together(*jobs) -> None:
             done.result()
 
 
-def _write(df: DataFrame, name: str, path: str, rebalance: bool = False) -> None:
+def _write(df: DataFrame, name: str, path: str, rebalance: bool = False, **options: str) -> None:
     """The rebalance hint lets Spark even out file sizes per month: large months are
     split over several files, small ones share a task."""
     month = PARTITION.get(name)
-    df = df.select(*[c for c in _columns_of(name) if c in df.columns])
+    if name in SCHEMAS:
+        df = df.select(*[c for c in _columns_of(name) if c in df.columns])
     if rebalance:
         df = df.hint("rebalance", month) if month else df.hint("rebalance")
     writer = df.write.partitionBy(month) if month else df.write
-    writer.mode("overwrite").parquet(f"{path}/{name}")
+    writer.mode("overwrite").options(**options).parquet(f"{path}/{name}")
+
+
+def replace_months(df: DataFrame, name: str, path: str) -> None:
+    """Put the months that `df` has rows of in place of the stored ones; others stay."""
+    _write(df, name, path, rebalance=True, partitionOverwriteMode="dynamic")
+
+
+def replace_table(df: DataFrame, name: str, path: str) -> None:
+    """Put `df` in place of a stored table as a whole."""
+    _write(df, name, path, rebalance=name in SCHEMAS)
 
 
 def _columns_of(name: str) -> list[str]:
@@ -110,9 +121,11 @@ def load(spark: SparkSession, path: str) -> Tables:
     """
     found = {name: load_table(spark, path, name) for name in SCHEMAS if name != "pairs"}
     found["pairs"] = pairs(found["orders"])
-    hot = tuple(r.user_id for r in spark.read.schema("user_id string")
-                .parquet(f"{path}/hot_users").collect())
-    return Tables(hot_users=hot, **found)
+    return Tables(hot_users=load_hot_users(spark, path), **found)
+
+
+def load_hot_users(spark: SparkSession, path: str) -> tuple[str, ...]:
+    return tuple(r.user_id for r in spark.read.schema("user_id string").parquet(f"{path}/hot_users").collect())
 
 
 def catalogue(orders: DataFrame) -> DataFrame:
@@ -146,6 +159,12 @@ def extent(orders: DataFrame) -> DataFrame:
         F.sum("n").alias("total_rows"), F.count(F.lit(1)).alias("total_users"))
 
 
+def load_extent(spark: SparkSession, path: str) -> DataFrame:
+    """The one row that `save` stored."""
+    return spark.read.schema(
+        "date_min date, date_max date, gmv_max double, total_rows long, total_users long").json(f"{path}/extent")
+
+
 def export_csv(report: DataFrame, path: str) -> None:
     """Report as a folder of CSV files with header, texts as they are."""
     report.write.mode("overwrite").options(
