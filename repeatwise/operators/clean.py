@@ -42,13 +42,14 @@ def fill_text(df: DataFrame, rules: dict) -> DataFrame:
     })
 
 
-def keep_first(df: DataFrame, keys: dict[str, Column], order: list[str]) -> DataFrame:
-    """First row per key in the given order.
+def keep_first(df: DataFrame, keys: dict[str, Column], order: list[str],
+               columns: list[str] | None = None) -> DataFrame:
+    """First row per key in the given order, with all or the given columns.
 
     An aggregate rather than a window: copies are combined before the shuffle, so a
     key repeated any number of times sends one row per input partition.
     """
-    columns = df.columns
+    columns = columns or df.columns
     keyed = df.withColumns(keys)
     first = keyed.groupBy(*keys).agg(
         F.min_by(F.struct(*columns), F.struct(*order)).alias("_row"))
@@ -133,6 +134,23 @@ FALLBACK_KEYS = {"orders": ("user_id", "pay_time", "sku", "influencer_name"),
                  "samples": ("user_id", "pay_time", "sku", "sample_type")}
 
 
+# Columns that are made of another one, so that only that one is shuffled.
+_MADE_OF = {"payable_amount": "gmv", "order_date": "pay_time", "order_ym": "pay_time"}
+
+
+def _first_of_each(df: DataFrame, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The first of each order or sample, with all or the given columns.
+
+    The optimizer doesn't prune what an aggregate carries, so nothing else goes into it.
+    """
+    wanted = [c for c in columns or df.columns if c not in LINEAGE]
+    carried = list(dict.fromkeys(_MADE_OF.get(c, c) for c in wanted))
+    first = keep_first(df, _id_or_fallback(FALLBACK_KEYS[name]), _first_order(df), carried)
+    if "gmv" in carried:
+        first = first.withColumn("payable_amount", F.col("gmv"))
+    return (_dates(first) if "pay_time" in carried else first).select(*wanted)
+
+
 def without_copies(new: DataFrame, stored: DataFrame, name: str) -> DataFrame:
     """Cleaned rows of `new` of which `stored`, cleaned as well, holds no copy.
 
@@ -146,11 +164,12 @@ def without_copies(new: DataFrame, stored: DataFrame, name: str) -> DataFrame:
 
 
 def clean_orders(raw: DataFrame, rowwise_time: bool = False, strict: bool = True,
-                 tally: Observation | None = None) -> DataFrame:
-    """Orders, one of each; an amount out of range is an error, or drops its row if not `strict`."""
-    df = normalise_orders(raw, rowwise_time, strict, tally)
-    keys = _id_or_fallback(FALLBACK_KEYS["orders"])
-    return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
+                 tally: Observation | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Orders, one of each; an amount out of range is an error, or drops its row if not `strict`.
+
+    `columns` are those wanted, if not all; the others are then not shuffled.
+    """
+    return _first_of_each(normalise_orders(raw, rowwise_time, strict, tally), "orders", columns)
 
 
 def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None = None) -> DataFrame:
@@ -158,8 +177,7 @@ def clean_samples(raw: DataFrame, strict: bool = True, tally: Observation | None
     df = _money(_pay_time(stripped(rename_and_keep(raw, SAMPLE_COLUMNS)), rowwise=True), strict)
     df = _dates(fill_text(_usable(df, tally), SAMPLE_TEXT))
     df = fill_text(df, {"sub_order_id": (("nan", "None"), "")})
-    keys = _id_or_fallback(FALLBACK_KEYS["samples"])
-    return keep_first(df, keys, _first_order(df)).drop(*LINEAGE)
+    return _first_of_each(df, "samples")
 
 
 def rejected(raw: DataFrame, columns: tuple[str, ...], rowwise_time: bool = False) -> DataFrame:

@@ -99,6 +99,16 @@ def test_copies_are_combined_before_the_shuffle(spark):
     assert "partial_min_by" in plan and "Window" not in plan
 
 
+def test_only_wanted_columns_are_shuffled(spark):
+    raw = _raw(spark, ORDER_COLUMNS, [{"sub_order_id": "a"}, {"sub_order_id": "a", "sku": "second"}], **DEFAULTS)
+    whole, days = clean.clean_orders(raw), clean.clean_orders(raw, columns=("order_date", "order_ym"))
+    assert [tuple(r) for r in days.collect()] == [(r.order_date, r.order_ym) for r in whole.collect()]
+    plan = days._jdf.queryExecution().optimizedPlan().toString()
+    assert "platform_discount" not in plan[:plan.index("LogicalRDD")].split("min_by(", 1)[1].split(")", 1)[0]
+    carried = whole._jdf.queryExecution().optimizedPlan().toString().split("min_by(struct(", 1)[1].split(")", 1)[0]
+    assert "gmv" in carried and "payable_amount" not in carried and "order_ym" not in carried
+
+
 def test_samples_fill_times_row_by_row(spark):
     rows = [{"sub_order_id": "1", "pay_time": None}, {"sub_order_id": "2"},
             {"sub_order_id": None, "sku": "a"}, {"sub_order_id": "nan", "sku": "b", "sample_type": "-"}]
