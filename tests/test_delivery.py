@@ -143,3 +143,23 @@ def test_months_without_a_change_keep_their_files(spark, tmp_path):
     # Only February holds an order that has got a successor.
     assert {f.split("order_ym=")[1][:7] for f in before - files()} == {"2024-02"}
     assert {r.sub_order_id: r.purchase_rank for r in t.orders.collect()} == {"1": 1, "2": 2, "3": 1, "4": 3}
+
+
+def test_months_are_put_in_place_as_staged_and_compared_row_by_row(spark, zones, tmp_path, monkeypatch):
+    out, calls, plans = str(tmp_path / "out"), [], []
+    _first(spark, zones, out)
+    replace, written = delivery.replace_months, delivery._written
+
+    def spy(df, name, path):
+        calls.append((path, "Rebalance" in df._jdf.queryExecution().optimizedPlan().toString()))
+        replace(df, name, path)
+
+    def spy_written(df, path):
+        plans.append((path, df.columns))
+        return written(df, path)
+
+    monkeypatch.setattr(delivery, "replace_months", spy)
+    monkeypatch.setattr(delivery, "_written", spy_written)
+    add_delivery(spark, str(zones / "second"), out, RULE, strict=False)
+    assert {(path == out, rebalance) for path, rebalance in calls} == {(True, False), (False, True)}
+    assert [columns[-1] for path, columns in plans if path.endswith("/journeys")] == ["_changed"]

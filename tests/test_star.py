@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repeatwise.operators.skew import hot_users
-from repeatwise.sources import star
+from repeatwise.sources import star, store
 
 DAY = dt.datetime(2000, 1, 1)
 
@@ -54,3 +54,11 @@ def test_rows_of_a_user_are_bounded(spark, tmp_path, parts):
     rows = star.retail_orders(spark, folder).groupBy("user_id").count().agg(F.max("count")).first()[0]
     assert rows <= most == 6 * parts
     assert hot_users(star.retail_orders(spark, folder), 0.0, most) == ()
+
+
+def test_catalogue_shuffles_entries_only(spark, tmp_path):
+    orders = star.retail_orders(spark, _write(spark, tmp_path / "t"))
+    found = store.catalogue(orders)
+    assert {(r.kind, r.parent, r.value) for r in found.collect()} >= {
+        ("sku", None, "b"), ("category/sku", "t", "b"), ("channel_type", None, "self")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # line items, entries
