@@ -4,9 +4,13 @@ import datetime as dt
 import json
 import os
 import pathlib
+from dataclasses import replace
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from repeatwise.plans import build as build_module
 from repeatwise.plans.build import build, build_report
 from repeatwise.operators.scope import choices, linked_choices, scope_pairs
 from repeatwise.plans import channel, members
@@ -162,6 +166,41 @@ def test_date_scope_prunes_months(spark, built):
     assert "PartitionFilters: [isnotnull(order_ym" in pairs
 
 
+def test_months_are_laid_out_without_a_shuffle_and_in_few_files(spark, built, tmp_path, monkeypatch):
+    t, _ = built
+    hints, frame, out = [], type(t.orders), str(tmp_path / "again")
+    hint = frame.hint
+    monkeypatch.setattr(frame, "hint", lambda self, *how: hints.append(how) or hint(self, *how))
+    spread = t.orders.where("order_ym is not null").repartition(3)
+    store.save(replace(t, orders=spread.withColumn("order_ym", F.expr("if(sku = 's2', null, order_ym)"))), out)
+    assert ("rebalance", "order_ym") not in hints
+    months = sorted(f.name for f in (tmp_path / "again" / "orders").iterdir() if f.is_dir())
+    assert "order_ym=__HIVE_DEFAULT_PARTITION__" in months and len(months) > 1
+    assert all(len(list((tmp_path / "again" / "orders" / m).glob("*.parquet"))) == 1 for m in months)
+    assert not list((tmp_path / "again").glob("_*"))
+    back, columns = store.load(spark, out).orders, [c for c in t.orders.columns if c != "order_ym"]
+    assert back.select(columns).exceptAll(t.orders.select(columns)).count() == 0 and back.count() == t.orders.count()
+    store.save(replace(t, orders=t.orders.limit(0)), out)
+    assert store.load(spark, out).orders.count() == 0
+
+
+def test_a_build_deals_orders_by_user_before_it_adds_columns(spark, tmp_path, monkeypatch):
+    _csv(tmp_path / "in" / f"{FILE_KEYWORDS['orders']}.csv", ORDER_HEADER[:8],
+         ["u1", "1", "s1", "ok", "600", "2024-01-01", "i1", "c"], ["u1", "2", "s1", "ok", "7", "2024-02-01", "i1", "c"])
+    plans, whole = [], build_module.assemble
+
+    def spy(orders, *rest, **tables):
+        plans.append(orders._jdf.queryExecution().optimizedPlan().toString())
+        return whole(orders, *rest, **tables)
+
+    monkeypatch.setattr(build_module, "assemble", spy)
+    t = build(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    made, dealt = plans[0].index("order_ym"), plans[0].index("RepartitionByExpression [user_id")
+    assert made < dealt and "order_ym" not in plans[0][dealt:]
+    assert {(r.sub_order_id, r.order_ym, str(r.order_date), str(r.payable_amount)) for r in t.orders.collect()} == {
+        ("1", "2024-01", "2024-01-01", "600.00"), ("2", "2024-02", "2024-02-01", "7.00")}
+
+
 def test_catalogue_and_extent(built):
     t, out = built
     rows = {tuple(r) for r in store.catalogue(t.orders).collect()}

@@ -5,7 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from repeatwise.operators.journey import journey
 from repeatwise.operators.skew import hot_users
+from repeatwise.schema import LabelRule
 from repeatwise.sources import star, store
 
 DAY = dt.datetime(2000, 1, 1)
@@ -62,3 +64,32 @@ def test_catalogue_shuffles_entries_only(spark, tmp_path):
     assert {(r.kind, r.parent, r.value) for r in found.collect()} >= {
         ("sku", None, "b"), ("category/sku", "t", "b"), ("channel_type", None, "self")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # line items, entries
+
+
+def _plan(df):
+    plan = df._jdf.queryExecution().toString()
+    return plan[plan.index("== Physical Plan =="):]
+
+
+def test_deliveries_hold_all_rows_and_only_those_without_an_id_are_sorted_as_a_whole(spark, tmp_path):
+    folder = _write(spark, tmp_path / "t")
+    more = [(13, n, 10.0, 0.0, "N", DAY, 1, 1) for n in (1, 2, 3, 3, None)] + [(1, 1, 97.0, 0.0, "R", DAY, 1, 1)]
+    spark.createDataFrame(more, spark.read.parquet(f"{folder}/lineitem.parquet").schema) \
+        .write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(13, 7, "F", DAY)], spark.read.parquet(f"{folder}/orders.parquet").schema) \
+        .write.mode("append").parquet(f"{folder}/orders.parquet")
+    named, others = star.raw_deliveries(spark, folder)
+    texts = lambda df: sorted(map(str, df.collect()))
+    assert texts(named.unionByName(others)) == texts(star.raw_orders(spark, folder))
+    assert all(r.sub_order_id in (None, "", "nan", "None") for r in others.collect())
+    assert "rangepartitioning" not in _plan(named) and "rangepartitioning" in _plan(others)
+    rows = named.withColumn("task", F.spark_partition_id()).collect()
+    copies = [(r.task, r._pos) for r in rows if r.sub_order_id.strip() == "1-1"]
+    assert len(copies) == 4 and copies == sorted(copies) and len({task for task, _ in copies}) == 1
+
+
+def test_orders_dealt_by_user_need_no_further_shuffle_for_the_journey(spark, tmp_path):
+    folder = _write(spark, tmp_path / "t")
+    plain, dealt = (journey(star.retail_orders(spark, folder, by_user=b), LabelRule(statuses=("completed",))) for b in (False, True))
+    assert "Exchange hashpartitioning(user_id" in _plan(plain) and "Exchange hashpartitioning(user_id" not in _plan(dealt)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
