@@ -11,10 +11,10 @@ from it, with their times, and otherwise refers to the state it was copied from,
 time of copying. An arc is there if no gadget took it, or an arc it was built from, in time.
 `arc` reads this off the two derivations, and remembers the answer in the transition table.
 
-Each prefix of a word has exactly one correct encoding, so one pass over a word's bytes,
-with a trie of tokens, leaves one state at every place: the one reached by an arc that the
-automaton has. The last arcs, followed backwards, are the encoding. Decoding emits the
-labels of the arcs.
+Each prefix of a word has exactly one correct encoding, so at most one path leads to a place of
+a word. A trie of tokens names the arcs that may go on from a place; the longest one that the
+automaton has is followed first, and where a path ends too early, the next one. No place is
+come to twice, and most are never looked at. Decoding emits the labels of the arcs.
 
 Texts are split first at special strings and then by the pattern of the vocabulary's
 byte-level splitter. Null counts as empty and gives no ids. Texts of any length are taken whole,
@@ -37,7 +37,9 @@ from repeatwise.llm.work import fresh, ship, worker_state
 
 #: Transitions and words a worker remembers.
 TRANSITIONS, WORDS, WORD_BYTES = 500_000, 100_000, 64
-START = -1
+#: Texts held as Python strings at a time.
+ROWS = 256
+START = NONE = -1
 NEVER = 1 << 60
 
 
@@ -56,7 +58,7 @@ class Automaton:
         for time, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(vocab[left], vocab[right], vocab[left + right], time)
-        self._trie(t for t in vocab if t not in self.special)
+        self._trie(i for t, i in vocab.items() if t not in self.special and self._whole(i))
         self.table: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
@@ -64,25 +66,41 @@ class Automaton:
         self.taken.setdefault(u, {}).setdefault(v, time)
         self.made.setdefault(w, (u, v, time))
 
-    def _trie(self, tokens: Iterator[str]) -> None:
+    def _whole(self, token: int) -> bool:
+        """Whether some text becomes this token: a byte, or made of such tokens that follow one another by then."""
+        if token not in self.made:
+            return len(self.labels[token]) == 1
+        u, v, time = self.made[token]
+        return self.arc(u, v, time)
+
+    def _trie(self, tokens: Iterator[int]) -> None:
         self.step: dict[int, int] = {}
-        self.token: list[int] = [-1]
-        known = {label: i for i, label in self.labels.items() if i not in self.special.values()}
-        for label, i in known.items():
+        above, own = [0], [NONE]
+        for i in tokens:
             node = 0
-            for byte in label:
+            for byte in self.labels[i]:
                 key = node << 8 | byte
                 if key not in self.step:
-                    self.step[key] = len(self.token)
-                    self.token.append(-1)
+                    self.step[key] = len(own)
+                    above.append(node)
+                    own.append(NONE)
                 node = self.step[key]
-            self.token[node] = i
-
-    def arc(self, state: int, token: int) -> bool:
-        """Whether the state behind the token `state` has an arc `token`."""
+            own[node] = i
+        # The longest token down to a node, and the longest one that another begins with.
+        self.best, self.shorter = [NONE], {}
+        for node in range(1, len(own)):
+            before = self.best[above[node]]
+            if own[node] != NONE:
+                self.shorter[own[node]] = before
+            self.best.append(before if own[node] == NONE else own[node])
+        self.sizes = {i: len(label) for i, label in self.labels.items()}
+        self.longest = max(self.sizes.values())
+
+    def arc(self, state: int, token: int, until: int = NEVER) -> bool:
+        """Whether the state behind the token `state` has an arc `token` (before the time `until`)."""
         if state == START:
             return True
-        behind, until = state, NEVER
+        behind = state
         while True:
             taken = self.taken.get(behind)
             if taken:
@@ -102,33 +120,32 @@ class Automaton:
 
     def word(self, word: bytes) -> bytes:
         """Ids of a word without a split inside, as little-endian unsigned 32-bit integers."""
-        n = len(word)
-        last = [START] * (n + 1)
-        step, tokens, table, arc = self.step, self.token, self.table, self.arc
-        for start in range(n):
-            state = last[start]
-            if state == START and start:
-                continue
+        n, longest = len(word), self.longest
+        step, best, shorter, sizes, table = self.step.get, self.best, self.shorter, self.sizes, self.table
+        path, at, state = [], 0, START
+        while at < n:
             node = 0
-            for end in range(start, n):
-                node = step.get(node << 8 | word[end])
-                if node is None:
+            for byte in word[at:at + longest]:
+                below = step(node << 8 | byte)
+                if below is None:
+                    break
+                node = below
+            token = best[node]
+            while True:
+                while token == NONE:
+                    last = path.pop()
+                    at, state, token = at - sizes[last], path[-1] if path else START, shorter[last]
+                there = table.get((state, token))
+                if there is None:
+                    if len(table) >= TRANSITIONS:
+                        table.clear()
+                    there = table[state, token] = self.arc(state, token)
+                if there:
                     break
-                token = tokens[node]
-                if token >= 0:
-                    there = table.get((state, token))
-                    if there is None:
-                        if len(table) >= TRANSITIONS:
-                            table.clear()
-                        there = table[state, token] = arc(state, token)
-                    if there:
-                        last[end + 1] = token
-        ids, end = array("I"), n
-        while end:
-            ids.append(last[end])
-            end -= len(self.labels[last[end]])
-        ids.reverse()
-        return ids.tobytes()
+                token = shorter[token]
+            path.append(token)
+            at, state = at + sizes[token], token
+        return array("I", path).tobytes()
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -159,7 +176,17 @@ def _by_automaton(path: str) -> tuple[Encoder, Automaton]:
     automaton, split = Automaton(path), regex.compile(PATTERN)
     words = _Words(automaton)
     specials = {s: array("I", [i]).tobytes() for s, i in automaton.special.items()}
-    return Encoder(lambda text: b"".join(map(words.__getitem__, split.findall(text))), specials), automaton
+
+    def batch(parts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for piece in split.findall(" " + " ".join(parts)):
+            if piece[0] == " ":
+                out.append(words[piece])
+            else:
+                out[-1] += words[piece]
+        return out
+
+    return Encoder(lambda text: b"".join(map(words.__getitem__, split.findall(text))), specials, batch), automaton
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -169,7 +196,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -
     @F.arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
         encode, _ = codec(path)
-        return pa.array([encode(t) for t in column.to_pylist()], pa.binary())
+        return pa.array(encode.many(column.to_pylist()), pa.binary())
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -194,10 +221,10 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "code
     def digests(column: pa.Array) -> pa.Array:
         encode, automaton = codec(path)
         rows = []
-        for value in column:
-            ids = encode(value.as_py())
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
-                         hashlib.sha256(automaton.decode(ids).encode()).hexdigest()))
+        for at in range(0, len(column), ROWS):
+            for ids in encode.many(column.slice(at, ROWS).to_pylist()):
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                             hashlib.sha256(automaton.decode(ids).encode()).hexdigest()))
         n, a, b = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                           ["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -1,6 +1,8 @@
 """Encoding, packing and the pipeline against the library, brute force and edge cases."""
 
 import functools
+import itertools
+import json
 import random
 import re
 import zlib
@@ -76,6 +78,35 @@ def test_automaton_on_long_words():
         assert encode(text) == ids_of(text).tobytes()
 
 
+def test_automaton_looks_at_places_on_its_path_only():
+    automaton = bpe.Automaton(PATH)
+    assert automaton.word(b" government") == ids_of(" government").tobytes()
+    assert len(automaton.table) == len(ids_of(" government"))
+
+
+def test_automaton_tries_shorter_arcs_where_longer_ones_end(tmp_path):
+    # "abc" is a, bc, though ab is a token; "bcd" is a token that no merge makes.
+    merges = ["b c", "a b", "c d", "ab cd", "a a", "cd a"]
+    tokens_ = [*tokens.byte_characters(), *(m.replace(" ", "") for m in merges), "bcd"]
+    model = {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens_)}, "merges": merges}
+    pretokenizer = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": model, "pre_tokenizer": pretokenizer}))
+    library, automaton = Tokenizer.from_file(str(path)), bpe.Automaton(str(path))
+    for n in range(1, 7):
+        for word in map("".join, itertools.product("abcd", repeat=n)):
+            assert automaton.word(word.encode()) == np.array(library.encode(word).ids, "<u4").tobytes(), word
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join) | st.text(max_size=30) | st.none(), max_size=8))
+def test_automaton_encodes_many_texts_as_each(texts):
+    encode = loaded()[0]
+    encode.parts.clear()
+    encode.parts.older.clear()
+    assert list(encode.many(texts)) == [ids_of(t).tobytes() for t in texts]
+
+
 def test_encoding_of_awkward_rows(awkward, nothing):
     coded = bpe.decoded(bpe.encoded(awkward, PATH), PATH, into="back")
     for r in coded.collect():
