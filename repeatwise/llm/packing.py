@@ -170,8 +170,14 @@ class Plan:
         return sequence, offset
 
 
-def _pieces(path: str, capacity: int):
-    """Function for mapInArrow: (id, text) to pieces, numbered for each length in the task."""
+def _pieces(path: str, capacity: int, with_ids: bool):
+    """Function for mapInArrow: (id, text) to pieces, numbered for each length in the task.
+
+    Their ids leave the Python worker only if they are wanted.
+    """
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), *[pa.binary()] * with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", *["ids"] * with_ids]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
@@ -183,16 +189,12 @@ def _pieces(path: str, capacity: int):
                     total, start, piece = len(ids) // 4, 0, 0
                     while start < total:
                         size = (total - start - 1) % capacity + 1 if not piece else capacity
-                        rows.append((key, piece, start, size,
-                                     zlib.crc32(ids[4 * start:4 * (start + size)]), task, seen[size],
-                                     ids[4 * start:4 * (start + size)]))
+                        own = ids[4 * start:4 * (start + size)]
+                        rows.append((key, piece, start, size, zlib.crc32(own), task, seen[size], own))
                         seen[size] += 1
                         start, piece = start + size, piece + 1
                 columns = list(zip(*rows)) if rows else [()] * 8
-                types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return cut
 
@@ -207,9 +209,9 @@ def pack_patterns(docs: DataFrame, tokenizer: str, text: str = "text", key: str
     ship(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     cut = slim.mapInArrow(
-        _pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, "
-        "task int, number long, ids binary")
-    pieces = stored(cut if with_ids else cut.drop("ids"), "pieces")
+        _pieces(tokenizer, capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, "
+        "task int, number long" + ", ids binary" * with_ids)
+    pieces = stored(cut, "pieces")
     counts = stored(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most

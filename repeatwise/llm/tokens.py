@@ -90,13 +90,14 @@ class Encoder:
         self.encode, self.specials, self.parts, self.batch = encode, specials, Parts(encode), batch
         self.vocabulary = vocabulary
 
-    def __call__(self, text: str | None) -> bytes:
+    def __call__(self, text: str | None, split: list[str] | None = None) -> bytes:
+        """Ids of a text; `split` are the parts between its blanks, where they are known."""
         if not text:
             return b""
         for special, ids in self.specials.items():
             if special in text:
                 return ids.join(map(self, text.split(special)))
-        first, *rest = text.split(" ")
+        first, *rest = split or text.split(" ")
         if not rest:
             return self.encode(text)
         if not first or first[-1].isspace():
@@ -110,15 +111,15 @@ class Encoder:
         """Ids of each text in turn."""
         start = 0
         while start < len(texts):
-            end, size, found = start, 0, set()
+            end, size, found, splits = start, 0, set(), []
             while end < len(texts) and size < GATHERED:
-                if texts[end]:
-                    found.update(texts[end].split(" "))
-                    size += len(texts[end])
+                splits.append(texts[end].split(" ") if texts[end] else [])
+                found.update(splits[-1])
+                size += len(texts[end] or "")
                 end += 1
             if self.batch:
                 self.parts.learn(found, self.batch)
-            yield from map(self, texts[start:end])
+            yield from map(self, texts[start:end], splits)
             start = end
 
 

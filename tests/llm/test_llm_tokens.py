@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -150,6 +151,18 @@ def test_patterns_pack_the_given_documents(spark, sf_dir):
     assert check_sequences(rows, 1024) <= 1.01 * -(-total // 1024)
 
 
+def test_ids_of_pieces_leave_the_worker_only_if_wanted(monkeypatch):
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3))
+    monkeypatch.setattr(packing, "TaskContext", task)
+    texts = [None, "a word", "x " * 90]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array(texts)], ["id", "text"])
+    kept, = packing._pieces(PATH, 64, True)(iter([batch]))
+    slim, = packing._pieces(PATH, 64, False)(iter([batch]))
+    assert slim.schema.names == kept.schema.names[:-1] and slim.to_pylist() == kept.drop_columns("ids").to_pylist()
+    wanted = b"".join(ids_of(t).tobytes() + packing.END_IDS for t in texts)
+    assert b"".join(r["ids"] for r in kept.to_pylist()) == wanted
+
+
 def test_packing_of_awkward_rows(spark, awkward, nothing):
     rows = packing.pack_patterns(awkward, PATH, capacity=128, with_ids=True).collect()
     check_sequences(rows, 128)
